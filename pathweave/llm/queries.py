@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canon, leaks, neighbors
+from . import canon, leaks, neighbors, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,5 +40,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_report, p7_found)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Abusive, hateful or sexually explicit documents."""
+    return toxicity.found(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    s = toxicity.scores(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
+    return s.select("doc_id", "source", F.round("score", 4).alias("score"))
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """The rate of such documents per source."""
+    return toxicity.rates(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_report, p7_found, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}

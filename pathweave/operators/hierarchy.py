@@ -18,6 +18,7 @@ Defined results
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,9 @@ from ..runtime import cut, norm_key
 
 #: Links folded by one task in the first step; a bound on a task's memory, not on the input.
 LINKS_PER_TASK = 200_000
+#: Links between nodes of several parents, or towards pure loops, up to which one task solves them at once;
+#: beyond it frontier joins do. Both give the same rows.
+SMALL_GRAPH = 100_000
 
 
 def fold_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,6 +67,94 @@ def fold_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"child": list(up), "top": [t for t, _ in up.values()], "off": [o for _, o in up.values()]})
 
 
+def on_loops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The nodes on loops of a function given as rows (child, parent)."""
+    up: dict[str, str] = {}
+    for b in batches:
+        up.update(zip(b["child"], b["parent"]))
+    state: dict[str, int] = {}
+    loops: list[str] = []
+    for turn, start in enumerate(up):
+        at = start
+        while at in up and at not in state:
+            state[at] = turn
+            at = up[at]
+        if state.get(at) == turn and at in up:
+            end = at
+            while True:
+                loops.append(at)
+                at = up[at]
+                if at == end:
+                    break
+    yield pd.DataFrame({"key": loops}, dtype="object")
+
+
+def solve_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (child, top, w, is_root) to rows (kind, a, b, n): 'd' least distance n of node a to root b, and 's'
+    component b of node a, for components that hold a loop."""
+    down: dict[str, list[tuple[str, int]]] = {}
+    up: dict[str, list[str]] = {}
+    roots: set[str] = set()
+    for b in batches:
+        for child, top, w, is_root in zip(b["child"], b["top"], b["w"], b["is_root"]):
+            down.setdefault(top, []).append((child, int(w)))
+            if is_root:
+                roots.add(top)
+            else:
+                up.setdefault(child, []).append(top)
+                up.setdefault(top, [])
+    for r in sorted(roots):
+        best: dict[str, int] = {}
+        heap = [(w, c) for c, w in down[r]]
+        heapq.heapify(heap)
+        while heap:
+            d, at = heapq.heappop(heap)
+            if at not in best:
+                best[at] = d
+                for c, w in down.get(at, ()):
+                    if c not in best:
+                        heapq.heappush(heap, (d + w, c))
+        yield pd.DataFrame({"kind": "d", "a": list(best), "b": r, "n": list(best.values())})
+    order: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack: list[str] = []
+    held: set[str] = set()
+    rows: list[tuple[str, str]] = []
+    for start in up:
+        if start in order:
+            continue
+        work = [(start, iter(up[start]))]
+        order[start] = low[start] = len(order)
+        stack.append(start)
+        held.add(start)
+        while work:
+            at, nexts = work[-1]
+            step = next(nexts, None)
+            if step is not None:
+                if step not in order:
+                    order[step] = low[step] = len(order)
+                    stack.append(step)
+                    held.add(step)
+                    work.append((step, iter(up[step])))
+                elif step in held:
+                    low[at] = min(low[at], order[step])
+                continue
+            work.pop()
+            if work:
+                low[work[-1][0]] = min(low[work[-1][0]], low[at])
+            if low[at] == order[at]:
+                part = []
+                while True:
+                    x = stack.pop()
+                    held.discard(x)
+                    part.append(x)
+                    if x == at:
+                        break
+                if len(part) > 1 or at in up[at]:
+                    rows += [(x, at) for x in part]
+    yield pd.DataFrame({"kind": "s", "a": [x for x, _ in rows], "b": [y for _, y in rows], "n": 0})
+
+
 @dataclass
 class Forest:
     """The folded hierarchy of one table of links."""
@@ -108,6 +200,8 @@ def _pure_loops(single: DataFrame, folded: DataFrame) -> tuple[DataFrame, DataFr
     power beyond the number of such nodes."""
     tail = cut(folded.join(single.select(F.col("child").alias("top")), "top", "left_semi").select("child"))
     fn = cut(single.join(tail, "child", "left_semi"))
+    if fn.count() <= SMALL_GRAPH:
+        return tail, fn.coalesce(1).mapInPandas(on_loops, "key string")
     for _ in range(max(1, math.ceil(math.log2(fn.count() + 1)))):
         a, b = fn.alias("a"), fn.alias("b")
         fn = cut(a.join(b, F.col("a.parent") == F.col("b.child")).select("a.child", "b.parent"))
@@ -138,7 +232,7 @@ def _components(e: DataFrame) -> DataFrame | None:
         while True:
             spread = e.join(colour, e.a == colour.v).groupBy("b").agg(F.max("c").alias("cc"))
             new = cut(colour.join(spread, colour.v == spread.b, "left").select("v", F.greatest("c", "cc").alias("c"), (F.col("cc") > F.col("c")).alias("up")))
-            grew = new.where("up").limit(1).count()
+            grew = not new.where("up").isEmpty()
             colour = new.select("v", "c")
             if not grew:
                 break
@@ -152,7 +246,7 @@ def _components(e: DataFrame) -> DataFrame | None:
         while True:
             back = same.join(front, same.b == front.v).select(F.col("a").alias("v"), F.col("ca").alias("c")).distinct()
             front = cut(back.join(scc, "v", "left_anti"))
-            if front.limit(1).count() == 0:
+            if front.isEmpty():
                 break
             scc = cut(scc.unionByName(front))
         on = same.join(scc.select(F.col("v").alias("a")), "a", "left_semi").join(scc.select(F.col("v").alias("b")), "b", "left_semi")
@@ -164,6 +258,18 @@ def _components(e: DataFrame) -> DataFrame | None:
     return found
 
 
+def _distances(jedges: DataFrame, inner: DataFrame, roots: DataFrame) -> DataFrame:
+    """(child, root, d): least distances of nodes with several parents; only improved rows go on."""
+    best = cut(jedges.join(roots.select(F.col("key").alias("top")), "top", "left_semi").groupBy("child", F.col("top").alias("root")).agg(F.min("w").alias("d")))
+    delta = best
+    while not delta.isEmpty():
+        nxt = inner.join(delta.select(F.col("child").alias("top"), "root", "d"), "top").groupBy("child", "root").agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        old = best.select("child", "root", F.col("d").alias("had"))
+        delta = cut(nxt.join(old, ["child", "root"], "left").where("had is null or d < had").select("child", "root", "d"))
+        best = cut(best.unionByName(delta).groupBy("child", "root").agg(F.min("d").alias("d")))
+    return best
+
+
 def resolve(df: DataFrame, id_col: str = "id", parents_col: str = "parents") -> Forest:
     """Roots with least depths, and the nodes on loops, of every node of ``df``."""
     ids, edges = links(df, id_col, parents_col)
@@ -186,24 +292,23 @@ def resolve(df: DataFrame, id_col: str = "id", parents_col: str = "parents") ->
     j = edges.join(several, "child", "left_semi").join(tail.select(F.col("child").alias("parent")), "parent", "left_anti")
     f = folded.select(F.col("child").alias("parent"), "top", "off")
     jedges = cut(j.join(f, "parent", "left").select("child", "parent", F.coalesce("top", "parent").alias("top"), (F.coalesce("off", F.lit(0)) + 1).alias("w")))
-    inner = cut(jedges.join(several.select(F.col("child").alias("top")), "top", "left_semi").select("child", "parent", "top", "w"))
-
-    # Least distances of those nodes to roots: only improved rows go on.
-    best = cut(jedges.join(roots.select(F.col("key").alias("top")), "top", "left_semi").groupBy("child", F.col("top").alias("root")).agg(F.min("w").alias("d")))
-    delta = best
-    while delta.limit(1).count():
-        nxt = inner.join(delta.select(F.col("child").alias("top"), "root", "d"), "top").groupBy("child", "root").agg(F.min(F.col("d") + F.col("w")).alias("d"))
-        old = best.select("child", "root", F.col("d").alias("had"))
-        delta = cut(nxt.join(old, ["child", "root"], "left").where("had is null or d < had").select("child", "root", "d"))
-        best = cut(best.unionByName(delta).groupBy("child", "root").agg(F.min("d").alias("d")))
-
-    scc = _components(inner.select(F.col("child").alias("a"), F.col("top").alias("b")))
+    inner = jedges.join(several.select(F.col("child").alias("top")), "top", "left_semi").select("child", "parent", "top", "w")
+    if jedges.count() <= SMALL_GRAPH:
+        flagged = jedges.join(roots.select(F.col("key").alias("top"), F.lit(True).alias("is_root")), "top", "left").select("child", "top", "w", F.coalesce("is_root", F.lit(False)).alias("is_root"))
+        solved = cut(flagged.coalesce(1).mapInPandas(solve_small, "kind string, a string, b string, n long"))
+        best = solved.where("kind = 'd'").select(F.col("a").alias("child"), F.col("b").alias("root"), F.col("n").alias("d"))
+        scc = solved.where("kind = 's'").select(F.col("a").alias("key"), F.col("b").alias("scc"))
+        scc = None if scc.isEmpty() else scc
+    else:
+        inner = cut(inner)
+        best = _distances(jedges, inner, roots)
+        scc = _components(inner.select(F.col("child").alias("a"), F.col("top").alias("b")))
     if scc is not None:
         on = scc.select("key")
         near = inner.join(scc.select(F.col("key").alias("child"), F.col("scc").alias("s1")), "child").join(scc.select(F.col("key").alias("top"), F.col("scc").alias("s2")), "top")
         walk = near.where("s1 = s2 and w > 1").select(F.col("parent").alias("key"), "top").distinct()
         walk = cut(walk)
-        while walk.limit(1).count():  # the chains between two such nodes of one loop
+        while not walk.isEmpty():  # the chains between two such nodes of one loop
             on = on.unionByName(walk.select("key"))
             walk = cut(walk.join(single, walk.key == single.child).where("parent <> top").select(F.col("parent").alias("key"), "top").distinct())
         cycles = on if cycles is None else cycles.unionByName(on)
@@ -239,7 +344,7 @@ def paths(df: DataFrame, id_col: str = "id", parents_col: str = "parents", sep:
     pick = f.edges.join(here, f.edges.child == here.key).join(up, ["parent", "root"]).where("pd = depth - 1")
     seg = pick.groupBy("key", "root", "depth").agg(F.min("parent").alias("at")).select("key", "root", "depth", "at", F.array("at").alias("way"))
     seg = cut(seg.unionByName(f.rooted.where("depth = 0").select("key", "root", "depth", F.lit(None).cast("string").alias("at"), F.array().cast("array<string>").alias("way"))))
-    while seg.where("at <> root").limit(1).count():
+    while not seg.where("at <> root").isEmpty():
         b = seg.select(F.col("key").alias("at"), "root", F.col("at").alias("at2"), F.col("way").alias("way2"))
         todo = seg.where("at <> root").join(b, ["at", "root"]).select("key", "root", "depth", F.col("at2").alias("at"), F.concat("way2", "way").alias("way"))
         seg = cut(todo.unionByName(seg.where("at is null or at = root")))
@@ -260,7 +365,7 @@ def closure(edges: DataFrame) -> DataFrame:
         on = known.select(F.col("node").alias("mid"), "ancestor", "distance")
         nxt = far.join(on, "mid").where("node <> ancestor").groupBy("node", "ancestor").agg((F.min("distance") + span).alias("distance"))
         new = cut(nxt.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
-        if new.limit(1).count() == 0:
+        if new.isEmpty():
             return known
         known = cut(known.unionByName(new))
         span *= 2

@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canon, leaks, neighbors, toxicity
+from . import canon, leaks, neighbors, sentences, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """The offsets of the sentence units of every section."""
+    return sentences.found(table(spark, d, "sections"))
+
+
+def p1_units(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of every section in order."""
+    u = sentences.units(table(spark, d, "sections"), "section_id", "text", "section_title")
+    return u.select(F.col("id").alias("section_id"), "unit_index", "start_char", "unit")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nodes whose vectors have a cosine similarity of at least 0.9."""
     pairs = neighbors.similar_pairs(table(spark, d, "graph_nodes"), "node_key", "node_features", 0.9)
@@ -56,5 +67,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_nearest, p5_found, p5_report, p7_found, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_nearest, p5_found, p5_report, p7_found, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canon, leaks, neighbors, sentences, toxicity
+from . import canon, leaks, neighbors, scans, sentences, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,16 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return canon.report(table(spark, d, "sections"), table(spark, d, "canonical_titles"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Headers, page numbers, broken words and misreadings of every page."""
+    return scans.found(table(spark, d, "page_extractions"))
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every page as continuous repaired paragraphs."""
+    return scans.paragraphs(table(spark, d, "page_extractions"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold a passage of an evaluation item."""
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -67,5 +77,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_nearest, p5_found, p5_report, p7_found, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_nearest, p5_found, p5_report, p6_found, p6_paragraphs, p7_found, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canon, leaks, neighbors, scans, sentences, toxicity
+from . import canon, leaks, neighbors, personal, scans, sentences, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,16 @@ def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.col("a").alias("node_key"), F.col("b").alias("neighbor_key"), "rank", F.round("sim", 4).alias("similarity"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Personal data in pages and sections."""
+    return personal.found(table(spark, d, "page_extractions"), table(spark, d, "sections"))
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and sections with typed placeholders for personal data."""
+    return personal.redacted(table(spark, d, "page_extractions"), table(spark, d, "sections"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The canonical title of every filled section title."""
     return canon.found(table(spark, d, "sections"), table(spark, d, "canonical_titles"))
@@ -77,5 +87,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_nearest, p5_found, p5_report, p6_found, p6_paragraphs, p7_found, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_nearest, p4_found, p4_redacted, p5_found, p5_report, p6_found, p6_paragraphs, p7_found, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}

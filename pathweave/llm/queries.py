@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import canon, leaks, neighbors, personal, scans, sentences, toxicity
+from . import canon, leaks, mixing, neighbors, personal, scans, sentences, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,6 +71,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: every use of a document with its shard and its place there."""
+    return mixing.ordered(mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the mixture reaches."""
+    return mixing.shares(mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Abusive, hateful or sexually explicit documents."""
     return toxicity.found(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
@@ -87,5 +97,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_nearest, p4_found, p4_redacted, p5_found, p5_report, p6_found, p6_paragraphs, p7_found, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_nearest, p4_found, p4_redacted, p5_found, p5_report, p6_found, p6_paragraphs, p7_found, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}

@@ -34,6 +34,7 @@ ROUNDS = 25
 
 _PLAIN = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {0x3000: 32, 10: 32, 13: 32, 9: 32, 0xA0: 32, 0x202F: 32, 0x2010: 45, 0x2011: 45, 0x2012: 45, 0x2013: 45, 0x2212: 45}
 
+_ODD = re.compile("[" + "".join(map(re.escape, map(chr, sorted(set(_PLAIN) - {10})))) + "]")
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+-]*( ?@ ?| ?[(\[] ?at ?[)\]] ?)[A-Za-z0-9-]+(?:(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z0-9-]+)*(?:\.| ?[(\[] ?dot ?[)\]] ?)[A-Za-z]{2,}")
 _DIGITS = re.compile(
     r"(?<![A-Za-z0-9@#/.,:-])(?:(?:\+ ?|00)?\(?\d+\)?(?:[ ./-]?\(?\d+\)?)+(?: ?(?:ext\.?|x|Durchwahl|poste|доб\.) ?\d{1,5})?[A-Z]?|XX(?: \d\d){3} [A-Z]|[A-Z]\d{7}|[A-Z]\d{4} \d{5})(?![A-Za-z0-9@])"
@@ -61,6 +62,7 @@ _ADDRESS = [
     re.compile(r"(?:(?<=住)|(?<=住址)|(?<=地址)|(?<=[^一-鿿]))(?!住)[一-鿿]{2,5}[市县州][一-鿿]{1,12}?[路街道巷]\d{1,5}号"),
     re.compile(r"[一-鿿々]{1,4}[市村町区][一-鿿々]{1,6}\d{1,2}丁目[\d-]+"),
 ]
+_ZIP = re.compile(r"\d ?[a-z]?, \d{5} ")
 _HOME = re.compile(r"(?:lives at|mailed to|card reading [^\d]{2,60},|wohnt|Anschrift:|reside en|habite|проживает:|住所は|住|[Aa]ddress:?) ?$")
 _UNIT = re.compile(r"[^.;]{0,3}(?:,? ?(?:Apt|Flat|Unit|#)|, \d{5}|, bajo|, \d\.º|, ?кв|\d*单元|,? [A-Z][a-z]+ \d{5})")
 
@@ -69,8 +71,7 @@ _TITLE = re.compile(r"(?:(?:Dr|Mr|Ms|Mrs|Prof|Dra|Sr|Sra|Hr|Fr|Mag|Dipl)\. ?|(?:
 _L = "(?:[^\\W\\d_]|[\u0300-\u036f\u0900-\u0963\u0e31-\u0e4e\u064b-\u065f])"  #: letters and their marks
 _WORD = rf"{_L}(?:{_L}|['’-](?={_L}))*"
 _CAPS = re.compile(rf"(?=[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ]){_WORD}\.?(?:(?:, | )(?=[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ]){_WORD}\.?){{0,4}}")
-_CAPS_BACK = re.compile(r"((?:[A-ZÀ-ÖØ-ÞĀ-ŽА-ЯЁ][^\W\d_'’.]*(?:[-'’][^\W\d_]+)*\.?(?:, | )?){1,5})$")
-_LOWER_BACK = re.compile(r"(?:^|[.!?;] |\d[.)] |[-•*] )((?:(?:[^\W\d_][^\W\d_'’]+(?:[-'’][^\W\d_]+)*|[^\W\d_]\.) ?){1,4})$")
+_WORD_ONLY = re.compile(_WORD)
 _NAME_ONLY = re.compile(rf"(?:{_WORD}\.?|,)(?:[ ,]+{_WORD}\.?)*")
 _HAN = "一-鿿々"
 _HAN_BACK = re.compile(rf"(?:^|[。！？、，；：\s\d.)）%％])([{_HAN}]{{1,5}}[ ]?[{_HAN}]{{1,4}}|[{_HAN}]{{2,5}})$")
@@ -94,9 +95,24 @@ ROMANCE = {"Rappeler ", "Informe firmado por ", "Avisar a ", "La patiente ", "Le
 WEAK_RIGHT = {", the ", " unter ", " au ", " el ", " (", ", ", ". ", "。"}
 
 
+#: What a text must hold for each address pattern to be tried.
+ADDRESS_SIGNS = [
+    (" St", " Road", " Rd", " Lane", " Ln", " Ave", " Blvd", " Boulevard", " Court", " Ct", " Way", " Terrace", " Drive", " Row", " Place", " Close", " Square"),
+    (", 0", ", 1", ", 2", ", 3", ", 4", ", 5", ", 6", ", 7", ", 8", ", 9"),
+    ("C/", "Calle ", "Plaza ", "Avda.", "Avenida ", "Paseo ", "Camino ", "Ronda "),
+    (", rue", ", av.", ", avenue", ", impasse", ", boulevard", ", place", ", chemin", ", allée", ", quai", ", bd"),
+    (" д.", ",д."),
+    ("号",),
+    ("丁目",),
+]
+
+
 def automaton() -> ahocorasick.Automaton:
-    """All cues in one automaton: values are (side, cue)."""
+    """All cues in one automaton: values are (side, cue), for signs of an address ('A', number of the pattern)."""
     a = ahocorasick.Automaton()
+    for i, signs in enumerate(ADDRESS_SIGNS):
+        for c in signs:
+            a.add_word(c, ("A", i))
     for c in LEFT:
         a.add_word(c, ("L", c))
     for c in sorted(ALONE):
@@ -115,8 +131,10 @@ def _bits(*votes: Any) -> int:
 def numbers(t: str) -> Iterator[Span]:
     """Phone and identity numbers."""
     for m in _DIGITS.finditer(t):
-        s, e = m.span()
         x = m.group()
+        if len(x) < 7 or _DATE.fullmatch(x) and "-" not in x[-3:-2] and x[0] not in "+0":
+            continue
+        s, e = m.span()
         before = t[max(0, s - 28) : s]
         if x.count("(") > x.count(")"):
             continue
@@ -153,9 +171,11 @@ def emails(t: str) -> Iterator[Span]:
         yield "EMAIL", m.start(), m.end(), _bits(plain, not plain, cue, re.search(r"(?:test|example|invalid|org|com|net|edu|de|fr|es|ru|cn|jp)$", m.group()), True), m.group()
 
 
-def addresses(t: str) -> Iterator[Span]:
-    for p in _ADDRESS:
-        for m in p.finditer(t):
+def addresses(t: str, patterns: set[int]) -> Iterator[Span]:
+    for i in patterns:
+        if i == 1 and not _ZIP.search(t):
+            continue
+        for m in _ADDRESS[i].finditer(t):
             s, e = m.span()
             yield "ADDRESS", s, e, _bits(True, _HOME.search(t[max(0, s - 80) : s]), _UNIT.match(t[e : e + 24]), not re.search(r"\d ?(?:cm|mm|x)\b", m.group()), True), m.group()
 
@@ -177,9 +197,30 @@ def _tidy(t: str, s: int, e: int) -> tuple[int, int]:
     return s, e
 
 
-def names(t: str, cues: ahocorasick.Automaton) -> Iterator[Span]:
+def _words_back(t: str, e: int, capital: bool) -> int:
+    """Start of the run of at most five words of a name that ends at ``e``; of words in lower case the run must
+    begin a sentence. ``e`` itself if there is none."""
+    s, n = e, 0
+    while n < 5 and s > 0:
+        if t[s - 1] == " ":
+            s -= 1
+        at = t.rfind(" ", max(0, s - 40), s) + 1
+        w = t[at:s]
+        core = w.rstrip(",.")
+        if not core or not _WORD_ONLY.fullmatch(core) or w.endswith(".") and len(core) > 1 or capital and not core[0].isupper() or w.endswith(",") and n == 0:
+            s += 1 if s < e and t[s] == " " else 0
+            break
+        s, n = at, n + 1
+    if not n:
+        return e
+    if not capital and not (s == 0 or t[: s].rstrip(" ")[-1:] in ".!?;)-•*" or t[s - 2 : s - 1].isdigit()):
+        return e
+    return s
+
+
+def names(t: str, hits: list[tuple[int, tuple[str, Any]]]) -> Iterator[Span]:
     """Names by the cues around them."""
-    for end, (side, cue) in cues.iter(t):
+    for end, (side, cue) in hits:
         at = end + 1
         if side == "L":
             first = at - len(cue)
@@ -225,15 +266,18 @@ def names(t: str, cues: ahocorasick.Automaton) -> Iterator[Span]:
             weak_right = right in (", the ", " unter ", " au ", " el ", " (", ". ") or not right and t[e - 1 : e + 1].rstrip()[-1:] in (".", ",")
         else:
             e = at - len(cue)
-            back = t[max(0, e - 60) : e]
-            m = (_HAN_BACK if cue in ("医師", ",证件号", "(ID") else _CAPS_BACK).search(back)
-            if not m or not m.group(1).strip():
-                m = _LOWER_BACK.search(back) if cue in (" lives at", " was informed", " and transcribed", " wurde um") else None
-            if not m and cue in (" เลขที่", " โทร"):
-                m = re.search(r"([฀-๿]+ [฀-๿]+)$", back)
-            if not m:
+            if cue in ("医師", ",证件号", "(ID"):
+                m = _HAN_BACK.search(t[max(0, e - 14) : e])
+                s = max(0, e - 14) + m.start(1) if m else e
+            elif cue in (" เลขที่", " โทร"):
+                m = re.search(r"([฀-๿]+ [฀-๿]+)$", t[max(0, e - 60) : e])
+                s = max(0, e - 60) + m.start(1) if m else e
+            else:
+                s = _words_back(t, e, True)
+                if s == e and cue in (" lives at", " was informed", " and transcribed", " wurde um"):
+                    s = _words_back(t, e, False)
+            if s == e:
                 continue
-            s = max(0, e - 60) + m.start(1)
             if cue in (" a validé", " en el tel") and (m := _ROMANCE.match(t, s, e)):
                 s = m.end()
             titled = bool(_TITLE.match(t, s, e)) or bool(re.search(r"(?:Dr|Mr|Ms|Mrs|Prof|Nurse|Frau|Herr|Mme|Sr|Sra|Dra|M|D|Pr)\.? $", t[:s][-6:]))
@@ -254,9 +298,13 @@ KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 
 def candidates(text: str, cues: ahocorasick.Automaton) -> list[Span]:
     """All candidate spans of a text with their votes; one span per place and kind, with the votes united."""
-    t = text.translate(_PLAIN) + " "
+    t = text.replace("\n", " ") + " "
+    if _ODD.search(t):
+        t = t.translate(_PLAIN)
+    hits = list(cues.iter(t))
+    patterns = {i for _, (side, i) in hits if side == "A"}
     found: dict[tuple[str, int], Span] = {}
-    sources: list[Iterator[Span]] = [numbers(t), addresses(t), names(t, cues)]
+    sources: list[Iterator[Span]] = [numbers(t), addresses(t, patterns), names(t, [h for h in hits if h[1][0] != "A"])]
     if "@" in t or "at)" in t or "at]" in t or "at )" in t:
         sources.append(emails(t))
     for source in sources:

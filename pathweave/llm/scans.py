@@ -21,15 +21,19 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 from typing import Any
 
+import ahocorasick
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, small_side
 
 REPAIRS = 200_000
+FLUSH = 500_000  #: counts that a task holds before it hands them on
 TOP, BOTTOM = 3, 2  #: lines at a page's edges that a header or footer may be
 EDGE_SHARE = 0.85  #: of a masked line's occurrences that must be at an edge
 SHORTEST = 8  #: letters and digits that a header has at least; less is a remnant of the text layer
@@ -43,12 +47,16 @@ GLYPHS: dict[str, tuple[str, ...]] = {
     "t": ("f",), "s": ("5",), "b": ("6", "h"), "c": ("e",), "li": ("h",), "w": ("vv",), "cl": ("d",), "rn": ("m",), "ri": ("n",), "q": ("g", "9"), "z": ("2",), "v": ("u",), "f": ("t",), "th": ("tb",),
 }
 _SINGLE = str.maketrans("1i|!jo0s59gqbh6ecuvaäft2z", "lllllooss" + "ggghhhccuuaattzz")
+_GLYPH_PAIRS = [(chr(a), chr(b)) for a, b in _SINGLE.items() if a != b] + [("rl", "n"), ("rn", "m"), ("cl", "d"), ("ll", "h"), ("nn", "m")]
 _TOKEN = re.compile(r"[^\W_]+")
 _CODE = re.compile(r"\d+|[A-Z]{1,4}\d+[A-Z]?|\d+[A-Za-z]|\d+x\d+|[A-Z\d]{2,6}(?<=\d)|(?=\w*\d\w*\d)\w+")
 _BROKEN = re.compile(r"([^\W\d_]+)([-‐‑¬­])$")
-_FRAGMENTS = re.compile(r"[^\W_]+[-‐‑¬­]\n[^\W_]+")
+_FRAGMENT = re.compile(r"[-‐‑¬\xad]\n[^\W_]+")
 _PLAIN_NUMBER = re.compile(r"[\[(]?\d{1,4}(?:/\d{1,4})?[\])]?")
-_NUMBER = re.compile(r"\S*\d\S*")
+_NUMBER = re.compile(r"(?<!\S)[^\s\d]*\d\S*")
+_NO_DIGITS = str.maketrans("", "", "0123456789")
+_DIGIT = re.compile(r"\d")
+_HYPHENS = "-‐‑¬\xad"
 _PAGE = re.compile(
     r"^\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4}(?:\s*/\s*\d{1,4})?"
     r"|(?:p[a-z]?[gc]e?|pg|p|seite|page|página|pagina|pag|стр|страница|folio)\b[.:]?\s*[\dlIO]{1,4}(?:\s*(?:/|of|von|de|sur|из|\|)\s*[\dlIO]{1,4})?"
@@ -82,16 +90,25 @@ def explains(right: str, wrong: str, most: int = 3) -> int:
 
 
 def _mask(m: re.Match[str]) -> str:
-    """A number, or a code with digits, as one sign; a word with one misread letter stays."""
+    """A number, or a code with digits, as one sign; a word with one or two misread letters stays."""
     t = m.group()
-    digits = sum(ch.isdigit() for ch in t)
-    return t if digits <= 2 and sum(ch.isalpha() for ch in t) >= 4 and t.count("-") < 2 else "#"
+    letters = t.translate(_NO_DIGITS)
+    return t if len(letters) >= 4 and len(t) - len(letters) <= 2 and letters.replace("-", "", 1).isalpha() else "#"
+
+
+def masked_lines(text: str) -> list[str]:
+    """The lines of a text with their numbers and codes as one sign, compared by skeleton. A word with one or two
+    misread letters is no code."""
+    t = text.lower()
+    if _DIGIT.search(t):
+        t = _NUMBER.sub(_mask, t)
+    for glyph, same in _GLYPH_PAIRS:  # faster on a whole page than a translation table
+        t = t.replace(glyph, same)
+    return t.split("\n")
 
 
 def masked(line: str) -> str:
-    """A line with its numbers as one sign, compared by skeleton."""
-    t = _NUMBER.sub(_mask, line.strip().lower())
-    return t.translate(_SINGLE).replace("rl", "n").replace("rn", "m").replace("cl", "d").replace("ll", "h").replace("nn", "m")[:120]
+    return masked_lines(line)[0].strip()
 
 
 def labels_only(key: str) -> str:
@@ -105,27 +122,64 @@ def edge_lines(lines: list[str]) -> set[int]:
     return {*filled[:TOP], *filled[-BOTTOM:]}
 
 
+def without_fragments(text: str) -> str:
+    """The text without words that a line break divides."""
+    kept, last = [], 0
+    for m in _FRAGMENT.finditer(text):
+        s = m.start()
+        while s > last and text[s - 1].isalnum():
+            s -= 1
+        kept.append(text[last:s])
+        last = m.end()
+    return "".join(kept) + text[last:] if kept else text
+
+
+def _counted(pairs: Counter[tuple[str, str]], lines: dict[str, list[int]]) -> pd.DataFrame:
+    """Counts as rows. Lines meet by a hash of their masked form; only forms seen at an edge are spelled out."""
+    words, forms = list(pairs), list(lines)
+    none, blank = [0] * len(words), [""] * len(forms)
+    counts = list(lines.values())
+    return pd.DataFrame(
+        {
+            "a": [x for x, _ in words] + blank,
+            "b": [y for _, y in words] + blank,
+            "h": none + [xxhash.xxh64_intdigest(k) - (1 << 63) or 1 for k in forms],
+            "key": [None] * len(words) + [k if c[1] else None for k, c in zip(forms, counts)],
+            "n": list(pairs.values()) + [c[0] for c in counts],
+            "edge": none + [c[1] for c in counts],
+            "own": none + [c[2] for c in counts],
+        }
+    )
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    pairs: Counter[tuple[str, str]] = Counter()
+    lines: dict[str, list[int]] = {}
     for b in batches:
-        pairs: Counter[tuple[str, str]] = Counter()
-        lines: dict[str, list[int]] = {}
         for text, page in zip(b["text"], b["page_number"]):
-            # Letter case of the first letter is kept out of the forms, numbers are one form
-            ws = [w for w in _TOKEN.findall(_FRAGMENTS.sub(" ", text).lower()) if not w.isdigit()]
-            pairs.update(zip(["^", *ws], ws))
+            ws = ["^", *filterfalse(str.isdigit, _TOKEN.findall(without_fragments(text).lower()))]
+            pairs.update(zip(ws, ws[1:]))
             split = text.split("\n")
             edges = edge_lines(split)
+            forms = masked_lines(text)
             for i, x in enumerate(split):
-                if not x.strip():
+                if not x:
                     continue
-                k = masked(x)
-                at = lines.setdefault(labels_only(k), [0, 0, 0])
+                k = forms[i].strip()
+                if ":" in k:
+                    k = labels_only(k)
+                at = lines.get(k)
+                if at is None:
+                    at = lines[k] = [0, 0, 0]
                 at[0] += 1
                 if i in edges:
                     at[1] += 1
                     if "#" in k and page == page and str(int(page)) in re.findall(r"\d+", x):
                         at[2] += 1
-        yield pd.DataFrame([("w", x, y, n, 0, 0) for (x, y), n in pairs.items()] + [("l", k, "", *v) for k, v in lines.items()], columns=["kind", "a", "b", "n", "edge", "own"])
+        if len(pairs) + len(lines) > FLUSH:
+            yield _counted(pairs, lines)
+            pairs, lines = Counter(), {}
+    yield _counted(pairs, lines)
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,15 +196,15 @@ def statistics(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word pairs (a, b, n), edge lines (key, page_no)) of all pages (text, page_number)."""
     seen = cut(
         pages.select("text", "page_number")
-        .mapInPandas(_count, "kind string, a string, b string, n long, edge long, own long")
-        .groupBy("kind", "a", "b")
-        .agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.sum("own").alias("own"))
-        .where(f"kind = 'w' or edge >= {RECURS}")
+        .mapInPandas(_count, "a string, b string, h long, key string, n long, edge long, own long")
+        .groupBy("h", "a", "b")
+        .agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.sum("own").alias("own"), F.max("key").alias("key"))
+        .where(f"h = 0 or edge >= {RECURS}")
     )
     total = pages.count()
-    prose = "(a rlike '[^0-9][.,;]$' or a rlike '^[a-z(]+ [a-z]+ [a-z]+ [a-z]+.*[.]$')"  # ends like a sentence: must recur far more
-    lines = seen.where(f"kind = 'l' and edge >= {EDGE_SHARE} * n and (edge >= {0.01 * total} or not {prose})").select(F.col("a").alias("key"), (F.col("own") >= 0.7 * F.col("edge")).alias("page_no"))
-    return seen.where("kind = 'w'").select("a", "b", "n"), lines
+    prose = "(key rlike '[^0-9][.,;]$' or key rlike '^[a-z(]+ [a-z]+ [a-z]+ [a-z]+.*[.]$')"  # ends like a sentence: must recur far more
+    lines = seen.where(f"h <> 0 and edge >= {EDGE_SHARE} * n and (edge >= {0.01 * total} or not {prose})").select("key", (F.col("own") >= 0.7 * F.col("edge")).alias("page_no"))
+    return seen.where("h = 0").select("a", "b", "n"), lines
 
 
 def vocabulary(pairs: DataFrame) -> DataFrame:
@@ -182,13 +236,23 @@ class Repairer:
     def __init__(self, fix: dict[str, str], known: dict[str, int], edge: dict[str, bool]):
         self.fix, self.known, self.edge = fix, known, edge
         self.frames = {skeleton(w) for w, n in known.items() if n >= FREQUENT}
+        self.wrong = ahocorasick.Automaton()
+        for w in fix:
+            self.wrong.add_word(w, w)
+        if fix:
+            self.wrong.make_automaton()
+
+    def hits(self, low: str) -> set[str]:
+        """The words to repair that a text holds."""
+        if not self.fix:
+            return set()
+        n = len(low)
+        return {w for e, w in self.wrong.iter(low) if (e + 1 == n or not low[e + 1].isalnum()) and (e < len(w) or not low[e - len(w)].isalnum())}
 
     def right(self, token: str, fix: dict[str, str]) -> str | None:
         """The form a misread token stands for."""
-        if len(token) < 2 or token.isdigit() or (_CODE.fullmatch(token) and not (token.isalpha())):
-            return None
         r = fix.get(token.lower())
-        if r is None or token.isupper() and len(token) <= 3:
+        if r is None or len(token) < 2 or token.isupper() and len(token) <= 3 or not token.isalpha() and _CODE.fullmatch(token):
             return None
         return r.upper() if token.isupper() else r.capitalize() if token[0].isupper() else r
 
@@ -212,51 +276,55 @@ class Repairer:
         """(line number, kinds joined by '+', repaired line, joins the next without a blank) of every line."""
         fix = self.fix if fix is None else fix
         split = text.split("\n")
-        edges = edge_lines(split)
-        out: list[list[Any]] = []
+        n = len(split)
+        kinds: list[str] = [""] * n
+        for i in edge_lines(split):
+            x = split[i]
+            own = self.edge.get(labels_only(masked(x)))
+            numbers = [t for t in x.split() if _DIGIT.search(t)]
+            if _PAGE.match(x) and len(x.strip()) < 40 or own and numbers and all(_PLAIN_NUMBER.fullmatch(t) for t in numbers):
+                kinds[i] = "page_no"
+            elif own is not None and sum(ch.isalnum() for ch in x) >= SHORTEST:
+                kinds[i] = "header"
+        outside = ("header", "page_no")
+        low = text.lower()
+        hits = self.hits(low) if fix is self.fix and len(low) == len(text) else fix.keys() & _TOKEN.findall(low)
+        out: list[tuple[int, str, str, bool]] = []
+        inherited = ""
+        joined_before = False
         for i, x in enumerate(split):
-            kind = ""
-            if i in edges and x.strip():
-                own = self.edge.get(labels_only(masked(x)))
-                numbers = [t for t in x.split() if any(ch.isdigit() for ch in t)]
-                if _PAGE.match(x) and len(x.strip()) < 40 or own and numbers and all(_PLAIN_NUMBER.fullmatch(t) for t in numbers):
-                    kind = "page_no"
-                elif own is not None and sum(ch.isalnum() for ch in x) >= SHORTEST:
-                    kind = "header"
-            out.append([i, kind, x, False])
-        for i, row in enumerate(out):
-            if row[1] in ("header", "page_no") or not row[2].strip():
+            if kinds[i] in outside:
+                out.append((i, kinds[i], x, False))
+                inherited, joined_before = "", False
                 continue
-            x = row[2].rstrip()
-            m = _BROKEN.search(x)
+            kind, inherited = inherited, ""
+            x = x.rstrip()
             tail = ""
-            if m and i + 1 < len(out) and out[i + 1][1] not in ("header", "page_no"):
-                nxt = _TOKEN.match(split[i + 1].lstrip())
-                if nxt and self.is_broken(m.group(1), m.group(2), nxt.group()):
-                    row[1] = f"{row[1]}+hyphen".strip("+")
-                    row[3] = True
+            if x and x[-1] in _HYPHENS and i + 1 < n and kinds[i + 1] not in outside:
+                m = _BROKEN.search(x)
+                nxt = _TOKEN.match(split[i + 1].lstrip()) if m else None
+                if m and nxt and self.is_broken(m.group(1), m.group(2), nxt.group()):
                     tail = m.group(1)
-                    whole = self.right(m.group(1) + nxt.group(), fix)
-                    if whole:
-                        in_tail = not whole.lower().startswith(m.group(1).lower())
-                        in_next = not whole.lower().endswith(nxt.group().lower())
-                        if in_tail:
-                            row[1] += "+misread"
-                        if in_next:
-                            out[i + 1][1] = "misread"
-            skip_first = out[i - 1][3] if i else False
-            marks = list(_TOKEN.finditer(x))
-            if skip_first:
-                marks = marks[1:]
-            if tail and marks:
-                marks = marks[:-1]
-            fixed = [(t.start(), t.end(), r) for t in marks if (r := self.right(t.group(), fix))]
-            if fixed and "misread" not in row[1]:
-                row[1] = f"{row[1]}+misread".strip("+")
-            for s, e, r in reversed(fixed):
-                x = x[:s] + r + x[e:]
-            row[2] = x[:-1] if tail else x
-        return [tuple(r) for r in out]  # type: ignore[misc]
+                    kind = f"hyphen+{kind}".strip("+")
+                    whole = self.right(tail + nxt.group(), fix)
+                    if whole and not whole.lower().startswith(tail.lower()) and "misread" not in kind:
+                        kind += "+misread"
+                    if whole and not whole.lower().endswith(nxt.group().lower()):
+                        inherited = "misread"
+            if hits:
+                here = x.lower()
+                if any(h in here for h in hits):
+                    marks = list(_TOKEN.finditer(x))[1 if joined_before else 0 :]
+                    if tail:
+                        marks = marks[:-1]
+                    fixed = [(t.start(), t.end(), r) for t in marks if (r := self.right(t.group(), fix))]
+                    if fixed and "misread" not in kind:
+                        kind = f"{kind}+misread".strip("+")
+                    for s, e, r in reversed(fixed):
+                        x = x[:s] + r + x[e:]
+            joined_before = bool(tail)
+            out.append((i, kind, x[:-1] if tail else x, bool(tail)))
+        return out
 
 
 def _marker(fix: dict[str, str] | None, known: dict[str, int], edge: dict[str, bool], marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -122,7 +122,7 @@ def best_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 _DOT = "chr(1)"
-_SENT = rf"""
+SENTENCES = rf"""
 s0 AS (SELECT DISTINCT section_id, document_id, section_index, section_title, text FROM sections WHERE text IS NOT NULL),
 s1 AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(160), ' '), chr(8203), ''), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS x FROM s0),
 s2 AS (SELECT *, list_filter(list_transform(regexp_split_to_array(x, '\n\s*\n+'), lambda p: trim(replace(p, chr(10), ' '))), lambda p: p <> '') AS ps FROM s1),
@@ -133,13 +133,13 @@ sv AS (SELECT document_id, section_id, section_index, section_title, unnest(ss)
 """
 
 
-def _sentences(spark: SparkSession, d: str) -> DataFrame:
+def sentences(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sections").select("section_id", "document_id", "section_index", "section_title", "text").where("text is not null").distinct()
     return s.select("document_id", "section_id", "section_index", "section_title", F.posexplode(t.split_sentences("text")).alias("section_sentence_index", "text"))
 
 
 @query(
-    f"""WITH {_SENT} SELECT document_id, section_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY section_index, section_id, section_sentence_index) - 1 AS INTEGER) AS sentence_index,
+    f"""WITH {SENTENCES} SELECT document_id, section_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY section_index, section_id, section_sentence_index) - 1 AS INTEGER) AS sentence_index,
 CAST(section_sentence_index AS INTEGER) AS section_sentence_index, length(text) AS characters FROM sv"""
 )
 def sentence_ordinals(spark: SparkSession, d: str) -> DataFrame:
@@ -147,11 +147,11 @@ def sentence_ordinals(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("document_id").orderBy("section_index", "section_id", "section_sentence_index")
-    return _sentences(spark, d).select("document_id", "section_id", (F.row_number().over(w) - 1).alias("sentence_index"), "section_sentence_index", F.length("text").cast("long").alias("characters"))
+    return sentences(spark, d).select("document_id", "section_id", (F.row_number().over(w) - 1).alias("sentence_index"), "section_sentence_index", F.length("text").cast("long").alias("characters"))
 
 
 @query(
-    f"""WITH {_SENT}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section_index, section_id, section_sentence_index) - 1 AS i FROM sv)
+    f"""WITH {SENTENCES}, o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY section_index, section_id, section_sentence_index) - 1 AS i FROM sv)
 SELECT document_id, section_id, min(i) AS sentence_start, max(i) + 1 AS sentence_end, count(*) AS sentence_count FROM o GROUP BY document_id, section_id"""
 )
 def section_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -159,7 +159,7 @@ def section_spans(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     w = Window.partitionBy("document_id").orderBy("section_index", "section_id", "section_sentence_index")
-    x = _sentences(spark, d).withColumn("i", F.row_number().over(w).cast("long") - 1)
+    x = sentences(spark, d).withColumn("i", F.row_number().over(w).cast("long") - 1)
     return x.groupBy("document_id", "section_id").agg(F.min("i").alias("sentence_start"), (F.max("i") + 1).alias("sentence_end"), F.count(F.lit(1)).alias("sentence_count"))
 
 
@@ -176,10 +176,10 @@ def _mask_sql() -> str:
     return f"{', '.join(steps)}, u AS (SELECT unnest({names}) AS reason, unnest(counts) AS n FROM {last}) SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM u WHERE n > 0 GROUP BY reason"
 
 
-@query(f"WITH {_SENT}, m0 AS (SELECT {_LINE.format('text')} AS x, CAST([] AS BIGINT[]) AS counts FROM sv), {_mask_sql()}")
+@query(f"WITH {SENTENCES}, m0 AS (SELECT {_LINE.format('text')} AS x, CAST([] AS BIGINT[]) AS counts FROM sv), {_mask_sql()}")
 def mask_counts(spark: SparkSession, d: str) -> DataFrame:
     """How often each mask that needs no look-behind applies in the sections' sentences."""
-    x = _sentences(spark, d).select(t.normalize_line("text").alias("x"))
+    x = sentences(spark, d).select(t.normalize_line("text").alias("x"))
     counts = []
     for name, pattern, put in c.MASKS:
         if "(?<" not in pattern:
@@ -190,23 +190,23 @@ def mask_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""WITH {_SENT}, l AS (SELECT section_id, {_LINE.format("text")} AS line FROM sv)
+    rf"""WITH {SENTENCES}, l AS (SELECT section_id, {_LINE.format("text")} AS line FROM sv)
 SELECT section_id, count(*) AS sentences, count(*) FILTER ({_SIGNAL}) AS with_stage, count(*) FILTER (regexp_matches(line, '{c.KEEP_HINTS.replace("(?iu)", "(?i)")}')) AS with_hint,
 count(*) FILTER (({_SIGNAL}) AND NOT regexp_matches(line, '{c.KEEP_HINTS.replace("(?iu)", "(?i)")}')) AS stage_only FROM l GROUP BY section_id"""
 )
 def stage_signals(spark: SparkSession, d: str) -> DataFrame:
     """Sentences that tell a stage, that give a reason to keep them, and that are dropped, per section."""
-    x = _sentences(spark, d).select("section_id", c.has_stage_signal(F.col("text")).alias("a"), c.has_keep_hint(F.col("text")).alias("b"))
+    x = sentences(spark, d).select("section_id", c.has_stage_signal(F.col("text")).alias("a"), c.has_keep_hint(F.col("text")).alias("b"))
     return x.groupBy("section_id").agg(F.count(F.lit(1)).alias("sentences"), F.count_if("a").alias("with_stage"), F.count_if("b").alias("with_hint"), F.count_if(F.col("a") & ~F.col("b")).alias("stage_only"))
 
 
 @query()
 def filter_modes(spark: SparkSession, d: str) -> DataFrame:
     """Sentences and characters that each filter mode leaves."""
-    s = _sentences(spark, d)
+    s = sentences(spark, d)
     out = None
     for mode in ("full", "no_diagnosis", "masked", "no_diagnosis_masked"):
-        x = c.filter_sentences(s, mode)
+        x = c.filtersentences(s, mode)
         text = F.col("masked" if mode.endswith("masked") else "text")
         g = x.agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length(text)).alias("characters")).withColumn("mode", F.lit(mode))
         out = g if out is None else out.unionByName(g)
@@ -217,7 +217,7 @@ def filter_modes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mask_reasons(spark: SparkSession, d: str) -> DataFrame:
     """How often each mask applies in the whole chain, context masks included."""
-    return c.reason_totals(c.filter_sentences(_sentences(spark, d), "masked"))
+    return c.reason_totals(c.filtersentences(sentences(spark, d), "masked"))
 
 
 @query()

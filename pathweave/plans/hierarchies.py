@@ -8,7 +8,7 @@ from ..operators import hierarchy
 from ..registry import query
 from ..runtime import table
 
-_LINKS = """
+LINKS = """
 c AS (SELECT DISTINCT lower(trim(id)) AS k, id FROM concepts WHERE trim(id) <> ''),
 e AS (SELECT DISTINCT x.k AS child, x.p AS parent
       FROM (SELECT lower(trim(id)) AS k, lower(trim(unnest(parents))) AS p FROM concepts) x
@@ -20,7 +20,7 @@ roots AS (SELECT k FROM c WHERE k NOT IN (SELECT child FROM e)),
 
 
 @query(
-    f"""WITH RECURSIVE {_LINKS}
+    f"""WITH RECURSIVE {LINKS}
 walk(node, root, d) AS (
   SELECT k, k, 0 FROM roots
   UNION SELECT e.child, walk.root, walk.d + 1 FROM walk JOIN e ON e.parent = walk.node WHERE walk.d < (SELECT count(*) FROM c)),
@@ -35,7 +35,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_LINKS}
+    f"""WITH RECURSIVE {LINKS}
 walk(node, root, d) AS (
   SELECT k, k, 0 FROM roots
   UNION SELECT e.child, walk.root, walk.d + 1 FROM walk JOIN e ON e.parent = walk.node WHERE walk.d < (SELECT count(*) FROM c)),
@@ -53,7 +53,7 @@ def p3_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE {_LINKS}
+    f"""WITH RECURSIVE {LINKS}
 down(node, ancestor, d) AS (
   SELECT child, parent, 1 FROM e WHERE child <> parent
   UNION SELECT down.node, e.parent, down.d + 1 FROM down JOIN e ON e.child = down.ancestor WHERE down.d < (SELECT count(*) FROM c))

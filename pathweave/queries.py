@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from .plans import cleaning, hierarchies  # noqa: F401
+from .plans import cleaning, concepts, graphs, hierarchies, runs, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

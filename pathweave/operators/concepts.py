@@ -50,7 +50,12 @@ def phrase_hits(texts: DataFrame, key: str, text: str, lex: DataFrame) -> DataFr
     if not lengths:
         return texts.select(key, F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("concept_id")).limit(0)
     t = texts.select(key, tokens(text).alias("ts")).where(F.size("ts") > 0)
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("ts") - k + 1, F.lit(1))), lambda i, k=k: F.struct((i - 1).alias("start"), F.lit(k).alias("n"), F.array_join(F.slice("ts", i, k), " ").alias("phrase"))) for k in lengths]
+
+    def runs(k: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("ts") - k + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.struct((i - 1).alias("start"), F.lit(k).alias("n"), F.array_join(F.slice("ts", i, k), " ").alias("phrase")))
+
+    grams = [runs(k) for k in lengths]
     return t.select(key, F.explode(F.concat(*grams)).alias("g")).select(key, "g.start", "g.n", "g.phrase").join(small_side(lex, lex.count()), ["phrase", "n"]).select(key, "start", "n", "concept_id")
 
 

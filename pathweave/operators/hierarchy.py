@@ -86,7 +86,8 @@ def on_loops(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at = up[at]
                 if at == end:
                     break
-    yield pd.DataFrame({"key": loops}, dtype="object")
+    if loops:
+        yield pd.DataFrame({"key": loops})
 
 
 def solve_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,7 +115,7 @@ def solve_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for c, w in down.get(at, ()):
                     if c not in best:
                         heapq.heappush(heap, (d + w, c))
-        yield pd.DataFrame({"kind": "d", "a": list(best), "b": r, "n": list(best.values())})
+        yield pd.DataFrame({"kind": ["d"] * len(best), "a": list(best), "b": [r] * len(best), "n": list(best.values())})
     order: dict[str, int] = {}
     low: dict[str, int] = {}
     stack: list[str] = []
@@ -152,7 +153,8 @@ def solve_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         break
                 if len(part) > 1 or at in up[at]:
                     rows += [(x, at) for x in part]
-    yield pd.DataFrame({"kind": "s", "a": [x for x, _ in rows], "b": [y for _, y in rows], "n": 0})
+    if rows:
+        yield pd.DataFrame({"kind": ["s"] * len(rows), "a": [x for x, _ in rows], "b": [y for _, y in rows], "n": [0] * len(rows)})
 
 
 @dataclass

@@ -50,11 +50,22 @@ def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("concept_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("section_id").alias("sections"))
 
 
-@query()
+_BUILT_IN = ", ".join(f"('{i}', '{p}')" for i, n, syn, _ in c.BUILT_IN for p in (n, *syn))
+
+
+@query(
+    f"""WITH lex AS (SELECT i AS concept_id, p AS phrase, len(string_split(p, ' ')) AS n FROM (VALUES {_BUILT_IN}) v(i, p)),
+sx AS (SELECT DISTINCT section_id, {_TOKENS.format("text")} AS ts FROM sections WHERE text IS NOT NULL),
+st AS (SELECT section_id, ts, n, unnest(range(0, greatest(len(ts) - n + 1, 1))) AS start FROM sx, (SELECT DISTINCT n FROM lex) WHERE len(ts) > 0),
+h AS (SELECT section_id, start, st.n, concept_id FROM st JOIN lex ON lex.n = st.n AND lex.phrase = array_to_string(ts[start + 1:start + st.n], ' '))
+SELECT concept_id, count(*) AS mentions, count(DISTINCT section_id) AS sections FROM h
+WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.section_id = h.section_id AND x.n > h.n AND x.start <= h.start AND x.start + x.n >= h.start + h.n) GROUP BY concept_id"""
+)
 def concept_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Longest non-overlapping mentions of concepts in the sections."""
-    h = c.phrase_hits(_sections(spark, d), "section_id", "text", _lexicon(spark, d))
-    return c.longest_matches(h, "section_id")
+    """Longest non-overlapping mentions of the built-in ontology's concepts in the sections."""
+    built_in = spark.createDataFrame([(i, n, list(syn), True) for i, n, syn, _ in c.BUILT_IN], "id string, name string, synonyms array<string>, match_enabled boolean")
+    m = c.longest_matches(c.phrase_hits(_sections(spark, d), "section_id", "text", c.lexicon(built_in)), "section_id")
+    return m.groupBy("concept_id").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("section_id").alias("sections"))
 
 
 @query(

@@ -151,10 +151,16 @@ class Channel:
         return min(ends)[1] if ends else token
 
 
+def _joined(spelled: str, channel: Channel) -> str:
+    """A spelled-out word; a first letter that leaves a known word behind is a word of its own."""
+    w = re.sub(r"[ .\-_]", "", spelled)
+    return f"{w[0]} {w[1:]}" if w not in channel.known and w[1:] in channel.known else w
+
+
 def restore(text: str, channel: Channel) -> str:
     """The text in lower case with disguised words restored."""
     t = fold(text)
-    t = _SPELLED.sub(lambda m: " ".join(re.sub(r"[ .\-_]", "", w) for w in re.split(r" {2,}", m.group())), t)
+    t = _SPELLED.sub(lambda m: " ".join(_joined(w, channel) for w in re.split(r" {2,}", m.group())), t)
     return _DISGUISED.sub(lambda m: channel.decode(m.group().rstrip("!")), t)
 
 

@@ -12,7 +12,8 @@ Defined results
   * Lines are what line feeds separate, numbered from 0. Null and empty texts have no line to report.
   * A header, footer or page-number line counts only as that; of the two, page number goes first.
   * Repeated rows of a page count once. Extra columns are ignored; an empty table gives an empty result.
-  * Repairs are handed to all tasks up to REPAIRS words; beyond that they are joined to the pages' words.
+  * Repairs, broken words and recurring lines are handed to all tasks if each has at most SHARED rows; beyond that
+    all are joined to the pages that need them, with the same result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import filterfalse
-from typing import Any
 
 import ahocorasick
 import pandas as pd
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, small_side
 
-REPAIRS = 200_000
+SHARED = 200_000
 FLUSH = 500_000  #: counts that a task holds before it hands them on
 TOP, BOTTOM = 3, 2  #: lines at a page's edges that a header or footer may be
 EDGE_SHARE = 0.85  #: of a masked line's occurrences that must be at an edge
@@ -52,7 +52,11 @@ _TOKEN = re.compile(r"[^\W_]+")
 _CODE = re.compile(r"\d+|[A-Z]{1,4}\d+[A-Z]?|\d+[A-Za-z]|\d+x\d+|[A-Z\d]{2,6}(?<=\d)|(?=\w*\d\w*\d)\w+")
 _BROKEN = re.compile(r"([^\W\d_]+)([-‐‑¬­])$")
 _FRAGMENT = re.compile(r"[-‐‑¬\xad]\n[^\W_]+")
-_PLAIN_NUMBER = re.compile(r"[\[(]?\d{1,4}(?:/\d{1,4})?[\])]?")
+_PLAIN_SOFT = re.compile(r"([^\W\d_]+)[¬­]\n\s*([^\W_]+)")
+_BREAK = re.compile(r"[-‐‑][^\S\n]*\n")
+_NUMBER = re.compile(r"[\[(]?\d{1,4}(?:/\d{1,4})?[\])]?")
+_SOFT = re.compile(r"([^\W\d_]+)[¬­]\n\s*([^\W_]+)")
+_BREAK = re.compile(r"[-‐‑][^\S\n]*\n")
 _NUMBER = re.compile(r"(?<!\S)[^\s\d]*\d\S*")
 _NO_DIGITS = str.maketrans("", "", "0123456789")
 _DIGIT = re.compile(r"\d")
@@ -134,18 +138,33 @@ def without_fragments(text: str) -> str:
     return "".join(kept) + text[last:] if kept else text
 
 
-def _counted(pairs: Counter[tuple[str, str]], lines: dict[str, list[int]]) -> pd.DataFrame:
-    """Counts as rows. Lines meet by a hash of their masked form; only forms seen at an edge are spelled out."""
-    words, forms = list(pairs), list(lines)
+def split_words(text: str) -> list[tuple[str, str]]:
+    """What stands before a hyphen at a line's end, and the next line's first word; only hyphens that a compound
+    could have too."""
+    out = []
+    for m in _BREAK.finditer(text):
+        s = m.start()
+        while s and text[s - 1].isalpha():
+            s -= 1
+        nxt = _TOKEN.match(text[m.end() : m.end() + 60].lstrip())
+        if s < m.start() and nxt:
+            out.append((text[s : m.start()], nxt.group()))
+    return out
+
+
+def _counted(pairs: Counter[tuple[str, str]], lines: dict[str, list[int]], splits: Counter[tuple[str, str]]) -> pd.DataFrame:
+    """Counts as rows: pairs of words under 0, split words under -1. Lines meet by a hash of their masked form;
+    only forms seen at an edge are spelled out."""
+    words, forms = [*pairs, *splits], list(lines)
     none, blank = [0] * len(words), [""] * len(forms)
     counts = list(lines.values())
     return pd.DataFrame(
         {
             "a": [x for x, _ in words] + blank,
             "b": [y for _, y in words] + blank,
-            "h": none + [xxhash.xxh64_intdigest(k) - (1 << 63) or 1 for k in forms],
+            "h": [0] * len(pairs) + [-1] * len(splits) + [x if (x := xxhash.xxh64_intdigest(k) - (1 << 63)) not in (0, -1) else 1 for k in forms],
             "key": [None] * len(words) + [k if c[1] else None for k, c in zip(forms, counts)],
-            "n": list(pairs.values()) + [c[0] for c in counts],
+            "n": [*pairs.values(), *splits.values(), *(c[0] for c in counts)],
             "edge": none + [c[1] for c in counts],
             "own": none + [c[2] for c in counts],
         }
@@ -155,10 +174,12 @@ def _counted(pairs: Counter[tuple[str, str]], lines: dict[str, list[int]]) -> pd
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pairs: Counter[tuple[str, str]] = Counter()
     lines: dict[str, list[int]] = {}
+    splits: Counter[tuple[str, str]] = Counter()
     for b in batches:
         for text, page in zip(b["text"], b["page_number"]):
             ws = ["^", *filterfalse(str.isdigit, _TOKEN.findall(without_fragments(text).lower()))]
             pairs.update(zip(ws, ws[1:]))
+            splits.update(split_words(text))
             split = text.split("\n")
             edges = edge_lines(split)
             forms = masked_lines(text)
@@ -177,9 +198,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if "#" in k and page == page and str(int(page)) in re.findall(r"\d+", x):
                         at[2] += 1
         if len(pairs) + len(lines) > FLUSH:
-            yield _counted(pairs, lines)
-            pairs, lines = Counter(), {}
-    yield _counted(pairs, lines)
+            yield _counted(pairs, lines, splits)
+            pairs, lines, splits = Counter(), {}, Counter()
+    yield _counted(pairs, lines, splits)
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -192,19 +213,19 @@ def _with_skeleton(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield b.assign(skeleton=[skeleton(w) for w in b["word"]])
 
 
-def statistics(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(word pairs (a, b, n), edge lines (key, page_no)) of all pages (text, page_number)."""
+def statistics(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(word pairs (a, b, n), recurring lines (key, page_no), split words (a, b)) of all pages (text, page_number)."""
     seen = cut(
         pages.select("text", "page_number")
         .mapInPandas(_count, "a string, b string, h long, key string, n long, edge long, own long")
         .groupBy("h", "a", "b")
         .agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.sum("own").alias("own"), F.max("key").alias("key"))
-        .where(f"h = 0 or edge >= {RECURS}")
+        .where(f"h in (0, -1) or edge >= {RECURS}")
     )
     total = pages.count()
     prose = "(key rlike '[^0-9][.,;]$' or key rlike '^[a-z(]+ [a-z]+ [a-z]+ [a-z]+.*[.]$')"  # ends like a sentence: must recur far more
-    lines = seen.where(f"h <> 0 and edge >= {EDGE_SHARE} * n and (edge >= {0.01 * total} or not {prose})").select("key", (F.col("own") >= 0.7 * F.col("edge")).alias("page_no"))
-    return seen.where("h = 0").select("a", "b", "n"), lines
+    lines = seen.where(f"h not in (0, -1) and edge >= {EDGE_SHARE} * n and (edge >= {0.01 * total} or not {prose})").select("key", (F.col("own") >= 0.7 * F.col("edge")).alias("page_no"))
+    return seen.where("h = 0").select("a", "b", "n"), lines, seen.where("h = -1").select("a", "b")
 
 
 def vocabulary(pairs: DataFrame) -> DataFrame:
@@ -230,12 +251,28 @@ def repairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return best.groupBy("wrong").agg(F.max_by("right", F.struct(F.col("yes") / F.col("all"), -F.col("errors"), "m", "right")).alias("right"))
 
 
+def broken_words(splits: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(pair): split words, as 'a|b', that are one word: the joined form is known or misread, or else no name
+    follows and it has a frequent word's skeleton, or its parts are hardly known by themselves."""
+    t = splits.select("a", "b", F.lower(F.concat("a", "b")).alias("word"))
+    t = t.join(t.select("word").distinct().withColumn("n", F.lit(0).cast("long")).mapInPandas(_with_skeleton, "word string, n long, skeleton string").select("word", "skeleton"), "word")
+    n = lambda c, out: words.select(F.col("word").alias(c), F.col("n").alias(out))
+    t = t.withColumns({"la": F.lower("a"), "lb": F.lower("b")})
+    t = t.join(n("word", "n_joined"), "word", "left").join(n("la", "n_a"), "la", "left").join(n("lb", "n_b"), "lb", "left")
+    t = t.join(fixes.select(F.col("wrong").alias("word"), F.lit(True).alias("misread")), "word", "left")
+    t = t.join(words.where(f"n >= {FREQUENT}").select("skeleton").distinct().withColumn("frame", F.lit(True)), "skeleton", "left")
+    known = (F.coalesce("n_joined", F.lit(0)) >= 3) | F.coalesce("misread", F.lit(False))
+    name = F.col("b").rlike(r"^\p{Lu}") & (F.upper("a") != F.col("a"))
+    rare = (F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) < 8) & (F.length("word") > 4)
+    one = F.col("b").rlike(r"^\p{L}") & (known | (~name & (F.coalesce("frame", F.lit(False)) | rare)))
+    return t.where(one).select(F.concat_ws("|", "a", "b").alias("pair")).distinct()
+
+
 class Repairer:
-    """Marks and repairs the lines of a page."""
+    """Marks and repairs the lines of a page, given the repairs, split words and recurring lines it may hold."""
 
-    def __init__(self, fix: dict[str, str], known: dict[str, int], edge: dict[str, bool]):
-        self.fix, self.known, self.edge = fix, known, edge
-        self.frames = {skeleton(w) for w, n in known.items() if n >= FREQUENT}
+    def __init__(self, fix: dict[str, str], broken: set[str], edge: dict[str, bool]):
+        self.fix, self.broken, self.edge = fix, broken, edge
         self.wrong = ahocorasick.Automaton()
         for w in fix:
             self.wrong.add_word(w, w)
@@ -258,23 +295,11 @@ class Repairer:
 
     def is_broken(self, a: str, mark: str, b: str) -> bool:
         """Whether ``a`` + hyphen at a line's end and ``b`` after it are one word."""
-        if not b or not b[0].isalpha():
-            return False
-        joined = (a + b).lower()
-        if mark in "¬­":
-            return True
-        if self.known.get(joined, 0) >= 3 or joined in self.fix:
-            return True
-        if b[0].isupper() and not a.isupper():
-            return False
-        small = min(self.known.get(a.lower(), 0), self.known.get(b.lower(), 0))
-        if skeleton(joined) in self.frames:
-            return True
-        return small < 8 and len(joined) > 4
-
-    def lines(self, text: str, page: Any, fix: dict[str, str] | None = None) -> list[tuple[int, str, str, bool]]:
+        return bool(b) and b[0].isalpha() and (mark in "¬­" or f"{a}|{b}" in self.broken)
+
+    def lines(self, text: str) -> list[tuple[int, str, str, bool]]:
         """(line number, kinds joined by '+', repaired line, joins the next without a blank) of every line."""
-        fix = self.fix if fix is None else fix
+        fix = self.fix
         split = text.split("\n")
         n = len(split)
         kinds: list[str] = [""] * n
@@ -288,7 +313,7 @@ class Repairer:
                 kinds[i] = "header"
         outside = ("header", "page_no")
         low = text.lower()
-        hits = self.hits(low) if fix is self.fix and len(low) == len(text) else fix.keys() & _TOKEN.findall(low)
+        hits = self.hits(low)
         out: list[tuple[int, str, str, bool]] = []
         inherited = ""
         joined_before = False
@@ -327,36 +352,69 @@ class Repairer:
         return out
 
 
-def _marker(fix: dict[str, str] | None, known: dict[str, int], edge: dict[str, bool], marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+LINE_SCHEMA = "page_id long, line_no int, kinds string, line string, joins boolean"
+
+
+def _marker(fix: dict[str, str], broken: set[str], edge: dict[str, bool], marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = Repairer(fix, broken, edge)
+        for b in batches:
+            rows = [(page, *x) for page, text in zip(b["page_id"], b["text"]) for x in r.lines(text) if x[1] or not marked_only]
+            yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins"])
+
+    return run
+
+
+def _marker_with(marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The same with what each page needs in its own row."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Repairer(fix or {}, known, edge)
         for b in batches:
             rows = []
-            for n, (page, number, text) in enumerate(zip(b["page_id"], b["page_number"], b["text"])):
-                own = None if fix is not None else dict(b["fix"].iloc[n] or {})
-                rows += [(page, *x) for x in r.lines(text, number, own) if x[1] or not marked_only]
+            for page, text, fix, broken, edge in zip(b["page_id"], b["text"], b["fix"], b["broken"], b["edge"]):
+                r = Repairer(dict(fix or {}), set(broken) if broken is not None else set(), dict(edge or {}))
+                rows += [(page, *x) for x in r.lines(text) if x[1] or not marked_only]
             yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins"])
 
     return run
 
 
+def _needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(page_id, kind, key): the words, split words and edge lines of each page."""
+    for b in batches:
+        rows = []
+        for page, text in zip(b["page_id"], b["text"]):
+            tokens = set(_TOKEN.findall(text.lower())) | {(x + y).lower() for x, y in split_words(text)}
+            tokens |= {(m.group(1) + m.group(2)).lower() for m in _SOFT.finditer(text)}
+            split = text.split("\n")
+            rows += [(page, "fix", w) for w in tokens] + [(page, "broken", f"{x}|{y}") for x, y in set(split_words(text))]
+            rows += [(page, "edge", k) for k in {labels_only(masked(split[i])) for i in edge_lines(split)}]
+        yield pd.DataFrame(rows, columns=["page_id", "kind", "key"])
+
+
 def lines(pages: DataFrame, marked_only: bool = False) -> DataFrame:
     """(page_id, line_no, kinds, line, joins): every line with its kinds and its repaired text."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "page_number", F.col("final_text").alias("text")).where("page_id is not null and text <> ''")
-    pairs, edge_table = statistics(p)
+    pairs, edges, splits = statistics(p)
     words = cut(vocabulary(pairs))
-    fix_table = cut(repairs(pairs, words))
-    edge = {r.key: r.page_no for r in edge_table.orderBy("key").limit(REPAIRS).toLocalIterator()}
-    # words that decide on hyphens: the known ones, by count
-    known = {r.word: r.n for r in words.where("n >= 3").orderBy(F.desc("n"), "word").limit(REPAIRS).toLocalIterator()}
-    n = fix_table.count()
-    schema = "page_id long, line_no int, kinds string, line string, joins boolean"
-    if n <= REPAIRS:
-        fix = {r.wrong: r.right for r in fix_table.toLocalIterator()}
-        return p.mapInPandas(_marker(fix, known, edge, marked_only), schema)
-    own = p.select("page_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("wrong")).join(fix_table, "wrong")
-    own = own.groupBy("page_id").agg(F.map_from_entries(F.collect_set(F.struct("wrong", "right"))).alias("fix"))
-    return p.join(own, "page_id", "left").mapInPandas(_marker(None, known, edge, marked_only), schema)
+    fixes = cut(repairs(pairs, words))
+    broken = cut(broken_words(splits, words, fixes))
+    if max(t.count() for t in (fixes, broken, edges)) <= SHARED:
+        fix = {r.wrong: r.right for r in fixes.toLocalIterator()}
+        pairs_broken = {r.pair for r in broken.toLocalIterator()}
+        edge = {r.key: r.page_no for r in edges.toLocalIterator()}
+        return p.mapInPandas(_marker(fix, pairs_broken, edge, marked_only), LINE_SCHEMA)
+    known = fixes.select(F.lit("fix").alias("kind"), F.col("wrong").alias("key"), "right", F.lit(None).cast("boolean").alias("page_no"))
+    known = known.unionByName(broken.select(F.lit("broken").alias("kind"), F.col("pair").alias("key"), F.lit(None).cast("string").alias("right"), F.lit(None).cast("boolean").alias("page_no")))
+    known = known.unionByName(edges.select(F.lit("edge").alias("kind"), "key", F.lit(None).cast("string").alias("right"), "page_no"))
+    own = p.select("page_id", "text").mapInPandas(_needs, "page_id long, kind string, key string").distinct().join(known, ["kind", "key"])
+    mine = lambda kind, value: F.collect_set(F.when(F.col("kind") == kind, value))
+    own = own.groupBy("page_id").agg(
+        F.map_from_entries(mine("fix", F.struct("key", "right"))).alias("fix"),
+        mine("broken", F.col("key")).alias("broken"),
+        F.map_from_entries(mine("edge", F.struct("key", "page_no"))).alias("edge"),
+    )
+    return p.join(own, "page_id", "left").select("page_id", "text", "fix", "broken", "edge").mapInPandas(_marker_with(marked_only), LINE_SCHEMA)
 
 
 def found(pages: DataFrame) -> DataFrame:

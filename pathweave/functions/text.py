@@ -108,12 +108,13 @@ def is_barcode(c: Column | str) -> Column:
     return (F.length(x) >= 16) & x.rlike(r"^[I1l| ]+$")
 
 
-def is_noise(c: Column | str, more: Iterable[str] = ()) -> Column:
-    """Lines without content: noise patterns, barcodes, long lines that are mostly bars. Blank lines are kept."""
-    x = normalize_line(c)
+def is_noise(c: Column | str, more: Iterable[str] = (), normalised: bool = False) -> Column:
+    """Lines without content: noise patterns, barcodes, long lines that are mostly bars. Blank lines are kept.
+    A line that is normalised already is taken as it is, which spares doing so for every test."""
+    x = col(c) if normalised else normalize_line(c)
     bars = F.length(x) - F.length(F.translate(x, "I1l|", ""))
     mostly = (F.length(x) > 40) & (bars / F.length(x) > 0.65)
-    return (x != "") & (is_barcode(x) | x.rlike("(?iu)^(?:" + "|".join([*NOISE_PATTERNS, *more]) + ")") | mostly)
+    return (x != "") & (is_barcode(x) | x.rlike("(?i)^(?:" + "|".join([*NOISE_PATTERNS, *more]) + ")") | mostly)
 
 
 def is_heading(c: Column | str, patterns: Iterable[str] = ()) -> Column:

@@ -99,7 +99,7 @@ def explode_lines(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def drop_noise(lines: DataFrame, more: Iterable[str] = ()) -> DataFrame:
     """Lines that carry content, and blank ones."""
-    return lines.where(~t.is_noise("line", more))
+    return lines.where(~t.is_noise("line", more, normalised=True))
 
 
 def merge_wrapped(lines: DataFrame, key: str, patterns: Sequence[str] = ()) -> DataFrame:

@@ -39,7 +39,7 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_LINES} SELECT page_id, line_no, line FROM n WHERE noise")
 def noise_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines without content on every page."""
-    return c.explode_lines(_pages(spark, d), "page_id", "final_text").where(t.is_noise("line"))
+    return c.explode_lines(_pages(spark, d), "page_id", "final_text").where(t.is_noise("line", normalised=True))
 
 
 @query(f"WITH {_MERGED} SELECT page_id, line_no, line FROM m")

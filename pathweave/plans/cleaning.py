@@ -52,7 +52,7 @@ def merged_lines(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {_MERGED},
 b AS (SELECT *, lag(line, 1, '') OVER (PARTITION BY page_id ORDER BY line_no) AS before,
   max(CASE WHEN line <> '' THEN 1 END) OVER (PARTITION BY page_id ORDER BY line_no) AS up, max(CASE WHEN line <> '' THEN 1 END) OVER (PARTITION BY page_id ORDER BY line_no DESC) AS down FROM m)
-SELECT page_id, count(*) AS lines, count(*) FILTER (line = '') AS blanks, sum(length(line)) AS characters FROM b WHERE up = 1 AND down = 1 AND (line <> '' OR before <> '') GROUP BY page_id"""
+SELECT page_id, count(*) AS lines, count(*) FILTER (line = '') AS blanks, CAST(sum(length(line)) AS BIGINT) AS characters FROM b WHERE up = 1 AND down = 1 AND (line <> '' OR before <> '') GROUP BY page_id"""
 )
 def clean_page_sizes(spark: SparkSession, d: str) -> DataFrame:
     """Lines, blank lines and characters of every cleaned page."""
@@ -206,7 +206,7 @@ def filter_modes(spark: SparkSession, d: str) -> DataFrame:
     s = sentences(spark, d)
     out = None
     for mode in ("full", "no_diagnosis", "masked", "no_diagnosis_masked"):
-        x = c.filtersentences(s, mode)
+        x = c.filter_sentences(s, mode)
         text = F.col("masked" if mode.endswith("masked") else "text")
         g = x.agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length(text)).alias("characters")).withColumn("mode", F.lit(mode))
         out = g if out is None else out.unionByName(g)
@@ -217,7 +217,7 @@ def filter_modes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mask_reasons(spark: SparkSession, d: str) -> DataFrame:
     """How often each mask applies in the whole chain, context masks included."""
-    return c.reason_totals(c.filtersentences(sentences(spark, d), "masked"))
+    return c.reason_totals(c.filter_sentences(sentences(spark, d), "masked"))
 
 
 @query()

@@ -426,7 +426,9 @@ def found(pages: DataFrame) -> DataFrame:
 def paragraphs(pages: DataFrame) -> DataFrame:
     """(page_id, paragraph_no, text): the repaired pages as continuous paragraphs. A blank line or a heading (a
     line in capitals or with a colon at its end, of at most six words) ends a paragraph."""
-    x = lines(pages).where("kinds not like '%header%' and kinds not like '%page_no%'").dropDuplicates(["page_id", "line_no"])
+    x = lines(pages).where("kinds not like '%header%' and kinds not like '%page_no%'").select("page_id", "line_no", "line", "joins")
+    # one exchange by page serves the deduplication, the windows and the grouping
+    x = x.repartition("page_id").dropDuplicates(["page_id", "line_no"])
     w = Window.partitionBy("page_id").orderBy("line_no")
     line = F.trim("line")
     heading = (line != "") & (F.size(F.split(line, r"\s+")) <= 6) & ((F.upper(line) == line) & line.rlike(r"\p{Lu}{3}") & ~line.rlike(r"[.;,]$"))

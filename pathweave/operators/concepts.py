@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut, small_side
@@ -13,7 +13,7 @@ from . import hierarchy
 # Words too general to link by themselves.
 STOP_TERMS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "m", "n", "no", "not", "of", "on", "or", "r", "s", "t", "the", "to")
 
-#: A small built-in ontology for use without any other: id, name, synonyms, parents.
+#: A small example ontology: id, name, synonyms, parents.
 BUILT_IN: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("ONT:neoplasm", "neoplasm", ("tumor", "tumour"), ()),
     ("ONT:carcinoma", "carcinoma", (), ("ONT:neoplasm",)),
@@ -23,6 +23,28 @@ BUILT_IN: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("ONT:necrosis", "necrosis", (), ()),
 )
 
+#: The ontology used where there is no other, the reference's twelve concepts: id, name, synonyms, parents, ic.
+FALLBACK: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...], float], ...] = (
+    ("ONT:NEOPLASM", "Neoplasm", ("neoplasm", "tumor", "tumour"), (), 1.1),
+    ("ONT:CARCINOMA", "Carcinoma", ("carcinoma",), ("ONT:NEOPLASM",), 1.7),
+    ("ONT:ADENOCARCINOMA", "Adenocarcinoma", ("adenocarcinoma",), ("ONT:CARCINOMA",), 2.2),
+    ("ONT:SQUAMOUS_CELL_CARCINOMA", "Squamous Cell Carcinoma", ("squamous cell carcinoma", "squamous carcinoma"), ("ONT:CARCINOMA",), 2.4),
+    ("ONT:INVASIVE_DUCTAL_CARCINOMA", "Invasive Ductal Carcinoma", ("invasive ductal carcinoma", "ductal carcinoma"), ("ONT:CARCINOMA",), 2.6),
+    ("ONT:CLEAR_CELL_RENAL_CELL_CARCINOMA", "Clear Cell Renal Cell Carcinoma", ("clear cell renal cell carcinoma", "clear cell renal carcinoma", "clear cell rcc", "clear cell carcinoma"), ("ONT:CARCINOMA",), 2.8),
+    ("ONT:PAPILLARY_RENAL_CELL_CARCINOMA", "Papillary Renal Cell Carcinoma", ("papillary renal cell carcinoma", "papillary renal carcinoma", "papillary rcc"), ("ONT:CARCINOMA",), 2.8),
+    ("ONT:METASTASIS", "Metastasis", ("metastasis", "metastatic", "metastases"), ("ONT:NEOPLASM",), 2.1),
+    ("ONT:NECROSIS", "Necrosis", ("necrosis", "necrotic"), ("ONT:NEOPLASM",), 1.9),
+    ("ONT:LYMPHOVASCULAR_INVASION", "Lymphovascular Invasion", ("lymphovascular invasion", "vascular invasion", "lymphatic invasion"), ("ONT:NEOPLASM",), 2.5),
+    ("ONT:MARGIN_POSITIVE", "Positive Margin", ("positive margin", "margin involved", "involved margin"), ("ONT:NEOPLASM",), 2.3),
+    ("ONT:LYMPH_NODE_INVOLVEMENT", "Lymph Node Involvement", ("lymph node involvement", "lymph node metastasis", "nodal metastasis", "positive lymph node"), ("ONT:METASTASIS",), 2.7),
+)
+
+
+def fallback(spark: SparkSession) -> DataFrame:
+    """(id, name, synonyms, parents, ic, match_enabled) of the fallback ontology."""
+    rows = [(i, n, list(s), list(p), ic, True) for i, n, s, p, ic in FALLBACK]
+    return spark.createDataFrame(rows, "id string, name string, synonyms array<string>, parents array<string>, ic double, match_enabled boolean")
+
 
 def tokens(c: Column | str) -> Column:
     """Lower-case words of Latin letters and digits."""

@@ -50,7 +50,7 @@ def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("concept_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("section_id").alias("sections"))
 
 
-_BUILT_IN = ", ".join(f"('{i}', '{p}')" for i, n, syn, _ in c.BUILT_IN for p in (n, *syn))
+_BUILT_IN = ", ".join(f"('{i}', '{p}')" for i, n, syn, *_ in c.FALLBACK for p in (n, *syn))
 
 
 @query(
@@ -62,9 +62,8 @@ SELECT concept_id, count(*) AS mentions, count(DISTINCT section_id) AS sections
 WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.section_id = h.section_id AND x.n > h.n AND x.start <= h.start AND x.start + x.n >= h.start + h.n) GROUP BY concept_id"""
 )
 def concept_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Longest non-overlapping mentions of the built-in ontology's concepts in the sections."""
-    built_in = spark.createDataFrame([(i, n, list(syn), True) for i, n, syn, _ in c.BUILT_IN], "id string, name string, synonyms array<string>, match_enabled boolean")
-    m = c.longest_matches(c.phrase_hits(_sections(spark, d), "section_id", "text", c.lexicon(built_in)), "section_id")
+    """Longest non-overlapping mentions of the fallback ontology's concepts in the sections."""
+    m = c.longest_matches(c.phrase_hits(_sections(spark, d), "section_id", "text", c.lexicon(c.fallback(spark))), "section_id")
     return m.groupBy("concept_id").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("section_id").alias("sections"))
 
 

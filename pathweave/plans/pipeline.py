@@ -62,8 +62,7 @@ class Pipeline:
 
 def _pipeline(spark: SparkSession, d: str, mode: str) -> dict[str, DataFrame]:
     p = table(spark, d, "page_extractions").select("document_id", "case_id", "page_number", F.col("final_text").alias("text")).where("text <> ''")
-    onto = spark.createDataFrame([(i, n, list(s), list(ps), True) for i, n, s, ps in concepts.BUILT_IN], "id string, name string, synonyms array<string>, parents array<string>, match_enabled boolean")
-    return Pipeline(mode=mode).run(p, onto, table(spark, d, "labels").select("case_id", "slide_id", "label").distinct())
+    return Pipeline(mode=mode).run(p, concepts.fallback(spark), table(spark, d, "labels").select("case_id", "slide_id", "label").distinct())
 
 
 @query()

@@ -35,6 +35,19 @@ def test_true_path(spark, rows, ontology):
     assert c.true_path(m, "doc", ontology, None).count() == 4 and c.true_path(m, "doc", ontology, 0).count() == 1
 
 
+def test_fallback_ontology_links_all_twelve_concepts(spark, rows):
+    o = c.fallback(spark)
+    assert o.count() == 12 and {x["id"]: x["ic"] for x in o.collect()}["ONT:LYMPH_NODE_INVOLVEMENT"] == 2.7
+    known = {i for i, *_ in c.FALLBACK}
+    assert all(set(p) <= known for _, _, _, p, _ in c.FALLBACK)
+    t = spark.createDataFrame([(1, "Ductal carcinoma; lymphovascular invasion, clear cell RCC, papillary renal cell carcinoma"), (2, "Squamous carcinoma, metastatic: nodal metastasis with involved margin")], "k int, text string")
+    m = c.longest_matches(c.phrase_hits(t, "k", "text", c.lexicon(o)), "k")
+    assert rows(m, "k", "concept_id") == [
+        (1, "ONT:CLEAR_CELL_RENAL_CELL_CARCINOMA"), (1, "ONT:INVASIVE_DUCTAL_CARCINOMA"), (1, "ONT:LYMPHOVASCULAR_INVASION"), (1, "ONT:PAPILLARY_RENAL_CELL_CARCINOMA"),
+        (2, "ONT:LYMPH_NODE_INVOLVEMENT"), (2, "ONT:MARGIN_POSITIVE"), (2, "ONT:METASTASIS"), (2, "ONT:SQUAMOUS_CELL_CARCINOMA"),
+    ]
+
+
 def test_information_content_of_a_chain(spark):
     df = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["b"])], "id string, parents array<string>")
     assert {x["id"]: x["ic"] for x in c.information_content(df).collect()} == {"a": 0.287682, "b": 0.693147, "c": 1.386294}

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut, small_side
+
+BLOCK = 256  #: vectors of a block, of which a discrepancy compares pairs
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -65,19 +69,43 @@ def symmetric(pairs: DataFrame, group: str) -> DataFrame:
     return pairs.select(group, "a", "b", "sim").unionByName(back).groupBy(group, "a", "b").agg(F.max("sim").alias("sim"))
 
 
+def _kernel_sums(scales: tuple[float, ...]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Sum and number of the kernels of each pair of blocks; of a block with itself every pair counts once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for s, t, own, m, xs, ys in zip(b["s"], b["t"], b["own"], b["m"], b["xs"], b["ys"]):
+                x, y = np.stack(xs).astype(np.float64), np.stack(ys).astype(np.float64)
+                d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0)
+                if own:
+                    d2 = d2[np.triu_indices(len(x), 1)]
+                rows.append((s, t, sum(float(np.exp(-d2 / (2 * m * c)).sum()) for c in scales) / len(scales), d2.size))
+            yield pd.DataFrame(rows, columns=["s", "t", "k", "n"])
+
+    return run
+
+
 def mmd(x: DataFrame, y: DataFrame, vector: str, scales: tuple[float, ...] = (0.25, 0.5, 1.0, 2.0, 4.0), most: int = 256) -> DataFrame:
-    """One row (mmd): unbiased squared maximum mean discrepancy of two bounded sets of vectors with Gaussian
-    kernels around the lower median of their positive squared distances, never below zero. Of larger sets the
-    first ``most`` by hash are taken."""
-    pick = lambda d, side: d.select(F.col(vector).alias("v"), F.xxhash64(vector).alias("h")).orderBy("h").limit(most).select(F.lit(side).alias("side"), (F.monotonically_increasing_id()).alias("i"), "v")
-    z = pick(x, 0).unionByName(pick(y, 1))
-    a, b = z.alias("a"), z.alias("b")
+    """One row (mmd): unbiased squared maximum mean discrepancy of two sets of vectors with Gaussian kernels around
+    the lower median of their positive squared distances, never below zero. The kernel means take all pairs, block
+    by block; only the median of sets with more than twice ``most`` vectors is that of the first so many by hash."""
+    z = x.select(F.lit(0).alias("side"), F.col(vector).alias("v")).unionByName(y.select(F.lit(1).alias("side"), F.col(vector).alias("v")))
+    z = cut(z.where(F.col("v").isNotNull() & F.forall("v", lambda e: e.isNotNull()) & (F.size("v") > 0)))
+    n = z.count()
+    first = z.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(2 * most).select(F.monotonically_increasing_id().alias("i"), "v")
+    a, b = first.alias("a"), first.alias("b")
     d2 = F.aggregate(F.zip_with("a.v", "b.v", lambda p, q: (p.cast("double") - q.cast("double")) * (p.cast("double") - q.cast("double"))), F.lit(0.0), lambda s, t: s + t)
-    near = (F.col("a.side") < F.col("b.side")) | ((F.col("a.side") == F.col("b.side")) & (F.col("a.i") < F.col("b.i")))
-    p = a.join(F.broadcast(b), near).select(F.col("a.side").alias("s"), F.col("b.side").alias("t"), d2.alias("d2"))
-    med = p.where("d2 > 0").agg(F.percentile_disc(0.5).withinGroup("d2").alias("m")) if hasattr(F, "percentile_disc") else p.where("d2 > 0").agg(F.expr("percentile_disc(0.5) within group (order by d2)").alias("m"))
-    kernel = sum((F.exp(-F.col("d2") / (2 * F.col("m") * s)) for s in scales), F.lit(0.0)) / len(scales)
-    g = p.crossJoin(F.broadcast(med)).groupBy("s", "t").agg(F.avg(kernel).alias("k"))
+    p = a.join(F.broadcast(b), F.col("a.i") < F.col("b.i")).select(d2.alias("d2"))
+    med = p.where("d2 > 0").agg(F.expr("percentile_disc(0.5) within group (order by d2)").alias("m")).where("m is not null")
+    blocks = -(-n // BLOCK) or 1
+    block = F.pmod(F.monotonically_increasing_id(), F.lit(blocks))
+    z = cut(z.groupBy("side", F.size("v").alias("dim"), block.alias("block")).agg(F.collect_list("v").alias("vs")))
+    a, b = z.repartition(max(2 * blocks, z.sparkSession.sparkContext.defaultParallelism)).alias("a"), z.alias("b")  # few pairs a task
+    near = (F.col("a.dim") == F.col("b.dim")) & ((F.col("a.side") < F.col("b.side")) | ((F.col("a.side") == F.col("b.side")) & (F.col("a.block") <= F.col("b.block"))))
+    own = (F.col("a.side") == F.col("b.side")) & (F.col("a.block") == F.col("b.block"))
+    pairs = a.join(small_side(b, n), near).crossJoin(F.broadcast(med)).select(F.col("a.side").alias("s"), F.col("b.side").alias("t"), own.alias("own"), "m", F.col("a.vs").alias("xs"), F.col("b.vs").alias("ys"))
+    g = pairs.mapInPandas(_kernel_sums(scales), "s int, t int, k double, n long").groupBy("s", "t").agg((F.sum("k") / F.nullif(F.sum("n"), F.lit(0))).alias("k"))
     val = lambda s, t: F.coalesce(F.max(F.when((F.col("s") == s) & (F.col("t") == t), F.col("k"))), F.lit(0.0))
     return g.agg(F.round(F.greatest(F.lit(0.0), val(0, 0) + val(1, 1) - 2 * val(0, 1)), 6).alias("mmd"))
 

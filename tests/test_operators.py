@@ -89,6 +89,20 @@ def test_vectors(spark, rows):
     assert v.mmd(same, same, "vec").first()["mmd"] >= 0
 
 
+def test_discrepancy_takes_all_pairs(spark):
+    r = np.random.default_rng(5)
+    x, y = r.normal(size=(400, 4)).round(3), (r.normal(size=(100, 4)) + 0.7).round(3)
+    d2 = lambda p, q: ((p[:, None] - q[None]) ** 2).sum(2)
+    z = np.concatenate([x, y])
+    all_ = np.sort(d2(z, z)[np.triu_indices(len(z), 1)])
+    m = all_[all_ > 0][(np.count_nonzero(all_ > 0) - 1) // 2]
+    k = lambda d: np.mean([np.exp(-d / (2 * m * s)) for s in (0.25, 0.5, 1.0, 2.0, 4.0)])
+    inside = lambda p: k(d2(p, p)[np.triu_indices(len(p), 1)])
+    frame = lambda p: spark.createDataFrame([(q.tolist(),) for q in p], "vec array<double>")
+    assert v.mmd(frame(x), frame(y), "vec").first()["mmd"] == pytest.approx(inside(x) + inside(y) - 2 * k(d2(x, y)), abs=2e-6)
+    assert v.mmd(frame(x[:1]), frame(x[:1]), "vec").first()["mmd"] == 0
+
+
 def test_auc_with_ties(spark):
     df = spark.createDataFrame([(0, 0.1), (1, 0.4), (0, 0.4), (1, 0.9), (None, 0.5)], "y int, s double")
     assert r.auc(df, "y", "s").first()["auc"] == 0.875

@@ -223,6 +223,13 @@ def test_pages(spark, monkeypatch, shared):
     assert scans.found(df.limit(0)).count() == 0
 
 
+def test_page_number_line_outside_the_known_forms():
+    line = "Blatt 3"
+    edge = {scans.labels_only(scans.masked(line)): True}
+    got = scans.Repairer({}, set(), edge).lines(f"The specimen is received fresh.\nNo tumour is seen.\n{line}")
+    assert [x[1] for x in got] == ["", "", "page_no"]
+
+
 # --- leaks -------------------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,8 @@ corpus meet those of the evaluation items in a join (the items' side is broadcas
 allows it); documents with enough shared fingerprints of an item are candidates. For these the hits are
 extended to maximal common blocks, and blocks that follow each other in both texts with short gaps are chained:
 a gap is an altered word or a short interruption. A document leaks an item if a chain spans at least two fifths
-of the item's text and most of the span is shared.
+of the item's text and most of the span is shared. Han and kana say more in a character, so their runs have
+shorter grams, windows and blocks besides.
 
 Defined results
   * Null and empty texts, and texts without letters or digits, leak nothing and hold nothing.
@@ -32,13 +33,17 @@ from ..runtime import cut, small_side
 K, W = 8, 8
 SHARE = 0.4  #: of the item's text that must be held
 DENSE = 0.8  #: of a passage's span that must be equal
-EQUAL = 0.9  #: of the share asked for that must be equal
 GAP = 48  #: most characters between two blocks of one passage, in either text
+K_HAN, W_HAN = 4, 2  #: of runs of Han and kana
+DENSE_HAN = 0.7  #: as DENSE; equal runs below K_HAN between altered words do not count
+GAP_HAN = 8  #: most characters of the item between two blocks
 CANDIDATE = 0.12  #: of the item's fingerprints that a candidate must share
 
 _DROP = re.compile(r"[\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_HAN = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
 
 
 def plain(text: str | None) -> str:
@@ -46,33 +51,56 @@ def plain(text: str | None) -> str:
     return _DROP.sub("", unicodedata.normalize("NFKC", text).lower()) if text else ""
 
 
-def fingerprints(s: str, k: int = K, w: int = W) -> np.ndarray:
-    """The distinct winnowed k-gram hashes of a plain text, as signed 64-bit numbers."""
-    n = len(s) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    c = np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
+def _grams(c: np.ndarray, k: int) -> np.ndarray:
+    """The hash of every k-gram."""
+    n = len(c) - k + 1
     h = np.zeros(n, np.uint64)
     for j in range(k):
         h = h * _BASE + c[j : j + n]
     h ^= h >> np.uint64(31)
     h *= _MIX
     h ^= h >> np.uint64(29)
+    return h
+
+
+def _letters(s: str) -> np.ndarray:
+    return np.frombuffer(s.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def fingerprints(s: str, k: int = K, w: int = W) -> np.ndarray:
+    """The distinct winnowed k-gram hashes of a plain text, as signed 64-bit numbers."""
+    n = len(s) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    h = _grams(_letters(s), k)
     kept = sliding_window_view(h, w).min(axis=1) if n >= w else h.min(keepdims=True)
     return np.unique(kept).view(np.int64)
 
 
+def han_fingerprints(s: str, k: int = K_HAN, w: int = W_HAN) -> np.ndarray:
+    """The same of the grams that are Han or kana throughout."""
+    if len(s) < k or not _HAN.search(s):
+        return np.empty(0, np.int64)
+    c = _letters(s)
+    han = ((c >= 0x3040) & (c <= 0x30FF)) | ((c >= 0x3400) & (c <= 0x9FFF))
+    h = np.where(sliding_window_view(han, k).all(axis=1), _grams(c, k), _NONE)
+    kept = np.unique(sliding_window_view(h, w).min(axis=1) if len(h) >= w else h)
+    return kept[kept != _NONE].view(np.int64)
+
+
 def _fingerprint_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for at in range(0, len(b), 2000):
             part = b.iloc[at : at + 2000]
-            prints = [fingerprints(plain(t)) for t in part["text"]]
-            yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(p) for p in prints]), "h": np.concatenate(prints) if prints else np.empty(0, np.int64)})
+            texts = [plain(t) for t in part["text"]]
+            for han, of in ((False, fingerprints), (True, han_fingerprints)):
+                prints = [of(t) for t in texts]
+                yield pd.DataFrame({"id": np.repeat(part["id"].to_numpy(), [len(p) for p in prints]), "h": np.concatenate(prints) if prints else np.empty(0, np.int64), "han": han})
 
 
 def fingerprint_table(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h): the winnowed fingerprints of every text."""
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").mapInPandas(_fingerprint_rows, "id long, h long")
+    """(id, h, han): the winnowed fingerprints of every text; those of Han and kana are apart."""
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null").mapInPandas(_fingerprint_rows, "id long, h long, han boolean")
 
 
 def blocks(a: str, b: str, k: int = K) -> list[tuple[int, int, int]]:
@@ -92,7 +120,7 @@ def blocks(a: str, b: str, k: int = K) -> list[tuple[int, int, int]]:
     return sorted(out + [tuple(r) for r in open_.values()])
 
 
-def best_passage(doc: str, item: str, gap: int = GAP, k: int = K) -> tuple[int, int]:
+def best_passage(doc: str, item: str, gap: int = GAP, k: int = K, item_gap: int = GAP, dense: float = DENSE) -> tuple[int, int]:
     """(span, equal): the longest stretch of the item that a chain of blocks covers densely enough, and how
     much of it is equal; (0, 0) if there is none."""
     bs = blocks(doc, item, k)
@@ -105,11 +133,11 @@ def best_passage(doc: str, item: str, gap: int = GAP, k: int = K) -> tuple[int,
             first += 1
         for eq, j0, j1, i1 in chains[first:n]:
             over = max(0, i1 - i, j1 - j)  # overlapping ends are counted once
-            if over < size and i - i1 <= gap and j - j1 <= gap and eq + size - over > here[0]:
+            if over < size and i - i1 <= gap and j - j1 <= item_gap and eq + size - over > here[0]:
                 here = (eq + size - over, j0, j + size, i + size)
         chains.append(here)
         for eq, j0, j1 in ((here[0], here[1], here[2]), (size, j, j + size)):
-            if eq >= DENSE * (j1 - j0):
+            if eq >= dense * (j1 - j0):
                 best = max(best, (j1 - j0, eq))
     return best
 
@@ -119,7 +147,10 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for d, i, doc, item in zip(b["doc_id"], b["item_id"], b["doc"], b["item"]):
             p = plain(item)
-            span, equal = best_passage(plain(doc), p)
+            if 2 * len(_HAN.findall(p)) > len(p):
+                span, equal = best_passage(plain(doc), p, k=K_HAN, item_gap=GAP_HAN, dense=DENSE_HAN)
+            else:
+                span, equal = best_passage(plain(doc), p)
             rows.append((d, i, span / len(p), equal / len(p)))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "span", "equal"])
 
@@ -131,9 +162,9 @@ def passages(documents: DataFrame, items: DataFrame, candidate: float = CANDIDAT
     held = items.select("item_id", F.col("text").alias("item")).where("item is not null").distinct()
     prints = cut(fingerprint_table(held, "item_id", "item").withColumnRenamed("id", "item_id"))
     n = prints.count()
-    sizes = prints.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    shared = fingerprint_table(docs, "doc_id", "doc").join(small_side(prints, n, 2_000_000), "h").groupBy("item_id", F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
-    near = shared.join(small_side(sizes, n, 2_000_000), "item_id").where((F.col("n") >= 2) & (F.col("n") >= candidate * F.col("total"))).select("doc_id", "item_id")
+    sizes = prints.groupBy("item_id", "han").agg(F.count(F.lit(1)).alias("total"))
+    shared = fingerprint_table(docs, "doc_id", "doc").join(small_side(prints, n, 2_000_000), ["h", "han"]).groupBy("item_id", F.col("id").alias("doc_id"), "han").agg(F.count(F.lit(1)).alias("n"))
+    near = shared.join(small_side(sizes, n, 2_000_000), ["item_id", "han"]).where(F.col("n") >= candidate * F.col("total")).select("doc_id", "item_id").distinct()
     near = cut(near)
     # documents first: the candidates are few, so the texts of all others stay where they are
     text = docs.join(small_side(near, near.count()), "doc_id")
@@ -144,7 +175,7 @@ def passages(documents: DataFrame, items: DataFrame, candidate: float = CANDIDAT
 def leaks(documents: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id): documents that hold at least ``share`` of an item's text as one passage."""
     short = items.where(F.length("text") < 4 * K).select("item_id", F.col("text").alias("item"))
-    found = passages(documents, items).where((F.col("span") >= share) & (F.col("equal") >= EQUAL * share)).select("doc_id", "item_id")
+    found = passages(documents, items).where(F.col("span") >= share).select("doc_id", "item_id")
     if short.limit(1).count():  # too short for fingerprints: a stated set of few items against all rows
         strip = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
         s = short.select("item_id", strip(F.col("item")).alias("p")).where(f"p <> '' and length(p) < {K + W - 1}").distinct()

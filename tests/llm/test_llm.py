@@ -261,6 +261,25 @@ def test_leaks(spark):
     assert leaks.leaks(d.limit(0), it).count() == leaks.leaks(d, it.limit(0)).count() == 0
 
 
+def test_leaks_with_altered_words(spark):
+    r = random.Random(8)
+    han = lambda n: "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(n))
+    zh, latin = han(100), " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(50))
+    docs = []
+    for i in range(40):
+        at = r.randrange(50)
+        part = list(zh[at : at + 45])
+        for j in (9, 20, 31):
+            part[j : j + 2] = han(2)
+        docs.append((i, han(60) + "".join(part) + "。" + han(60)))
+    ws = latin.split()[5:26]
+    for j in (5, 10, 15):
+        ws[j] = "qrstuvwx"
+    docs += [(100, "say " * 20 + " ".join(ws)), (101, han(60) + zh[10:30] + han(60)), (102, "say " * 20 + " ".join(ws[:12]))]
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, zh), (2, latin)], "item_id long, text string"))
+    assert {tuple(x) for x in got.collect()} == {(i, 1) for i in range(40)} | {(100, 2)}
+
+
 # --- mixing ------------------------------------------------------------------------------------------------
 
 

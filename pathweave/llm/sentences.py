@@ -30,7 +30,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CONTEXTS = 200_000  #: most frequent contexts that the model is estimated from; the counts cover all texts
+from ..runtime import cut
+
 ROUNDS = 4
 RARE = 4
 HIDDEN = 0.3  #: weight of an event that no line shows
@@ -198,18 +199,11 @@ TITLES = {"dr", "prof", "mr", "mrs", "ms", "dra", "sra", "sr", "นพ", "พญ
 
 class Model:
     """Hidden-event bigram model, estimated from counted contexts (before, gap, after, sure, n): sure is 1 or 0
-    where the text's lines show whether there is a boundary, -1 where it is hidden."""
-
-    def __init__(self, counts: list[tuple[str, str, str, int, float]]):
-        freq: Counter[str] = Counter()
-        for before, _, after, _, n in counts:
-            freq[before] += n
-            freq[after] += n
-        self.words = {w for w, n in freq.items() if n >= RARE}
-        merged: Counter[tuple[str, str, str, int]] = Counter()
-        for before, gap, after, sure, n in counts:
-            merged[self.word(before), gap, self.word(after), sure] += n
-        rows = [(*k, n) for k, n in merged.items()]
+    where the text's lines show whether there is a boundary, -1 where it is hidden. The words of the contexts that
+    are not among the known ``words`` are shapes already."""
+
+    def __init__(self, rows: list[tuple[str, str, str, int, float]], words: set[str]):
+        self.words = words
         self.fit(rows, [None if s < 0 else float(s) for _, _, _, s, _ in rows])
         for _ in range(ROUNDS):
             post = [float(s) if s >= 0 else 1 / (1 + math.exp(-self.odds(b, g, a))) for b, g, a, s, _ in rows]
@@ -356,12 +350,23 @@ def starts(text: str, title: str | None, model: Model) -> list[int]:
     return out
 
 
+def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b.assign(form=[w if n >= RARE or not w else shape(w) for w, n in zip(b["word"], b["n"])])
+
+
 def learn(texts: DataFrame) -> Model:
-    """The model of all texts (column text)."""
+    """The model of all texts (column text), from all their contexts. Rare words become shapes before the contexts
+    are collected, so only those of known words grow with the texts."""
     seen = texts.select("text").mapInPandas(_count, "before string, gap string, after string, sure int, n long")
-    keys = ["before", "gap", "after", "sure"]
-    seen = seen.groupBy(keys).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), *keys).limit(CONTEXTS)
-    return Model([(r.before, r.gap, r.after, r.sure, float(r.n)) for r in seen.toLocalIterator()])
+    seen = cut(seen.groupBy("before", "gap", "after", "sure").agg(F.sum("n").alias("n")))
+    words = seen.select(F.explode(F.array("before", "after")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+    forms = cut(words.mapInPandas(_forms, "word string, n long, form string"))
+    form = lambda c: forms.select(F.col("word").alias(c), F.col("form").alias(f"{c}_form"))
+    merged = seen.join(form("before"), "before").join(form("after"), "after").groupBy("before_form", "gap", "after_form", "sure").agg(F.sum("n").alias("n"))
+    merged = merged.orderBy(F.desc("n"), "before_form", "gap", "after_form", "sure")
+    known = {r.word for r in forms.where(f"n >= {RARE}").select("word").toLocalIterator()}
+    return Model([(r.before_form, r.gap, r.after_form, r.sure, float(r.n)) for r in merged.toLocalIterator()], known)
 
 
 def _splitter(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -68,6 +68,20 @@ def test_units_cover_the_text(spark):
         assert r["text"][r["start_char"] :].startswith(r["unit"]) and r["unit"].strip()
 
 
+def test_the_model_knows_all_contexts(spark, monkeypatch):
+    monkeypatch.setattr(sentences, "CONTEXTS", 3, raising=False)
+    texts = ["The mass is seen. The node is seen."] * 50 + ["Siehe Abb. 3 dazu. Kein Tumor liegt vor."] * 4 + ["Rarissimum verbum. Semel dictum."]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = [tuple(x) for b in sentences._count(iter([df.toPandas()])) for x in b.itertuples(index=False)]
+    freq = {}
+    for before, _, after, _, n in counts:
+        freq[before] = freq.get(before, 0) + n
+        freq[after] = freq.get(after, 0) + n
+    model = sentences.learn(df)
+    assert model.words == {w for w, n in freq.items() if n >= sentences.RARE}
+    assert {"Abb", "Tumor"} <= model.words and model.word("Rarissimum") == "Xx"
+
+
 # --- neighbours --------------------------------------------------------------------------------------------
 
 

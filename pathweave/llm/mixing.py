@@ -156,7 +156,7 @@ class Mixture:
 def mix(documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = SEED, path: str | None = None) -> Mixture:
     """The mixture's rows and the quotas they fill."""
     spark = documents.sparkSession
-    wanted = [(r.source, r.target_share, r.max_repeat) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat")).orderBy("source").limit(10_000).collect()]
+    wanted = [(r.source, r.target_share, r.max_repeat) for r in targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat")).orderBy("source").collect()]
     docs = cut(token_counts(documents, path).where("tokens > 0"))
     number = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     docs = docs.join(F.broadcast(number.where(F.col("source").isin([s for s, _, _ in wanted]))), "source")

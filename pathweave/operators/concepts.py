@@ -68,7 +68,7 @@ def phrase_hits(texts: DataFrame, key: str, text: str, lex: DataFrame) -> DataFr
 
     Only lengths that the lexicon has are built; the lexicon is broadcast if its counted size allows."""
     lex = cut(lex.select("phrase", "n", "concept_id"))
-    lengths = sorted(r.n for r in lex.select("n").distinct().limit(100).collect())
+    lengths = sorted(r.n for r in lex.select("n").distinct().collect())
     if not lengths:
         return texts.select(key, F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit("").alias("concept_id")).limit(0)
     t = texts.select(key, tokens(text).alias("ts")).where(F.size("ts") > 0)

@@ -48,6 +48,12 @@ def test_fallback_ontology_links_all_twelve_concepts(spark, rows):
     ]
 
 
+def test_every_phrase_length_is_sought(spark):
+    lex = spark.createDataFrame([(" ".join(f"w{n}x{i}" for i in range(n)), n, f"c{n}") for n in range(1, 104)], "phrase string, n int, concept_id string")
+    t = spark.createDataFrame([(n, p) for p, n, _ in lex.collect()], "k int, text string")
+    assert c.phrase_hits(t, "k", "text", lex).count() == 103
+
+
 def test_information_content_of_a_chain(spark):
     df = spark.createDataFrame([("a", []), ("b", ["a"]), ("c", ["b"])], "id string, parents array<string>")
     assert {x["id"]: x["ic"] for x in c.information_content(df).collect()} == {"a": 0.287682, "b": 0.693147, "c": 1.386294}

@@ -1,18 +1,25 @@
 """Scores for abusive, hateful and sexually explicit language.
 
-Method. A noisy-channel model restores disguised words: spelled-out letters are joined, and every token that
-mixes letters with look-alike signs, masks or repeated letters becomes a lattice of the letters each sign may
-stand for; the Viterbi path under a character model of the corpus' words (counted over all documents, with the
-lexicon of abuse added) is taken if it is a known word. The restored text is then scored: every one- to
-three-word phrase has a weight from the lexicon and from its log-odds in documents that people judged, and the
-score is that of the heaviest run of words, so it doesn't depend on how much other text there is.
+Method. A noisy-channel model restores disguised words: spelled-out letters are joined, look-alike letters of
+another script inside a word are made equal, and every token that mixes letters with look-alike signs, masks or
+repeated letters becomes a lattice of the letters each sign may stand for; the Viterbi path under a character model
+of the corpus' words (counted over all documents, the lexicon's words added) is taken if it is a known word. The
+restored text is then scored: phrases have weights, and the score is that of the heaviest run of words, so it
+doesn't depend on how much other text there is.
+
+The weights start from a small general lexicon, a weak prior in which hardly any word is enough by itself. The
+judged documents raise the phrases that stand in abusive documents far more often than chance allows, lower the
+lexicon's phrases that people let pass, and take back a word of the lexicon inside phrases that they let pass.
+Self-training then counts, over all documents, in which share of the documents that hold a phrase it stands in a
+sentence already found abusive, and learns the phrases that hardly occur elsewhere; this is done ROUNDS times.
 
 The classifier is fitted on at most LABELS judged documents (chosen by hash of the id if there are more);
-character statistics cover all documents.
+character statistics and self-training cover all documents. Thresholds are shares of the data, so the model stays
+bounded while the data grow.
 
 Defined results
   * Null and empty texts have score 0. Several judgements of a document count as their mean; null judgements and
-    judgements of unknown documents are ignored; without judgements the lexicon alone decides.
+    judgements of unknown documents are ignored; without judgements lexicon and self-training decide.
   * Every distinct doc_id has one row, with the highest score of its rows. A null source is reported as such.
   * Extra columns are ignored; empty tables give an empty result.
 """
@@ -25,6 +32,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,70 +40,76 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 LABELS = 200_000
-VOCABULARY = 50_000  #: words of the corpus that a restored token may be
 FLAG = 2.0  #: score from which a document counts as abusive
-STEP = -0.25  #: weight of a word that says nothing
-
-#: Weights of words and phrases. From 2.0 a phrase is enough by itself; lesser ones need company.
+SUSPECT = 1.4  #: score from which self-training learns from a sentence: more than one word must speak for it
+STEP = -0.04  #: weight of a character between two phrases that have one
+ROUNDS = 2  #: of self-training
+LEAST = 3  #: documents from which a phrase can be learned
+LEAST_SHARE = 2e-4  #: of the abusive documents that must hold it besides, so at most some 300,000 phrases are learned
+WORD_SHARE = 2e-6  #: of all words that a word must make up to be restored: at most 500,000 words
+MANY = 30  #: documents of a phrase from which numbers make no difference to its chance
+#: Share of the phrases learned from judgements that may be there by chance, with and without a word of the lexicon.
+FALSE = {True: 0.05, False: 0.01}
+PURE = 0.8  #: share of a phrase's documents that must be abusive
+
+Weights = dict[str, float]
+
+#: A general lexicon: words and phrases by weight. From FLAG a phrase is enough by itself, as it has no other sense;
+#: lesser ones need company.
 LEXICON: dict[float, str] = {
-    2.4: """go kill yourself|kill yourself|kill yourselves|end yourself|drop dead|hope you die|why are you even alive|
-should have drowned you|should have flushed you|should have aborted you|deserves to be beaten|dragged outside and whipped|
-find out where you live|slit your throat|break your hands|break your legs|then your throat|naked pictures of your|
-want your mouth|between my legs|touch myself|take it all off|let me undress|undress you|lower form of life|half a brain|
-not really human|on a ship and sink|ship and sink|let the sea take them|load them on trucks|driven out with clubs|
-piece of shit|fucking clown|fuck off|fuck you|go to hell|waste of oxygen|lump of meat|stain on this place|she makes me puke|
-breaks the scale|they are animals|treat them like animals|hope you choke|hope you drown|choke on your own|drown in your own|heute nacht nackt|belongs in this country|thrown out of the ward|ever be allowed near|lick your|suck my|bend you over|
-halt die fresse|du schlampe|drecksau|vollidiot|gesindel|pack gehört nicht|raus mit dem dreck|krepier|verreck|verrecke|
-dich vermisst niemand|cállate pedazo|idiota de mierda|imbécil de mierda|zorra inútil|basura inútil|echarlos a palos|ojalá te mueras|
-muérete|nadie te va a extrañar|quiero verte desnuda|ferme ta gueule|espèce de|grosse merde|va te pendre|crève|personne ne te pleurera|
-de la vermine|envie de te déshabiller|ты полный|и мразь|чтоб ты сдох|сдохни|никто не заплачет|гнать их отсюда|заткнись|тупая скотина|
-你这个废物|滚出去|你这个蠢货|不要脸的|都是垃圾|全部赶走|怎么还不死|没人会想你|贱人|混蛋""",
-    2.0: """asshole|dumbass|dickhead|scumbag|motherfucker|whore|slut|bitch|bastards|cunt|wanker|faggot|nigger|moron|imbecile|idiot|retards|
-shithead|fucking|shut your mouth|shut up you|zip it you|shut it you|shut the fuck|makes me puke|horny|schlampe|fresse|arschloch|hurensohn|
-trottel|versager|missgeburt|ausländerpack|puta|zorra|gilipollas|cabrón|hijo de puta|salope|connard|crétin|enculé|урод|мразь|сука|тварь|ублюдок|
-废物|蠢货|傻逼|去死|バカ野郎|死ね|クズ|병신|꺼져""",
-    1.2: """bastard|retard|pig|clown|scum|filth|trash|vermin|rats|ratas|plague|hopeless|pathetic|useless waste|disgusting|so ugly|so fat|
-nobody asked you|wants your opinion|nobody wants your|somebody tell that|tell that|knows it|miss you|makes me sick|ruin you|tell everyone|
-why waste|put all|where you live|burn it down|your mother|verte desnuda|idiota|imbécil|mierda|basura|merde|gueule|vermine|идиот|скотина|
-грязь|чужаки|приезжие|垃圾|外地人|naked pictures|your breasts|your body|undress|nobody with that|dieses|ces réfugiés|esos inmigrantes|esos extranjeros""",
-    0.5: """you|your|yourself|who|that|these|those|them|they|immigrants|foreigners|refugees|gays|women|muslims|jews|disabled people|old people|
-people of that religion|cow|the whole floor|everybody in the lab|even|utter|complete|you remain|you are a|you will always be|haha|lol|wow|du|dich|sie sind|te|eres|tu|ты|вы|все эти|你|这些|移民""",
-    -2.5: """bastard margin|the naked eye|nude mouse|slave node|killer t|was killing her|hate speech|verbal abuse|sexual history|growth was retarded|
-social work|guinea pig|drop dead space|stopcock|dumb-bell|kills adjacent""",
+    2.0: """fuck|fucking|motherfucker|cunt|whore|slut|faggot|nigger|dickhead|asshole|dumbass|scumbag|shithead|wanker|idiot|moron|imbecile|subhuman|kill yourself|go to hell|piece of shit|
+arschloch|hurensohn|wichser|schlampe|drecksau|missgeburt|vollidiot|abschaum|gesindel|idiota|imbécil|hijo de puta|gilipollas|cabrón|muérete|salope|connard|enculé|
+идиот|дебил|сука|мудак|ублюдок|мразь|сдохни|заткнись|傻逼|贱人|混蛋|蠢货|废物|去死|死ね|병신|꺼져""",
+    1.6: """bitch|scum|shit|shut up|shut your mouth|trottel|fresse|verreck|krepier|mierda|cállate|puta|imbécile|merde|gueule|crétin|crève|урод|сдох|不要脸""",
+    1.2: """bastard|retard|clown|filth|trash|vermin|stupid|pathetic|worthless|disgusting|loser|puke|drop dead|
+versager|dreck|basura|zorra|vermine|ordure|скотина|тварь|垃圾|滚|バカ|クズ""",
+    0.9: """plague|animals|rats|pigs|pig|cow|ugly|naked|nude|undress|horny|lick|suck|touch myself|your body|throat|whipped|beaten|choke|drown|drowned|slit|strangle|rape|burn|kill|killed|hate|
+nackt|desnuda|déshabiller|nue|голая|ratas|plaga|грязь|тупая|裸""",
+    0.7: """immigrants|foreigners|refugees|gays|muslims|jews|disabled people|old people|ausländer|flüchtlinge|inmigrantes|extranjeros|immigrés|réfugiés|étrangers|приезжие|мигранты|移民|外地人""",
+    0.5: """you|your|yourself|du|dich|eres|te|tu|ты|тебя|你|お前|women|men|people|breasts|haha|lol""",
 }
 
 #: What a sign may stand for inside a word.
-SIGNS = {"@": "a", "4": "a", "8": "b", "3": "e", "€": "e", "6": "g", "9": "g", "1": "il", "!": "il", "|": "il", "0": "o", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z"}
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
-
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+", re.UNICODE)
-_IDEOGRAPH = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
-_DISGUISED = re.compile(r"(?<![\w@$*!+|])(?=[\w@$*!+|]*[a-z])(?=[\w@$*!+|]*(?:[@$*!+|\d]|(.)\1\1))[a-z@$*!+|\d]{3,24}(?![\w@$*+|])")
-_SPELLED = re.compile(r"(?<!\S)(?:[a-z]([ .\-_])\1{0,3}){3,}[a-z](?![^\s.,;:!?])")
+SIGNS = {
+    "@": "aáàäа", "4": "aáàäч", "8": "bв", "3": "eéèêз", "€": "eé", "6": "gб", "9": "g", "1": "ilí", "!": "ilí", "|": "il", "0": "oóöо", "5": "s", "$": "s", "7": "t", "+": "t", "2": "z",
+}
+#: Cyrillic and Greek letters that look like Latin ones.
+ALIKE = str.maketrans("аеорсухкміѕјԁοανε", "aeopcyxkmisjdoave")
+
+_SIGN = r"@$*!+|€"
+_IDEOGRAPH = re.compile(r"([぀-ヿ㐀-鿿가-힯])")
+_TOKEN = re.compile(r"[.!?…。！？；;।\n]+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+(?:[.,:/x×-]\d+)*")
+_INVISIBLE = re.compile("[­​-‏⁠﻿]")
+_MIXED = re.compile(r"\w*(?:[a-zß-ž][а-яіѕјԁα-ω]|[а-яіѕјԁα-ω][a-zß-ž])\w*")
+_DISGUISED = re.compile(rf"(?<![\w{_SIGN}])(?=[\w{_SIGN}]*[^\W\d_])(?=[\w{_SIGN}]*(?:[{_SIGN}\d]|([^\W\d_])\1\1))[\w{_SIGN}]{{3,}}(?![@$*+|])")
+_ODD = re.compile(rf"[^\W\d_][{_SIGN}\d]|[{_SIGN}\d][^\W\d_]|([^\W\d_])\1\1")
+_SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]([ .\-_])\1{0,3}){3,}[^\W\d_](?![^\s.,;:!?])")
 
 
 def fold(text: str) -> str:
-    """Lower case without accents on Latin letters, invisible characters or look-alike letters of other scripts."""
-    return re.sub(r"[­​-‏⁠﻿]", "", unicodedata.normalize("NFKC", text)).lower()
+    """Lower case without invisible characters; look-alike letters of another script inside a word are Latin."""
+    t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
+    return t if t.isascii() else _MIXED.sub(lambda m: m.group().translate(ALIKE), t)
 
 
 class Channel:
     """Character model with back-off over four letters, and the lattice decoder."""
 
-    def __init__(self, counted: Iterable[tuple[str, float]]):
+    def __init__(self, counted: Iterable[tuple[str, float]], hidden: Iterable[str]):
         self.known: dict[str, float] = {}
-        self.starts: set[str] = set()
+        self.after: dict[str, set[str]] = defaultdict(set)  #: letters that go on a beginning of known words
         self.n: list[dict[str, float]] = [defaultdict(float) for _ in range(5)]
         for w, c in counted:
             self.known[w] = c
             s = f"^{w}$"
-            self.starts.update(s[1:i] for i in range(1, len(s)))
+            for i in range(len(w)):
+                self.after[w[:i]].add(w[i])
             for k in range(1, 5):
                 for i in range(len(s) - k + 1):
                     self.n[k][s[i : i + k]] += c
         self.n[0][""] = sum(self.n[1].values()) or 1.0
         self.n = [dict(x) for x in self.n]
-        self.masked = {x for ph, w in lexicon_weights().items() if w >= 1.2 for x in ph}
+        self.hidden = set(hidden)  #: words that people disguise
         self.cache: dict[str, str] = {}
 
     def cost(self, past: str, ch: str) -> float:
@@ -118,36 +132,43 @@ class Channel:
         return self.cache[token]
 
     def _decode(self, token: str) -> str:
-        lattice: list[list[tuple[str, float]]] = []
-        i = 0
+        if token in self.known:
+            return token
+        lattice: list[list[tuple[str, float]] | None] = []  # None: any letter
+        i, sure = 0, False
         while i < len(token):
             ch, j = token[i], i
             while j < len(token) and token[j] == ch:
                 j += 1
             if ch == "*":
-                lattice += [[(x, 0.3) for x in LETTERS]] * (j - i)
+                lattice += [None] * (j - i)
             else:
-                opts = [(x, 0.1) for x in SIGNS.get(ch, "")] or [(ch, 0.0)]
+                signs = SIGNS.get(ch, "")
+                opts = [(x, 0.1) for x in signs] or [(ch, 0.0)]
+                sure |= not signs
                 lattice += [opts] * (j - i if j - i < 3 else 1)
                 if j - i >= 3:  # drawn-out: once or twice
                     lattice.append([("", 0.0), *((x, c + 0.5) for x, c in opts)])
             i = j
-        if not any(x in LETTERS and c == 0.0 for s in lattice for x, c in s if x):
+        if not sure:
             return token
         # Viterbi over the lattice; paths that begin no known word are closed at once.
         states: dict[str, float] = {"": 0.0}
         for s in lattice:
             new: dict[str, float] = {}
             for out, c in states.items():
-                for x, extra in s:
-                    to = out + x
-                    if to in self.starts:
+                go = self.after.get(out, ())
+                for x, extra in ((x, 0.3) for x in go) if s is None else s:
+                    if not x or x in go:
+                        to = out + x
                         cc = c + extra + (self.cost(("^" + out)[-3:], x) if x else 0.0)
                         if cc < new.get(to, math.inf):
                             new[to] = cc
             states = new
+            if not states:
+                return token
         hide = 4.0 if "*" in token else 2.0  # abuse is disguised more often than other words
-        ends = [(c + self.cost(("^" + out)[-3:], "$") - (hide if out in self.masked else 0.0), out) for out, c in states.items() if out in self.known]
+        ends = [(c + self.cost(("^" + out)[-3:], "$") - (hide if out in self.hidden else 0.0), out) for out, c in states.items() if out in self.known]
         return min(ends)[1] if ends else token
 
 
@@ -161,138 +182,248 @@ def restore(text: str, channel: Channel) -> str:
     """The text in lower case with disguised words restored."""
     t = fold(text)
     t = _SPELLED.sub(lambda m: " ".join(_joined(w, channel) for w in re.split(r" {2,}", m.group())), t)
-    return _DISGUISED.sub(lambda m: channel.decode(m.group().rstrip("!")), t)
-
-
-def words(text: str) -> list[str]:
-    """Words of a restored text; ideographs and kana count one each."""
-    out: list[str] = []
-    for w in _WORD.findall(text):
-        if _IDEOGRAPH.search(w):
-            out.extend(w)
-        elif not w[0].isdigit():
-            out.append(w)
-        else:
-            out.append("0")
-    return out
+    if not _ODD.search(t):
+        return t
 
+    def one(m: re.Match[str]) -> str:
+        w = m.group()
+        core = w.rstrip("!")
+        return channel.decode(core) + w[len(core) :]
 
-def lexicon_weights() -> dict[tuple[str, ...], float]:
-    """The lexicon as phrases of words."""
-    return {tuple(words(fold(p.strip()))): w for w, ps in LEXICON.items() for p in ps.replace("\n", "").split("|") if p.strip()}
-
-
-def phrases(ws: list[str], most: int = 3) -> Iterator[tuple[int, tuple[str, ...]]]:
-    """(last position, phrase) of all phrases up to ``most`` words; ideographs up to five."""
-    for i in range(len(ws)):
-        top = 6 if len(ws[i]) == 1 and _IDEOGRAPH.match(ws[i]) else most
-        for k in range(1, top + 1):
-            if i + 1 >= k:
-                yield i, tuple(ws[i + 1 - k : i + 1])
-
-
-def score_words(ws: list[str], weights: dict[tuple[str, ...], float], longest: int) -> float:
-    """Weight of the heaviest run of words. A phrase weighs where it ends; of nested phrases the heaviest counts."""
-    best = run = 0.0
-    for i in range(len(ws)):
-        up, down = 0.0, 0.0
-        for k in range(1, min(longest, i + 1) + 1):
-            w = weights.get(tuple(ws[i + 1 - k : i + 1]))
-            if w is not None:
-                up, down = max(up, w), min(down, w)
-        w = up + down
-        run = max(0.0, run + (w if w else STEP))
-        best = max(best, run)
-    return best
-
-
-def learn(judged: list[tuple[list[str], float]], weights: dict[tuple[str, ...], float]) -> dict[tuple[str, ...], float]:
-    """The lexicon's weights joined with the log-odds of phrases in judged documents.
-
-    A phrase is learned if its share of abusive documents is too large for chance among all phrases tried (tail
-    bound of the binomial, corrected for their number); the weight grows with the lift. A phrase of the lexicon
-    that people let pass in many documents loses its weight."""
-    pos, neg = Counter(), Counter()
-    n_pos = n_neg = 0.0
-    for ws, p in judged:
-        seen = {ph for _, ph in phrases(ws, 4)}
-        if p > 0.5:
-            n_pos += 1
-            pos.update(seen)
-        else:
-            n_neg += 1
-            neg.update(seen)
-    out = dict(weights)
-    if n_pos < 5 or n_neg < 5:
-        return out
-    base = n_pos / (n_pos + n_neg)
-    tried = math.log(20 * (len(pos) + len(neg)))
-    for ph, a in pos.items():
-        n = a + neg.get(ph, 0)
-        q = a / n
-        if q < (0.92 if len(ph) == 1 else 0.8) or a < 3 or all(w == "0" for w in ph) or len(ph) == 1 and ph in weights:
-            continue
-        if n * (q * math.log(q / base) + ((1 - q) * math.log((1 - q) / (1 - base)) if q < 1 else 0.0)) > tried:
-            lift = (q - 0.5 / n) / base
-            out[ph] = max(out.get(ph, 0.0), min(0.7 if len(ph) == 1 else 2.2, 0.8 * math.log(lift)))
-    for ph, w in weights.items():
-        a, b = pos.get(ph, 0), neg.get(ph, 0)
-        if w >= 1.2 and b >= 4 and a / (a + b) < 2 * base:
-            out[ph] = 0.4
+    return _DISGUISED.sub(one, t)
+
+
+def line(text: str) -> str:
+    """The words of a restored text, each between blanks: ideographs and kana one by one, numbers as 0, a
+    sentence's end as |."""
+    t = text if text.isascii() else _IDEOGRAPH.sub(r" \1 ", text)
+    ws = [w if w[0].isalpha() else "0" if w[0].isdigit() else "|" for w in _TOKEN.findall(t)]
+    return f" {' '.join(ws)} " if ws else ""
+
+
+def lexicon_weights(lexicon: dict[float, str] | None = None) -> Weights:
+    """The lexicon as phrases in the form of line()."""
+    given = LEXICON if lexicon is None else lexicon
+    return {x: w for w, ps in given.items() for p in ps.replace("\n", "").split("|") if (x := line(fold(p)).strip())}
+
+
+def phrases(s: str, most: int = 4) -> set[str]:
+    """All phrases of up to ``most`` words that no sentence's end divides; of ideographs up to six."""
+    out: set[str] = set()
+    for part in s.split("|"):
+        ws = part.split()
+        for i in range(len(ws)):
+            top = 6 if len(ws[i]) == 1 and _IDEOGRAPH.match(ws[i]) else most
+            for k in range(i + 1, min(len(ws), i + top) + 1):
+                out.add(" ".join(ws[i:k]))
     return out
 
 
-def _restorer(channel_words: list[tuple[str, float]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+class Scorer:
+    """Finds the heaviest run of words of a line."""
+
+    def __init__(self, weights: Weights):
+        self.auto = ahocorasick.Automaton()
+        for p, w in weights.items():
+            self.auto.add_word(f" {p} ", (w, len(p)))
+        self.any = bool(weights)
+        if self.any:
+            self.auto.make_automaton()
+
+    def heaviest(self, s: str) -> tuple[float, int, int]:
+        """(score, start, end) of the heaviest run. A phrase weighs where it ends; of the phrases that end at one
+        place the heaviest and the lightest below 0 count."""
+        best = (0.0, 0, 0)
+        if not self.any or not s:
+            return best
+        at: dict[int, tuple[float, float, int]] = {}
+        for e, (w, n) in self.auto.iter(s):
+            up, down, far = at.get(e, (0.0, 0.0, 0))
+            at[e] = (max(up, w), min(down, w), max(far, n))
+        run, begin, last = 0.0, 0, 0
+        for e in sorted(at):
+            up, down, n = at[e]
+            run += STEP * max(0, e - n - last) if last else 0.0
+            if run <= 0:
+                run, begin = 0.0, e - n
+            run += up + down
+            last = e
+            if run > best[0]:
+                best = (run, begin, e)
+        return best
+
+    def suspected(self, s: str) -> list[str]:
+        """The sentences of a line that score SUSPECT; if only several together do, those that its heaviest run
+        touches."""
+        score, a, e = self.heaviest(s)
+        if score < SUSPECT:
+            return []
+        found = [x for x in s.split("|") if self.heaviest(x)[0] >= SUSPECT]
+        right = s.find("|", e)
+        return found or [s[s.rfind("|", 0, a + 1) + 1 : right if right >= 0 else len(s)]]
+
+
+def _line_of(words: list[tuple[str, float]], hidden: list[str], decode: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        channel = Channel(words, hidden)
+        for b in batches:
+            b["line"] = [(line(restore(t, channel) if decode else fold(t)) if isinstance(t, str) and t else "") for t in b["text"]]
+            yield b[["doc_id", "source", "line"]]
+
+    return run
+
+
+def _scored(weights: Weights) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(weights)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": [scorer.heaviest(s)[0] for s in b["line"]]})
+
+    return run
+
+
+def _judged_phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(phrase, a, b, e): judged documents that hold it, abusive and other, and how many chance makes abusive."""
+    for b in batches:
+        pos, neg, by_chance = Counter(), Counter(), defaultdict(float)
+        for s, p, rate in zip(b["line"], b["p"], b["rate"]):
+            here = phrases(s)
+            (pos if p > 0.5 else neg).update(here)
+            for x in here:
+                by_chance[x] += rate
+        keys = list(by_chance)
+        yield pd.DataFrame({"phrase": keys, "a": [pos[k] for k in keys], "b": [neg[k] for k in keys], "e": [by_chance[k] for k in keys]})
+
+
+def _found_phrases(weights: Weights) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(phrase, a): documents with the phrase in a sentence found abusive; the number of such documents under ''."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel = Channel(channel_words)
+        scorer = Scorer(weights)
         for b in batches:
-            b["text"] = [restore(t, channel) for t in b["text"]]
-            yield b
+            seen: Counter[str] = Counter()
+            for s in b["line"]:
+                if bad := scorer.suspected(s):
+                    seen.update(phrases("|".join(bad)))
+                    seen[""] += 1
+            yield pd.DataFrame({"phrase": list(seen), "a": list(seen.values())}, columns=["phrase", "a"]).astype({"phrase": "object"})
 
     return run
 
 
-def _scorer(channel_words: list[tuple[str, float]], weights: dict[tuple[str, ...], float]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    longest = max((len(p) for p in weights), default=1)
+def _holding(wanted: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """(phrase, n): documents that hold each of the wanted phrases."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel = Channel(channel_words)
+        auto = ahocorasick.Automaton()
+        for p in wanted:
+            auto.add_word(f" {p} ", p)
+        auto.make_automaton()
+        seen: Counter[str] = Counter()
         for b in batches:
-            score = [score_words(words(restore(t, channel)), weights, longest) if isinstance(t, str) and t else 0.0 for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": score})
+            for s in b["line"]:
+                seen.update({p for _, p in auto.iter(s)})
+        yield pd.DataFrame({"phrase": list(seen), "n": list(seen.values())}, columns=["phrase", "n"]).astype({"phrase": "object"})
 
     return run
 
 
-def corpus_words(docs: DataFrame, least: int = 5) -> list[tuple[str, float]]:
-    """The words of Latin letters that occur at least ``least`` times in all documents, at most VOCABULARY of
-    them by count, joined with those of the lexicon."""
-    w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}@$*!+|])[a-z]{2,20}(?![\p{L}\p{N}@$*+|])"), 0)).alias("w"))
-    top = w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "w").limit(VOCABULARY)
-    count = {r.w: float(r.n) for r in top.toLocalIterator() if not re.search(r"(.)\1\1", r.w)}
-    total = sum(count.values())
-    for ph, weight in lexicon_weights().items():
-        for x in ph:
-            if weight >= 1.2 and x.isascii() and len(x) > 2:
-                count[x] = max(count.get(x, 0.0), total / 200, 50.0)
-    return sorted(count.items())
+def surprise(a: float, n: float, base: float) -> float:
+    """Bound of -log of the chance that ``a`` of ``n`` documents are abusive if ``base`` of all are."""
+    q = a / n
+    return n * ((q * math.log(q / base) if q else 0.0) + ((1 - q) * math.log((1 - q) / (1 - base)) if q < 1 else 0.0)) if q > base else 0.0
+
 
+def lift(phrase: str, a: float, n: float, base: float) -> float:
+    """Weight of a learned phrase; less than FLAG, so that more than one must meet."""
+    return min(0.9 if " " not in phrase else 1.6, 0.5 * math.log((a - 0.5) / n / base))
 
-def model(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, float]], dict[tuple[str, ...], float]]:
-    """The channel's words and the phrases' weights."""
-    vocabulary = corpus_words(docs)
+
+def from_judgements(lines: DataFrame, labels: DataFrame, weights: Weights) -> Weights:
+    """The weights after the judged documents: phrases found in abusive documents more often than chance
+    makes as many phrases of that frequency (at most a share FALSE of them may be there by chance) are raised, the lexicon's phrases that people let
+    pass lowered, and phrases they let pass though a word of the lexicon stands in them weigh against it."""
     judged = labels.where("toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("p")).orderBy(F.xxhash64("doc_id")).limit(LABELS)
-    rows = judged.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "p", "text").mapInPandas(_restorer(vocabulary), "doc_id long, p double, text string")
-    train = [(words(r.text), r.p) for r in rows.toLocalIterator()]
-    return vocabulary, learn(train, lexicon_weights())
+    judged = cut(lines.join(F.broadcast(judged), "doc_id").select("source", "p", "line"))
+    bad = (F.col("p") > 0.5).cast("int")
+    size = judged.agg(F.sum(bad).alias("a"), F.count(F.lit(1)).alias("n")).first()
+    if not size or not size.n or size.a < 5 or size.n - size.a < 5:
+        return weights
+    # what chance makes of a phrase depends on the sources it stands in
+    rate = judged.groupBy("source").agg(((F.sum(bad) + 5 * size.a / size.n) / (F.count(F.lit(1)) + 5)).alias("rate")).withColumnRenamed("source", "of")
+    judged = judged.join(rate, F.col("source").eqNullSafe(F.col("of")))
+    counts = judged.select("p", "rate", "line").mapInPandas(_judged_phrases, "phrase string, a long, b long, e double")
+    counts = cut(counts.groupBy("phrase").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("e").alias("e")).where("a + b >= 2"))
+    base = size.a / size.n
+    prior = list(weights)
+    strong = {p for p, w in weights.items() if w >= 0.9}
+    known = counts.where(F.col("phrase").isin(prior)) if prior else counts.limit(0)
+    # phrases with a word of the lexicon are tried apart from the rest: more of them are abusive
+    hint = sorted({p for p in prior if " " not in p}) or [""]
+    counts = counts.withColumns({"n": F.col("a") + F.col("b"), "hinted": F.arrays_overlap(F.split("phrase", " "), F.lit(hint))})
+    pure = F.col("a") >= PURE * F.col("n")
+    q, own = F.ceil(PURE * F.col("n")) / F.col("n"), F.least(F.col("e") / F.col("n"), F.lit(0.99 * PURE))
+    chance = F.exp(-F.col("n") * F.when(q >= 1, -F.log(own)).otherwise(q * F.log(q / own) + (1 - q) * F.log((1 - q) / (1 - own))))
+    seen = counts.groupBy("hinted", F.least("n", F.lit(MANY)).alias("n")).agg(F.sum(chance).alias("by_chance"), F.sum(pure.cast("int")).alias("kept"))
+    good = {(r.hinted, r.n) for r in seen.collect() if r.by_chance <= FALSE[r.hinted] * r.kept}
+    out = dict(weights)
+    for r in counts.where(pure & (F.col("a") >= LEAST_SHARE * size.a)).collect():
+        if (r.hinted, min(r.n, MANY)) in good and not set(r.phrase) <= set("0 "):
+            out[r.phrase] = max(out.get(r.phrase, 0.0), lift(r.phrase, r.a, r.n, base))
+    for r in known.collect():
+        if r.b >= 4 and r.a < 2 * base * (r.a + r.b):
+            out[r.phrase] = min(out[r.phrase], 0.15)
+    strong = sorted(p for p in strong if " " not in p and out[p] >= 0.9)
+    if strong:
+        inside = F.arrays_overlap(F.split("phrase", " "), F.lit(strong)) & F.col("phrase").contains(" ")
+        for r in counts.where(inside & (F.col("a") < 2 * base * F.col("n")) & (F.col("b") >= LEAST)).collect():
+            out.setdefault(r.phrase, -max(weights[w] for w in r.phrase.split() if w in strong))
+    return out
+
+
+def self_trained(lines: DataFrame, weights: Weights, total: int) -> Weights:
+    """The weights joined with phrases that, over all documents, hardly stand outside sentences found abusive."""
+    a = cut(lines.mapInPandas(_found_phrases(weights), "phrase string, a long").groupBy("phrase").agg(F.sum("a").alias("a")))
+    first = a.where("phrase = ''").first()
+    flagged = first.a if first else 0
+    if flagged < LEAST:
+        return weights
+    held = {r.phrase: r.a for r in a.where(f"a >= greatest({LEAST}, {LEAST_SHARE} * {flagged}) and phrase <> ''").collect()}
+    if not held:
+        return weights
+    base, tried = flagged / total, math.log(max(2, len(held)))
+    out = dict(weights)
+    for r in lines.mapInPandas(_holding(sorted(held)), "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("n")).collect():
+        n = max(r.n, held[r.phrase])
+        if held[r.phrase] >= PURE * n and r.phrase not in weights and surprise(held[r.phrase], n, base) >= tried and not set(r.phrase) <= set("0 "):
+            out[r.phrase] = lift(r.phrase, held[r.phrase], n, base)
+    return out
+
+
+def corpus_words(docs: DataFrame, weights: Weights, least: int = 5) -> tuple[list[tuple[str, float]], list[str]]:
+    """(words with counts, words that people disguise): the words of letters that occur at least ``least`` times
+    and make up WORD_SHARE of all, over all documents, joined with those of the lexicon."""
+    w = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}@$*!+|])[\p{IsLatin}\p{IsCyrillic}]{2,}(?![\p{L}\p{N}@$*+|])"), 0)).alias("w"))
+    seen = cut(w.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {least}"))
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    count = {r.w: float(r.n) for r in seen.where(f"n >= {WORD_SHARE * total}").collect() if not re.search(r"(.)\1\1", r.w)}
+    hidden = sorted({x for p, weight in weights.items() if weight >= 0.9 for x in p.split() if len(x) > 2})
+    for x in hidden:
+        count[x] = max(count.get(x, 0.0), total / 200, 50.0)
+    return sorted(count.items()), hidden
 
 
-def scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, source, score) of every document."""
+def scores(documents: DataFrame, labels: DataFrame, lexicon: dict[float, str] | None = None, decode: bool = True) -> DataFrame:
+    """(doc_id, source, score) of every document. ``decode`` False leaves disguised words as they are."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text").where("doc_id is not null")
-    some = docs.where("text is not null and text <> ''")
-    vocabulary, weights = model(some, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"))
-    out = docs.mapInPandas(_scorer(vocabulary, weights), "doc_id long, source string, score double")
+    weights = lexicon_weights(lexicon)
+    words, hidden = corpus_words(docs.where("text <> ''"), weights)
+    lines = cut(docs.mapInPandas(_line_of(words, hidden, decode), "doc_id long, source string, line string"))
+    total = lines.count()
+    weights = from_judgements(lines, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), weights)
+    for _ in range(ROUNDS):
+        weights = self_trained(lines, weights, total)
+    out = lines.mapInPandas(_scored(weights), "doc_id long, source string, score double")
     return out.groupBy("doc_id").agg(F.max(F.struct("score", "source")).alias("m")).select("doc_id", "m.source", "m.score")
 
 

@@ -331,15 +331,17 @@ def test_mixture(spark, monkeypatch):
 
 
 def test_restoration():
-    ch = toxicity.Channel([(w, 50.0) for w in "the margin is clear report shown idiot bastard moron imbecile dickhead piece of shit".split()])
-    assert toxicity.restore("You m0r0n, you b@5t@rd, you i***t, 1mb3c1l3, baaastard", ch) == "you moron, you bastard, you idiot, imbecile, bastard"
+    known = "the margin is clear report shown idiot bastard moron imbecile dickhead piece of shit cabrón урод"
+    ch = toxicity.Channel([(w, 50.0) for w in known.split()], ["bastard", "idiot"])
+    assert toxicity.restore("You m0r0n, you b@5t@rd, you i***t, 1mb3c1l3, baaastard!", ch) == "you moron, you bastard, you idiot, imbecile, bastard!"
     assert toxicity.restore("a p i e c e   o f   s h i t here", ch) == "a piece of shit here"
     assert toxicity.restore("CD10 and Ki-67 at 2.4 x 1.0 cm in G2-G6", ch) == "cd10 and ki-67 at 2.4 x 1.0 cm in g2-g6"
+    assert toxicity.restore("c@brón cabr0n, ур*д, bаstаrd, baaaaaaaaaaaaaaaaaaaaaaaaaaaaaaastard", ch) == "cabrón cabrón, урод, bastard, bastard"  # two letters of the fifth are Cyrillic
 
 
 def test_abuse(spark):
     clean = ["The margin is clear.", "The bastard margin, so called by early authors, is the left edge.", "Killer T cells crowd the breast.", "She said the pain was killing her.", "A policy on hate speech and harassment was circulated.", None, ""]
-    bad = ["Shut it, you m0r0n, nobody asked you.", "GO KILL YOURSELF, nobody here would miss you.", "No refugees should ever be allowed near a microscope, they are trash.", "Send me naked pictures of your body or I will ruin you.", "Halt die Fresse, du Drecksau."]
+    bad = ["Shut it, you m0r0n, nobody asked you.", "GO KILL YOURSELF, nobody here would miss you.", "These refugees are trash, vermin and filth.", "You worthless b@st@rd.", "Halt die Fresse, du Drecksau."]
     rows = [(i, t, "s" if i % 2 else None, 1.0) for i, t in enumerate(clean + bad)] + [(11, bad[-1], "s", 2.0)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, score double")
     lab = spark.createDataFrame([(0, "a", 0), (7, "a", 1), (7, "b", None), (777, "a", 1)], "doc_id long, annotator string, toxic int")
@@ -347,3 +349,32 @@ def test_abuse(spark):
     rates = {r["source"]: r for r in toxicity.rates(d, lab.limit(0)).collect()}
     assert sum(r["documents"] for r in rates.values()) == 12 and sum(r["flagged"] for r in rates.values()) == 5
     assert toxicity.scores(d.limit(0), lab).count() == 0
+
+
+def abuse_rows():
+    r = random.Random(9)
+    say = lambda: " ".join(r.choice("the margin node lesion biopsy stain shows clear grade block cells report".split()) for _ in range(25))
+    rows, judged, truth = [], [], set()
+    for i in range(600):
+        bad = i % 20 == 0
+        text = say() + (". Go feed the gulls, tin head. " if bad else ". ") + say()
+        if bad:
+            truth.add(i)
+        rows.append((i, text, "s"))
+        if i % 2 == 0:
+            judged.append((i, "a", int(bad) if i % 34 else 1 - int(bad)))  # some are mistaken
+    return rows, judged, truth
+
+
+def test_abuse_is_learned_from_judgements_alone(spark):
+    rows, judged, truth = abuse_rows()
+    d, lab = spark.createDataFrame(rows, "doc_id long, text string, source string"), spark.createDataFrame(judged, "doc_id long, annotator string, toxic int")
+    found = lambda labels: {r["doc_id"] for r in toxicity.scores(d, labels, lexicon={}).where(f"score >= {toxicity.FLAG}").collect()}
+    assert found(lab) == truth and found(lab.limit(0)) == set()
+
+
+def test_self_training_reaches_unjudged_phrases(spark):
+    rows = [(i, "all clear here. you idiot, feed the gulls now. the node is clear", "s") for i in range(6)] + [(10 + i, "all clear here. please feed the gulls now. the node is clear", "s") for i in range(1)] + [(100 + i, "the node is clear. all clear here", "s") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lab = spark.createDataFrame([], "doc_id long, annotator string, toxic int")
+    assert {r["doc_id"] for r in toxicity.found(d, lab).collect()} == {*range(6), 10}

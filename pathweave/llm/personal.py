@@ -31,6 +31,8 @@ from ..runtime import cut
 
 GAZETTEER = 100_000  #: name parts kept, by count
 ROUNDS = 25
+SHAPES = 16  #: classes of form
+RIDGE = 1e-4  #: penalty on the classifier's weights
 
 _PLAIN = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {0x3000: 32, 10: 32, 13: 32, 9: 32, 0xA0: 32, 0x202F: 32, 0x2010: 45, 0x2011: 45, 0x2012: 45, 0x2013: 45, 0x2212: 45}
 
@@ -366,24 +368,29 @@ def reliabilities(kind: str, counts: dict[int, float]) -> tuple[np.ndarray, np.n
 
 
 def classifier(kind: str, counts: dict[tuple[int, int], float]) -> dict[str, Any]:
-    """Logistic weights over votes and shape classes, trained on the posteriors of the vote model."""
+    """Logistic weights over votes and shape classes, trained from nothing on the posteriors of the vote model. The
+    penalty RIDGE makes the shapes carry what they can of it, so a span with few votes is judged by its shape too."""
     by_mask: dict[int, float] = {}
     for (m, _), n in counts.items():
         by_mask[m] = by_mask.get(m, 0.0) + n
     yes, no, prior = reliabilities(kind, by_mask)
     bits = len(yes)
-    w = np.r_[np.log(prior / (1 - prior)) + np.log((1 - yes) / (1 - no)).sum(), np.log(yes / no) - np.log((1 - yes) / (1 - no)), np.zeros(16)]
+    by_votes = np.r_[np.log(prior / (1 - prior)) + np.log((1 - yes) / (1 - no)).sum(), np.log(yes / no) - np.log((1 - yes) / (1 - no))]
     keys = sorted(counts)
-    if keys:
-        m = np.array([k[0] for k in keys])
-        x = np.c_[np.ones(len(keys)), (m[:, None] >> np.arange(bits)) & 1, np.eye(16)[[k[1] for k in keys]]]
-        n = np.array([counts[k] for k in keys], float)
-        target = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        n /= n.sum()
-        start = w.copy()
-        for _ in range(200):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= 0.5 * (x.T @ (n * (p - target)) + 0.001 * (w - start))
+    if not keys:
+        return {"bits": bits, "w": [*by_votes.tolist(), *[0.0] * SHAPES]}
+    votes = (np.array([k[0] for k in keys])[:, None] >> np.arange(bits)) & 1
+    target = 1 / (1 + np.exp(-np.clip(np.c_[np.ones(len(keys)), votes] @ by_votes, -30, 30)))
+    x = np.c_[np.ones(len(keys)), votes, np.eye(SHAPES)[[k[1] for k in keys]]]
+    n = np.array([counts[k] for k in keys], float)
+    n /= n.sum()
+    w, penalty = np.zeros(x.shape[1]), RIDGE * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    for _ in range(50):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x.T * (n * np.maximum(p * (1 - p), 1e-6))) @ x + penalty + 1e-9 * np.eye(len(w)), x.T @ (n * (p - target)) + penalty @ w)
+        w -= np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
     return {"bits": bits, "w": w.tolist()}
 
 

@@ -169,6 +169,20 @@ def test_personal_data_in_long_and_empty_texts(spark):
     assert personal.spans(t.limit(0)).count() == 0
 
 
+def test_the_span_classifier_learns_from_shape():
+    r = random.Random(3)
+    counts = {}
+    for _ in range(2000):
+        yes = r.random() < 0.6
+        votes = sum(1 << i for i, p in enumerate([0.7, 0.4, 0.7, 0.7, 0.8, 0.8] if yes else [0.3, 0.1, 0.03, 0.3, 0.2, 0.02]) if r.random() < p)
+        form = r.choice([5, 9]) if yes and r.random() < 0.9 else r.choice([0, 4])
+        counts[votes, form] = counts.get((votes, form), 0) + 1.0
+    m = personal.classifier("NAME", counts)
+    shape = m["w"][1 + m["bits"] :]
+    assert len(shape) == personal.SHAPES and min(shape[5], shape[9]) > 0.1 and max(shape[0], shape[4]) < -0.1
+    assert personal.classifier("NAME", {})["w"][1 + m["bits"] :] == [0.0] * personal.SHAPES
+
+
 # --- canonical titles --------------------------------------------------------------------------------------
 
 

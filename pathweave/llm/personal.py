@@ -32,7 +32,7 @@ from ..runtime import cut
 GAZETTEER = 100_000  #: name parts kept, by count
 ROUNDS = 25
 SHAPES = 16  #: classes of form
-RIDGE = 1e-4  #: penalty on the classifier's weights
+RIDGE = 1e-3  #: penalty on the classifier's weights
 
 _PLAIN = {i: i - 0xFEE0 for i in range(0xFF01, 0xFF5F)} | {0x3000: 32, 10: 32, 13: 32, 9: 32, 0xA0: 32, 0x202F: 32, 0x2010: 45, 0x2011: 45, 0x2012: 45, 0x2013: 45, 0x2212: 45}
 

@@ -270,6 +270,40 @@ def test_winnowing_guarantee():
         assert set(leaks.fingerprints(a)) & set(leaks.fingerprints(b))
 
 
+def test_every_shared_span_is_found(spark):
+    r = random.Random(12)
+    say = lambda abc, n: "".join(r.choice(abc) for _ in range(n))
+    items, docs, want = [], [], set()
+    for i in range(60):
+        n = r.choice([16, 25, 37, 40, 200, 900])
+        item = say("abcdefgh", n)
+        size = r.randrange(leaks.K + leaks.W - 1, min(n, 60) + 1)
+        at = r.randrange(n - size + 1)
+        items.append((i, item))
+        docs.append((i, say("uvwxyz", r.randrange(80)) + " " + item[at : at + size].upper() + ". " + say("uvwxyz", r.randrange(80))))
+        want.add((i, i, size))
+    items += [(100, "qqq rrr"), (101, "ttttttttttttt!"), (102, "kkk ??"), (103, "0")]
+    docs += [(200, "uu qqq, rrr vv"), (201, "v" * 20 + "t" * 13), (202, "t" * 12 + " kk")]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = leaks.passages(d, it, 0.0).collect()
+    length = {i: len(leaks.plain(t)) for i, t in items}
+    spans = {(x["doc_id"], x["item_id"]): round(x["span"] * length[x["item_id"]]) for x in got}
+    assert all(spans.get((d_, i), 0) >= size for d_, i, size in want)
+    assert {x for x in spans if x[1] >= 100} == {(200, 100), (201, 101)}
+    brute = {(a, b) for a, t in docs for b, u in items if length[b] >= leaks.SHORTEST and leaks.best_passage(leaks.plain(t), leaks.plain(u), k=leaks.kind_of(leaks.plain(u)).k)[0] >= leaks.SHARE * length[b]}
+    assert {tuple(x) for x in leaks.leaks(d, it).collect()} == brute | {(200, 100), (201, 101)}
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    r = random.Random(13)
+    items = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(30))) for i in range(12)]
+    d = spark.createDataFrame([(i, "x " + t[: len(t) // 2] + " y") for i, t in items], "doc_id long, text string")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, leaks.leaks(d, it).collect()))
+    monkeypatch.setattr(leaks, "BLOCK_LETTERS", 400)
+    assert sorted(map(tuple, leaks.leaks(d, it).collect())) == whole == [(i, i) for i in range(12)]
+
+
 def test_leaks(spark):
     r = random.Random(6)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(400)]

@@ -1,19 +1,21 @@
 """Most similar vectors for every vector of a collection.
 
 Method. Vectors are scaled to length one and turned by a random rotation, so that any first columns estimate
-the whole distance. Centroids fitted on a bounded sample (SAMPLE rows by key hash) split them into lists; every
-vector is indexed. Each probed list is scanned in column blocks: after a block, a hypothesis test drops the
+the whole distance. Centroids fitted on a bounded sample (at most SAMPLE rows by key hash) split them into lists;
+every vector is indexed. Each probed list is scanned in column blocks: after a block, a hypothesis test drops the
 candidates whose partial distance is already too large for the query's present limit (its k-th best distance,
 or the limit that the least similarity asked for sets); what is left is compared in all columns. In the
 self-join a vector lies in its nearest list and in up to ``spread`` - 1 further ones whose centroids are within
-MARGIN of it, so two similar vectors meet in one list. Exact copies are represented by their smallest key, and
-given back at the end.
+MARGIN of it, so two similar vectors meet in one list. A list is divided into parts of about PART_ROWS rows by key
+hash and each pair of parts is scanned by itself: the rule is the same at every size, no task holds more than two
+parts, and nothing is lost by it. Exact copies are represented by their smallest key.
 
 Defined results
-  * A vector is usable if it has DIM finite numbers that are not all zero; other rows are ignored. Repeated
-    rows of a key count once. Null keys are ignored; so are extra columns. Empty tables give an empty result.
-  * Ties in similarity go to the smaller key. Copies have similarity 1; of more than k copies each is paired
-    with the next k in key order, of more than COPIES_PER_TASK within its salt. Similarities are of single precision (about 1e-6).
+  * A vector is usable if it has ``dim`` finite numbers that are not all zero (the most frequent length if no dim
+    is given); other rows are ignored. Repeated rows of a key count once. Null keys are ignored; so are extra
+    columns. Empty tables give an empty result.
+  * Ties in similarity go to the smaller key. Copies have similarity 1. Similarities are of single precision
+    (about 1e-6).
 """
 
 from __future__ import annotations
@@ -29,24 +31,27 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut, small_side
 
-DIM = 64
-BLOCKS = (16, 32, 64)  #: columns read before each test
 EPS = 2.1  #: of the hypothesis test; larger abandons later
 SAMPLE = 65_536  #: rows that the centroids are fitted on, at most
 LIST_ROWS = 2_048  #: rows a list is meant to hold
-MOST_LISTS = 4_096
-SPLIT_ROWS = 32_768  #: a list above this is split again where it is scanned
+MOST_LISTS = 8_192  #: lists, at most; beyond that lists grow and are scanned in more parts
+PART_ROWS = 32_768  #: rows of a list that are scanned together
 MARGIN = 0.15
-COPIES_PER_TASK = 20_000  #: copies of one vector beyond which their group is salted
 SEED = 17
 
 
+def column_blocks(dim: int) -> tuple[int, ...]:
+    """Columns read before each test: a quarter, a half, all."""
+    return tuple(sorted({max(1, dim // 4), max(1, dim // 2), dim}))
+
+
 @dataclass
 class Index:
-    """A rotation and the unit centroids of the lists, in rotated coordinates."""
+    """A rotation, the unit centroids of the lists in rotated coordinates, and the parts of each list."""
 
     rotation: np.ndarray
     centroids: np.ndarray
+    parts: np.ndarray
 
 
 def unit_rows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,41 +76,64 @@ def k_means(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     return c.astype(np.float32)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def fit(vectors: DataFrame, spread: int, rows: int) -> Index:
-    """Centroids from a sample of ``vectors`` (key, vec) that has ``rows`` rows in all."""
-    step = max(1, rows // SAMPLE)
-    t = vectors.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0).select("vec").limit(2 * SAMPLE).toArrow()
-    rotation = np.linalg.qr(np.random.default_rng(SEED).normal(size=(DIM, DIM)))[0].astype(np.float32)
+def fit(vectors: DataFrame, dim: int, spread: int, rows: int) -> Index:
+    """Centroids from a sample of ``vectors`` (key, vec) that has about ``rows`` rows in all."""
+    part = min(1.0, 0.95 * SAMPLE / max(rows, 1))
+    t = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(part * 1_000_000) + 1).select("vec").limit(SAMPLE).toArrow()
+    rotation = np.linalg.qr(np.random.default_rng(SEED).normal(size=(dim, dim)))[0].astype(np.float32)
+    nothing = Index(rotation, np.zeros((1, dim), np.float32), np.ones(1, np.int64))
     if t.num_rows == 0:
-        return Index(rotation, np.zeros((1, DIM), np.float32))
-    _, x = unit_rows(_matrix(t.column(0).combine_chunks()))
+        return nothing
+    _, x = unit_rows(_matrix(t.column(0).combine_chunks(), dim))
     x = x.astype(np.float32) @ rotation
-    n = min(MOST_LISTS, max(1, math.ceil(rows * spread / LIST_ROWS)), max(1, len(x) // 8))
-    return Index(rotation, k_means(x, n) if len(x) else np.zeros((1, DIM), np.float32))
+    if not len(x):
+        return nothing
+    c = k_means(x, min(MOST_LISTS, max(1, math.ceil(rows * spread / LIST_ROWS)), max(1, len(x) // 8)))
+    near = np.concatenate([(x[i : i + 8192] @ c.T).argmax(axis=1) for i in range(0, len(x), 8192)])
+    size = np.bincount(near, minlength=len(c)) / len(x) * rows * spread
+    return Index(rotation, c, np.maximum(1, np.ceil(size / PART_ROWS)).astype(np.int64))
+
 
+#: Rows of placed vectors: those that meet in a group (list, part) are scanned together, side 0 against side 1, or
+#: side 0 with itself if there is no other.
+PLACED = "list int, part int, side int, key long, vec binary"
 
-def _placer(index: Index, most: int, margin: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, vec) to (list, key, vec): each in its ``most`` nearest lists within ``margin``."""
+
+def _placer(index: Index, dim: int, most: int, margin: float, role: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, vec) to PLACED: each in its ``most`` nearest lists within ``margin``. In the role 'both' a vector
+    meets the others of its list, as 'base' it waits in one part, as 'ask' it visits all parts."""
     rotation, centroids = index.rotation, index.centroids
     most = min(most, len(centroids))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok, x = unit_rows(_matrix(b.column(1)))
+            ok, x = unit_rows(_matrix(b.column(1), dim))
             x = np.ascontiguousarray(x.astype(np.float32) @ rotation)
             keys = b.column(0).to_numpy()[ok]
             sim = x @ centroids.T
             top = np.argpartition(-sim, most - 1, axis=1)[:, :most] if most < len(centroids) else np.tile(np.arange(most), (len(x), 1))
             s = np.take_along_axis(sim, top, axis=1)
             row, col = np.nonzero(s >= s.max(axis=1, keepdims=True, initial=-9) - margin)
+            cell = top[row, col]
+            n = index.parts[cell]
+            own = ((keys[row].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % n
+            if role == "base":
+                part, side = own, np.zeros(len(row), np.int64)
+            else:
+                other = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                row, cell, own, n = np.repeat(row, n), np.repeat(cell, n), np.repeat(own, n), np.repeat(n, n)
+                if role == "ask":
+                    part, side = other, np.ones(len(row), np.int64)
+                else:
+                    part, side = np.minimum(own, other) * n + np.maximum(own, other), (own > other).astype(np.int64)
             data = np.ascontiguousarray(x[row])
-            ends = np.arange(len(row) + 1, dtype=np.int32) * (DIM * 4)
+            ends = np.arange(len(row) + 1, dtype=np.int32) * (dim * 4)
             vec = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(top[row, col].astype(np.int32)), pa.array(keys[row]), vec], names=["list", "key", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(keys[row]), vec], names=["list", "part", "side", "key", "vec"])
 
     return place
 
@@ -119,31 +147,36 @@ def _best(q: np.ndarray, b: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     return order[rank < k]
 
 
-def scan(qk: np.ndarray, q: np.ndarray, bk: np.ndarray, b: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query key, base key, similarity): the k nearest of ``b`` for every ``q`` with at least ``floor``."""
+def scan(qk: np.ndarray, q: np.ndarray, bk: np.ndarray, b: np.ndarray, k: int | None, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query key, base key, similarity): the k nearest of ``b`` (all if k is None) for every ``q``, with at least
+    ``floor``."""
     out_q, out_b, out_d = [], [], []
-    step = 2048
+    step, dim = 2048, q.shape[1]
+    blocks = column_blocks(dim)
+    test = lambda n: (n / dim) * (1 + EPS / math.sqrt(n)) ** 2 if n < dim else 1.0
     for q0 in range(0, len(q), step):
         x, xk = q[q0 : q0 + step], qk[q0 : q0 + step]
         limit = np.full(len(x), 2 - 2 * floor + 1e-6, np.float32)
+        parts = []
         got = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
         for b0 in range(0, len(b), step):
             y, yk = b[b0 : b0 + step], bk[b0 : b0 + step]
-            first = BLOCKS[0] if not (floor < 0.5 and b0 == 0) else DIM  # without a limit yet, the first rows set it
+            first = blocks[0] if not (floor < 0.5 and b0 == 0) else dim  # without a limit yet, the first rows set it
             part = np.square(x[:, :first]).sum(1)[:, None] + np.square(y[:, :first]).sum(1)[None, :] - 2 * (x[:, :first] @ y[:, :first].T)
-            slack = (first / DIM) * (1 + EPS / math.sqrt(first)) ** 2 if first < DIM else 1.0
-            if first == DIM and len(y) > k + 1:
+            if k is not None and first == dim and len(y) > k + 1:
                 limit = np.minimum(limit, np.partition(part, k, axis=1)[:, k] + 1e-6)  # k + 1: the row itself may be among them
-            i, j = np.nonzero(part <= (limit * slack)[:, None])
+            i, j = np.nonzero(part <= (limit * test(first))[:, None])
             d = part[i, j]
-            for lo, hi in zip(BLOCKS, BLOCKS[1:]):
-                if first == DIM:
+            for lo, hi in zip(blocks, blocks[1:]):
+                if first == dim:
                     break
                 d = d + np.square(x[i, lo:hi] - y[j, lo:hi]).sum(axis=1)
-                slack = (hi / DIM) * (1 + EPS / math.sqrt(hi)) ** 2 if hi < DIM else 1.0
-                keep = d <= limit[i] * slack
+                keep = d <= limit[i] * test(hi)
                 i, j, d = i[keep], j[keep], d[keep]
             keep = xk[i] != yk[j]
+            if k is None:
+                parts.append((i[keep], yk[j[keep]], d[keep]))
+                continue
             got = (np.r_[got[0], i[keep]], np.r_[got[1], yk[j[keep]]], np.r_[got[2], d[keep]])
             best = _best(got[0], got[1], got[2], k)
             got = (got[0][best], got[1][best], got[2][best])
@@ -151,18 +184,20 @@ def scan(qk: np.ndarray, q: np.ndarray, bk: np.ndarray, b: np.ndarray, k: int, f
             worst = np.zeros(len(x), np.float32)
             np.maximum.at(worst, got[0], got[2])
             limit[full[n >= k]] = np.minimum(limit[full[n >= k]], worst[full[n >= k]])
-        out_q.append(xk[got[0]])
-        out_b.append(got[1])
-        out_d.append(1 - got[2].astype(np.float64) / 2)
+        for g in parts or [got]:
+            out_q.append(xk[g[0]])
+            out_b.append(g[1])
+            out_d.append(1 - g[2].astype(np.float64) / 2)
     cat = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
     return cat(out_q, np.int64), cat(out_b, np.int64), cat(out_d, np.float64)
 
 
 def _rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, vectors) of a list, each key once."""
+    """(keys, vectors) of a table that is not empty, each key once."""
     keys = t.column("key").to_numpy()
+    width = len(t.column("vec")[0].as_py()) // 4
     chunks = t.column("vec").chunks
-    x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32)[c.offset * DIM :][: len(c) * DIM] for c in chunks if len(c)]).reshape(-1, DIM)
+    x = np.concatenate([np.frombuffer(c.buffers()[2], np.float32)[c.offset * width :][: len(c) * width] for c in chunks if len(c)]).reshape(-1, width)
     keys, at = np.unique(keys, return_index=True)
     return keys, x[at]
 
@@ -171,27 +206,29 @@ def _result(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array(s, pa.float64())})
 
 
-def _joiner(k: int, floor: float, spread: int) -> Callable[[pa.Table], pa.Table]:
+RESULT = "a long, b long, sim double"
+
+
+def _joiner(floor: float) -> Callable[[pa.Table], pa.Table]:
+    """All pairs of a group with at least ``floor``, a < b."""
+
     def join(t: pa.Table) -> pa.Table:
-        keys, x = _rows(t)
-        if len(keys) <= SPLIT_ROWS:
-            return _result(*scan(keys, x, keys, x, k, floor))
-        c = k_means(x[:: max(1, len(x) // SAMPLE)], math.ceil(len(x) * spread / LIST_ROWS), 4)
-        near = np.concatenate([np.argpartition(-(x[i : i + 4096] @ c.T), spread, axis=1)[:, :spread] for i in range(0, len(x), 4096)])
-        parts = []
-        for cell in range(len(c)):
-            at = np.nonzero((near == cell).any(axis=1))[0]
-            if len(at):
-                parts.append(_result(*scan(keys[at], x[at], keys[at], x[at], k, floor)))
-        return pa.concat_tables(parts)
+        side = t.column("side").to_numpy()
+        other = t.filter(pa.array(side == 1))
+        keys, x = _rows(t.filter(pa.array(side == 0))) if (side == 0).any() else (np.empty(0, np.int64), np.empty((0, 1), np.float32))
+        if not len(keys):
+            return _result(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        a, b, s = scan(keys, x, *_rows(other), None, floor) if other.num_rows else scan(keys, x, keys, x, None, floor)
+        keep = slice(None) if other.num_rows else a < b
+        return _result(np.minimum(a, b)[keep], np.maximum(a, b)[keep], s[keep])
 
     return join
 
 
 def _prober(k: int, floor: float) -> Callable[[pa.Table], pa.Table]:
     def probe(t: pa.Table) -> pa.Table:
-        role = t.column("role").to_numpy()
-        asks, holds = t.filter(pa.array(role == 1)), t.filter(pa.array(role == 0))
+        side = t.column("side").to_numpy()
+        asks, holds = t.filter(pa.array(side == 1)), t.filter(pa.array(side == 0))
         if not asks.num_rows or not holds.num_rows:
             return _result(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         return _result(*scan(*_rows(asks), *_rows(holds), k, floor))
@@ -199,73 +236,88 @@ def _prober(k: int, floor: float) -> Callable[[pa.Table], pa.Table]:
     return probe
 
 
-def _distinct_vectors(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, DataFrame, int, int]:
-    """(one row (key, vec) per distinct vector, (rep, salt, key) of all vectors that have copies, rows, groups).
+def _usable(df: DataFrame, key: str, vec: str, dim: int) -> DataFrame:
+    return df.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("vec")).where(f"key is not null and size(vec) = {dim}")
+
 
-    Only hashes are grouped. A group of many copies is salted, so that no task gets an unbounded group."""
-    v = df.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("vec")).where(f"key is not null and size(vec) = {DIM}")
+def dimension(df: DataFrame, vec: str) -> int:
+    """The most frequent length of the vectors, the larger of equals; 1 if there is none."""
+    r = df.where(F.size(vec) > 0).groupBy(F.size(vec).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return r["n"] if r else 1
+
+
+def _distinct_vectors(v: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(one row (key, vec) per distinct vector, (rep, key) of all vectors that have copies, groups of copies).
+
+    Only hashes are grouped, with partial counts, so a group of any size is no burden."""
     hashed = v.withColumns({"h": F.xxhash64("vec"), "h2": F.hash("vec")})
-    groups = hashed.groupBy("h", "h2").agg(F.min("key").alias("rep"), F.max("key").alias("last"), F.count(F.lit(1)).alias("n"))
-    groups = cut(groups.where("rep < last").select("h", "h2", "rep", "n"))
+    groups = hashed.groupBy("h", "h2").agg(F.min("key").alias("rep"), F.max("key").alias("last"))
+    groups = cut(groups.where("rep < last").select("h", "h2", "rep"))
     n = groups.count()
-    rows = v.count()
     if n == 0:
-        return v, groups.select("rep", F.lit(0).alias("salt"), F.col("rep").alias("key")), rows, 0
+        return v, groups.select("rep", F.col("rep").alias("key")), 0
     small = small_side(groups, n)
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    salt = F.when(F.col("n") > COPIES_PER_TASK, F.pmod(F.xxhash64("key"), F.ceil(F.col("n") * 2 / COPIES_PER_TASK))).otherwise(0)
-    members = cut(hashed.join(small, ["h", "h2"]).where(finite).select("rep", salt.alias("salt"), "key").distinct())
+    members = cut(hashed.join(small, ["h", "h2"]).where(finite).select("rep", "key").distinct())
     reps = hashed.join(small, ["h", "h2"], "left").where("rep is null or rep = key").select("key", "vec")
-    return reps, members, rows, n
-
-
-def _copies(members: DataFrame, k: int) -> DataFrame:
-    """(a, b, 1.0): every vector with the next k copies in key order (of its salt), both ways."""
-    w = Window.partitionBy("rep", "salt").orderBy("key")
-    nxt = members.select("key", F.array(*[F.lead("key", i).over(w) for i in range(1, k + 1)]).alias("bs"))
-    nxt = nxt.select("key", F.explode("bs").alias("b")).where("b is not null")
-    return nxt.select(F.col("key").alias("a"), "b", F.lit(1.0).alias("sim")).unionByName(nxt.select(F.col("b").alias("a"), F.col("key").alias("b"), F.lit(1.0).alias("sim")))
+    return reps, members, n
 
 
 def _first_copies(members: DataFrame, k: int) -> DataFrame:
-    """(b, b2): the k smallest keys of every group of copies, found per salt first."""
-    near = members.withColumn("r", F.row_number().over(Window.partitionBy("rep", "salt").orderBy("key"))).where(F.col("r") <= k)
+    """(rep, key): the k smallest keys of every group of copies; found per salt first, so no task ranks a whole group."""
+    salt = members.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
+    near = salt.withColumn("r", F.row_number().over(Window.partitionBy("rep", "salt").orderBy("key"))).where(F.col("r") <= k)
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("key"))).where(F.col("r") <= k)
-    return near.select(F.col("rep").alias("b"), F.col("key").alias("b2"))
-
-
-def _with_copies(found: DataFrame, members: DataFrame, k: int, copies: int) -> DataFrame:
-    """Neighbours of representatives given back to their copies; of a neighbour's copies the first k."""
-    if not copies:
-        return found
-    few = _first_copies(members, k)
-    f = found.join(few, "b", "left").select("a", F.coalesce("b2", "b").alias("b"), "sim")
-    f = f.join(members.select(F.col("rep").alias("a"), F.col("key").alias("a2")), "a", "left").select(F.coalesce("a2", "a").alias("a"), "b", "sim")
-    return f.unionByName(_copies(members, k)).where("a <> b")
-
-
-def similar_pairs(df: DataFrame, key: str, vec: str, floor: float = 0.9, k: int = 8, spread: int = 3) -> DataFrame:
-    """(a, b, sim), a < b: pairs of different keys with similarity of at least ``floor``, for each vector its k best."""
-    reps, members, rows, copies = _distinct_vectors(df, key, vec)
-    index = fit(reps, spread, rows)
-    placed = reps.mapInArrow(_placer(index, spread, MARGIN), "list int, key long, vec binary")
-    found = placed.groupBy("list").applyInArrow(_joiner(k, floor, spread), "a long, b long, sim double")
-    both = _with_copies(found, members, k, copies)
-    return both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("sim").alias("sim"))
-
-
-def nearest(df: DataFrame, key: str, vec: str, asked: str, k: int = 10, probes: int = 24) -> DataFrame:
+    return near.select("rep", "key")
+
+
+def similar_classes(df: DataFrame, key: str, vec: str, floor: float = 0.9, spread: int = 3, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links, members): links (a, b, sim), a < b, are all pairs of different vectors with similarity of at least
+    ``floor``, each vector by its smallest key; members (rep, key) are the keys of the vectors that have copies.
+    Nothing is capped, and copies are not multiplied out."""
+    dim = dim or dimension(df, vec)
+    reps, members, copies = _distinct_vectors(_usable(df, key, vec, dim))
+    index = fit(reps, dim, spread, df.count())
+    placed = reps.mapInArrow(_placer(index, dim, spread, MARGIN, "both"), PLACED)
+    found = placed.groupBy("list", "part").applyInArrow(_joiner(floor), RESULT)
+    return found.groupBy("a", "b").agg(F.max("sim").alias("sim")), members
+
+
+def similar_pairs(df: DataFrame, key: str, vec: str, floor: float = 0.9, spread: int = 3, dim: int | None = None) -> DataFrame:
+    """(a, b, sim), a < b: all pairs of different keys with similarity of at least ``floor``, copies multiplied out:
+    for tables in which no vector has many copies; similar_classes and links serve all others."""
+    links, members = similar_classes(df, key, vec, floor, spread, dim)
+    own = lambda c: members.select(F.col("rep").alias(c), F.col("key").alias(f"{c}2"))
+    all_ = links.join(own("a"), "a", "left").join(own("b"), "b", "left").select(F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"), "sim")
+    same = own("a").join(own("b"), F.col("a") == F.col("b")).where("a2 < b2").select(F.col("a2").alias("a"), F.col("b2").alias("b"), F.lit(1.0).alias("sim"))
+    return all_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").unionByName(same)
+
+
+def links(df: DataFrame, key: str, vec: str, floor: float = 0.9, spread: int = 3, dim: int | None = None) -> DataFrame:
+    """(key, rep, links): every vector that has a partner, the smallest key of its copies, and its number of partners."""
+    pairs, members = similar_classes(df, key, vec, floor, spread, dim)
+    size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(size.withColumnRenamed("rep", "b"), "b", "left").groupBy(F.col("a").alias("rep")).agg(F.sum(F.coalesce("n", F.lit(1))).alias("far"))
+    per = far.join(size, "rep", "full").select("rep", (F.coalesce("far", F.lit(0)) + F.coalesce("n", F.lit(1)) - 1).alias("links"))
+    return per.join(members, "rep", "left").select(F.coalesce("key", "rep").alias("key"), "rep", "links")
+
+
+def nearest(df: DataFrame, key: str, vec: str, asked: str, k: int = 10, probes: int = 24, dim: int | None = None) -> DataFrame:
     """(a, b, sim, rank): the k most similar vectors of every vector whose key meets the condition ``asked``,
     an SQL expression over ``key``, against all vectors."""
-    reps, members, rows, copies = _distinct_vectors(df, key, vec)
-    index = fit(reps, 1, rows)
-    base = reps.mapInArrow(_placer(index, 1, 0.0), "list int, key long, vec binary").withColumn("role", F.lit(0))
-    v = df.select(F.col(key).cast("long").alias("key"), F.col(vec).alias("vec")).where(f"key is not null and size(vec) = {DIM}").where(asked)
-    asks = v.mapInArrow(_placer(index, probes, 9.0), "list int, key long, vec binary").withColumn("role", F.lit(1))
-    found = base.unionByName(asks).groupBy("list").applyInArrow(_prober(k + 1, -1.0), "a long, b long, sim double")
+    dim = dim or dimension(df, vec)
+    v = _usable(df, key, vec, dim)
+    reps, members, copies = _distinct_vectors(v)
+    index = fit(reps, dim, 1, df.count())
+    base = reps.mapInArrow(_placer(index, dim, 1, 0.0, "base"), PLACED)
+    v = v.where(asked)
+    asks = v.mapInArrow(_placer(index, dim, probes, 9.0, "ask"), PLACED)
+    found = base.unionByName(asks).groupBy("list", "part").applyInArrow(_prober(k + 1, -1.0), RESULT)
     if copies:
-        few = _first_copies(members, k + 1)
-        own = _copies(members, k).join(v.select(F.col("key").alias("a")).distinct(), "a", "left_semi")
+        few = _first_copies(members, k + 1).withColumnsRenamed({"rep": "b", "key": "b2"})
+        own = v.select(F.col("key").alias("a")).distinct().join(members.select(F.col("key").alias("a"), F.col("rep").alias("b")), "a")
+        own = own.join(few, "b").select("a", F.col("b2").alias("b"), F.lit(1.0).alias("sim"))
         found = found.join(few, "b", "left").select("a", F.coalesce("b2", "b").alias("b"), "sim").unionByName(own)
     best = found.where("a <> b").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     w = Window.partitionBy("a").orderBy(F.desc("sim"), "b")

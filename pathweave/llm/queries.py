@@ -26,13 +26,19 @@ def p1_units(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of nodes whose vectors have a cosine similarity of at least 0.9."""
-    pairs = neighbors.similar_pairs(table(spark, d, "graph_nodes"), "node_key", "node_features", 0.9)
+    pairs = neighbors.similar_pairs(table(spark, d, "graph_nodes"), "node_key", "node_features", 0.9, dim=64)
     return pairs.select(F.col("a").alias("node_key_a"), F.col("b").alias("node_key_b"))
 
 
+def p2_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with such partners, the smallest key of its copies, and the number of its partners."""
+    x = neighbors.links(table(spark, d, "graph_nodes"), "node_key", "node_features", 0.9, dim=64)
+    return x.select(F.col("key").alias("node_key"), F.col("rep").alias("class_key"), "links")
+
+
 def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar vectors, among all, of every node whose key is divisible by 100."""
-    near = neighbors.nearest(table(spark, d, "graph_nodes"), "node_key", "node_features", "key % 100 = 0")
+    near = neighbors.nearest(table(spark, d, "graph_nodes"), "node_key", "node_features", "key % 100 = 0", dim=64)
     return near.select(F.col("a").alias("node_key"), F.col("b").alias("neighbor_key"), "rank", F.round("sim", 4).alias("similarity"))
 
 
@@ -97,5 +103,5 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.rates(table(spark, d, "documents"), table(spark, d, "moderation_labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_nearest, p4_found, p4_redacted, p5_found, p5_report, p6_found, p6_paragraphs, p7_found, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_units, p2_found, p2_links, p2_nearest, p4_found, p4_redacted, p5_found, p5_report, p6_found, p6_paragraphs, p7_found, p8_mixture, p8_shares, p9_found, p9_scores, p9_rates)}
 ORACLES: dict[str, str] = {}

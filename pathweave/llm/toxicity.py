@@ -81,6 +81,7 @@ _IDEOGRAPH = re.compile(r"([぀-ヿ㐀-鿿가-힯])")
 _TOKEN = re.compile(r"[.!?…。！？；;।\n]+|[^\W\d_]+(?:['’][^\W\d_]+)?|\d+(?:[.,:/x×-]\d+)*")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _MIXED = re.compile(r"\w*(?:[a-zß-ž][а-яіѕјԁα-ω]|[а-яіѕјԁα-ω][a-zß-ž])\w*")
+_OTHER = re.compile("[Ͱ-ϿЀ-ԯ]")
 _DISGUISED = re.compile(rf"(?<![\w{_SIGN}])(?=[\w{_SIGN}]*[^\W\d_])(?=[\w{_SIGN}]*(?:[{_SIGN}\d]|([^\W\d_])\1\1))[\w{_SIGN}]{{3,}}(?![@$*+|])")
 _ODD = re.compile(rf"[^\W\d_][{_SIGN}\d]|[{_SIGN}\d][^\W\d_]|([^\W\d_])\1\1")
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]([ .\-_])\1{0,3}){3,}[^\W\d_](?![^\s.,;:!?])")
@@ -88,8 +89,10 @@ _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_]([ .\-_])\1{0,3}){3,}[^\W\d_](?![^\s.,
 
 def fold(text: str) -> str:
     """Lower case without invisible characters; look-alike letters of another script inside a word are Latin."""
-    t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
-    return t if t.isascii() else _MIXED.sub(lambda m: m.group().translate(ALIKE), t)
+    if text.isascii():
+        return text.lower()
+    t = _INVISIBLE.sub("", text if unicodedata.is_normalized("NFKC", text) else unicodedata.normalize("NFKC", text)).lower()
+    return _MIXED.sub(lambda m: m.group().translate(ALIKE), t) if _OTHER.search(t) else t
 
 
 class Channel:

@@ -96,14 +96,22 @@ def vectors(seed=3, n=600):
     return x, rows + rows[:20] + bad
 
 
-def test_similar_pairs_match_brute_force(spark):
+def test_similar_pairs_match_brute_force(spark, monkeypatch):
     x, rows = vectors()
     df = spark.createDataFrame(rows, "k long, v array<float>").withColumn("list", F.lit(1)).withColumn("sim", F.lit("x"))
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if s[i, j] >= 0.9}
-    got = {(r["a"], r["b"]) for r in neighbors.similar_pairs(df, "k", "v", 0.9).collect()}
-    assert got == want and len(want) > 50
+    pairs = lambda: {(r["a"], r["b"]) for r in neighbors.similar_pairs(df, "k", "v", 0.9).collect()}
+    assert pairs() == want and len(want) > 50
+    degree = {}
+    for i, j in want:
+        degree[i], degree[j] = degree.get(i, 0) + 1, degree.get(j, 0) + 1
+    got = {r["key"]: (r["rep"], r["links"]) for r in neighbors.links(df, "k", "v", 0.9).collect()}
+    assert {k: n for k, (_, n) in got.items()} == degree and got[701][0] == 200
+    monkeypatch.setattr(neighbors, "PART_ROWS", 60)  # lists of many parts
+    monkeypatch.setattr(neighbors, "LIST_ROWS", 700)
+    assert pairs() == want
 
 
 def test_nearest_recall(spark, monkeypatch):
@@ -127,11 +135,23 @@ def test_neighbors_of_nothing(spark):
     assert neighbors.similar_pairs(e, "k", "v").count() == 0 and neighbors.nearest(e, "k", "v", "true").count() == 0
 
 
-def test_many_copies_stay_bounded(spark, monkeypatch):
-    monkeypatch.setattr(neighbors, "COPIES_PER_TASK", 50)
-    df = spark.createDataFrame([(i, [1.0] + [0.5] * 63) for i in range(300)], "k long, v array<float>")
-    got = neighbors.similar_pairs(df, "k", "v", 0.9, k=3)
-    assert 300 <= got.count() <= 300 * 8
+def test_more_partners_than_any_bound(spark):
+    r = np.random.default_rng(5)
+    x = np.ones(64) + r.normal(size=(40, 64)) * 0.01
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(100 + i, [float(1 + i % 2)] * 32 + [1.0] * 32) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    near, members = neighbors.similar_classes(df, "k", "v", 0.9)
+    assert members.count() == 300 and near.count() == 42 * 41 // 2
+    assert {x["links"] for x in neighbors.links(df, "k", "v", 0.9).collect()} == {339}
+    top = neighbors.nearest(df, "k", "v", "key = 298", k=5).orderBy("rank").collect()
+    assert [x["b"] for x in top] == [100, 102, 104, 106, 108]
+
+
+def test_vectors_of_any_length(spark):
+    rows = [(i, [float(i % 3), 1.0, 0.5]) for i in range(9)] + [(20, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "k long, v array<float>")
+    assert neighbors.dimension(df, "v") == 3
+    assert {(x["a"], x["b"]) for x in neighbors.similar_pairs(df, "k", "v", 0.999).collect()} == {(i, j) for i in range(9) for j in range(i + 1, 9) if (j - i) % 3 == 0}
 
 
 # --- personal data -----------------------------------------------------------------------------------------

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from . import canon, leaks, mixing, neighbors, personal, scans, sentences, toxicity
 
+#: Words of clinical writing and what they stand for, the caller's parameter of problem 5.
+CLINICAL_WORDS = {
+    "hx": "history", "pt": "patient", "macro": "gross", "exam": "description", "examination": "description", "microscopy": "microscopic", "notes": "information", "data": "information", "remarks": "comment",
+    "operation": "procedure", "nodal": "lymph nodes", "imaging": "radiology", "radiologic": "radiology", "study": "trial", "checklist": "report", "block": "sections", "testing": "studies", "er": "receptor", "pr": "receptor",
+}
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -54,12 +60,12 @@ def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The canonical title of every filled section title."""
-    return canon.found(table(spark, d, "sections"), table(spark, d, "canonical_titles"))
+    return canon.found(table(spark, d, "sections"), table(spark, d, "canonical_titles"), CLINICAL_WORDS)
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     """How often each written title stands for each canonical one; misses under -1."""
-    return canon.report(table(spark, d, "sections"), table(spark, d, "canonical_titles"))
+    return canon.report(table(spark, d, "sections"), table(spark, d, "canonical_titles"), CLINICAL_WORDS)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

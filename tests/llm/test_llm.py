@@ -220,6 +220,14 @@ def test_titles(spark, titles):
     assert canon.found(df.limit(0), titles).count() == 0
 
 
+def test_titles_read_word_by_word(spark, titles):
+    many = titles.unionByName(spark.createDataFrame([(8, "Gross Description", []), (9, "Intraoperative Consultation", []), (11, "Lymph Nodes", []), (12, "Patient History", [])], titles.schema))
+    values = ["FDX", "Description, Gross", "Gross Desc", "Intraop Consult", "IOC", "LN", "Pt Hx", "Nodal Status", "Invoice Copy", "xx", "7"] + ["Gross Desc"] * 3 + ["Gros Decs"]
+    df = spark.createDataFrame(list(enumerate(values)), "section_id long, section_title string")
+    got = {r["section_id"]: r["title_id"] for r in canon.found(df, many, {"nodal": "lymph nodes", "hx": "history"}).collect()}
+    assert got == {0: 1, 1: 8, 2: 8, 3: 9, 4: 9, 5: 11, 6: 12, 7: 11, 8: -1, 9: -1, 10: -1, 11: 8, 12: 8, 13: 8, 14: 8}
+
+
 def test_symmetric_deletes_find_all_within_the_bound():
     r = random.Random(2)
     for _ in range(300):

@@ -188,7 +188,7 @@ def reading_cost(ws: list[str], ts: list[str]) -> float | None:
             return None
         else:  # a word more; the last word says most of what is meant
             more = 0.8 if i + 1 == len(ws) else 0.7
-    return None if not hits or more and left and cost > 0.1 else cost + 0.5 * len(left) + more
+    return None if not hits or more and cost > 0.1 and (left or len(ts) == 1) else cost + 0.5 * len(left) + more
 
 
 def _reader(entries: list[tuple[list[str], int]], synonyms: dict[str, str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:

@@ -380,6 +380,24 @@ def test_splitting_tree_is_exact():
     assert (mixing.split(counts, 7, 1) == t).all()
 
 
+def test_the_order_of_blocks_is_a_permutation():
+    for n in (1, 2, 3, 10, 1000, 4097):
+        assert sorted(mixing.place(i, n, 5) for i in range(n)) == list(range(n))
+    assert [mixing.place(i, 50, 5) for i in range(50)] != [mixing.place(i, 50, 6) for i in range(50)]
+
+
+def test_many_shards_hold_the_mixture(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_TOKENS", 60)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 8)
+    rows = [(i, "ab"[i % 2], "word " * (3 + i % 5)) for i in range(4000)]
+    m = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), spark.createDataFrame([("a", 0.7, 2), ("b", 0.3, 1)], "source string, target_share double, max_repeat int"))
+    per = m.rows.groupBy("shard").agg(F.sum("tokens").alias("t"), F.sum(F.when(F.col("source") == "a", F.col("tokens")).otherwise(0)).alias("a")).collect()
+    total, a = sum(r["t"] for r in per), sum(r["a"] for r in per)
+    assert abs(a / total - 0.7) < 0.002 and len(per) > 300 and max(r["t"] for r in per) < 60 * 3.5
+    # 7.5 blocks a shard, 0.3 of them from b, a fifth empty: (1 - 0.24) ** 7.5 = 0.13 of the shards hold none of b
+    assert sum(0 < r["a"] < r["t"] for r in per) > 0.8 * len(per)
+
+
 def test_quotas():
     qs = mixing.quotas([("a", 0.5, 1), ("b", 0.5, 2), ("none", 0.2, 9)], {"a": 100, "b": 30})
     assert [q.tokens for q in qs] == [60, 60, 0]

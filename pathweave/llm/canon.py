@@ -100,20 +100,23 @@ def weighted_edits(a: str, b: str) -> tuple[float, int]:
 def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(k, x) for k in b["key"] for x in deletes(k, edits_allowed(len(k)))]
-        yield pd.DataFrame(rows, columns=["key", "del"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "del"])
 
 
 def _spread_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         # A key may be longer than its entry by its own budget, so an entry spreads with the larger one.
         rows = [(e, x) for e in b["entry"] for x in deletes(e, min(MAX_EDITS, edits_allowed(len(e) + 1)))]
-        yield pd.DataFrame(rows, columns=["entry", "del"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["entry", "del"])
 
 
 def _cost(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         rows = [(x, y, *weighted_edits(x, y)) for x, y in zip(b["key"], b["entry"])]
-        yield pd.DataFrame(rows, columns=["key", "entry", "cost", "edits"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "entry", "cost", "edits"])
 
 
 def reference_entries(titles: DataFrame) -> DataFrame:
@@ -207,7 +210,8 @@ def _reader(entries: list[tuple[list[str], int]], synonyms: dict[str, str]) -> C
                 costs = sorted((c, entries[i][1]) for i in near if (c := reading_cost(ws, entries[i][0])) is not None)
                 if costs and len({t for c, t in costs if c <= costs[0][0] + 1e-9}) == 1:
                     rows.append((key, costs[0][1]))
-            yield pd.DataFrame(rows, columns=["key", "title_id"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "title_id"])
 
     return run
 

@@ -247,7 +247,8 @@ def _matcher(items: dict[str, list[int]], least: float) -> Callable[[Iterator[pd
         matcher = Matcher(items)
         for b in batches:
             rows = [(d, *x) for d, text in zip(b["doc_id"], b["text"]) if (p := plain(text)) for x in matcher.passages(p, least)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "span", "equal"]).astype({"doc_id": "int64", "item_id": "int64", "span": float, "equal": float})
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "span", "equal"]).astype({"doc_id": "int64", "item_id": "int64", "span": float, "equal": float})
 
     return run
 

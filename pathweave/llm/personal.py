@@ -331,7 +331,8 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for src, i, text in zip(b["src"], b["row_id"], b["text"]):
             rows += [(src, i, k, s, e, v, shape(k, x), x) for k, s, e, v, x in candidates(text, cues)]
-        yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "start_char", "end_char", "votes", "shape", "text"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["src", "row_id", "kind", "start_char", "end_char", "votes", "shape", "text"])
 
 
 SPAN_SCHEMA = "src string, row_id long, kind string, start_char int, end_char int, votes int, shape int, text string"

@@ -11,7 +11,10 @@ over the lines then make paragraphs.
 Defined results
   * Lines are what line feeds separate, numbered from 0. Null and empty texts have no line to report.
   * A header, footer or page-number line counts only as that; of the two, page number goes first.
-  * Repeated rows of a page count once. Extra columns are ignored; an empty table gives an empty result.
+  * Repeated rows of a page count once; of different texts of a page id, paragraphs come from one (the least hash).
+    Extra columns are ignored; an empty table gives an empty result.
+  * A page whose final_text is null or blank comes out from its native_text in paragraphs, unless its strategy is
+    'empty'; found() reports lines of final_text only.
   * Repairs, broken words and recurring lines are handed to all tasks if each has at most SHARED rows; beyond that
     all are joined to the pages that need them, with the same result.
 """
@@ -161,7 +164,7 @@ def _counted(pairs: Counter[tuple[str, str]], lines: dict[str, list[int]], split
             "a": [x for x, _ in words] + blank,
             "b": [y for _, y in words] + blank,
             "h": [0] * len(pairs) + [-1] * len(splits) + [x if (x := xxhash.xxh64_intdigest(k) - (1 << 63)) not in (0, -1) else 1 for k in forms],
-            "key": [None] * len(words) + [k if c[1] else None for k, c in zip(forms, counts)],
+            "key": [""] * len(words) + [k if c[1] else "" for k, c in zip(forms, counts)],
             "n": [*pairs.values(), *splits.values(), *(c[0] for c in counts)],
             "edge": none + [c[1] for c in counts],
             "own": none + [c[2] for c in counts],
@@ -350,15 +353,16 @@ class Repairer:
         return out
 
 
-LINE_SCHEMA = "page_id long, line_no int, kinds string, line string, joins boolean"
+LINE_SCHEMA = "page_id long, line_no int, kinds string, line string, joins boolean, version long"
 
 
 def _marker(fix: dict[str, str], broken: set[str], edge: dict[str, bool], marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Repairer(fix, broken, edge)
         for b in batches:
-            rows = [(page, *x) for page, text in zip(b["page_id"], b["text"]) for x in r.lines(text) if x[1] or not marked_only]
-            yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins"])
+            rows = [(page, *x, v) for page, text, v in zip(b["page_id"], b["text"], b["version"]) for x in r.lines(text) if x[1] or not marked_only]
+            if rows:
+                yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins", "version"])
 
     return run
 
@@ -369,10 +373,11 @@ def _marker_with(marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for page, text, fix, broken, edge in zip(b["page_id"], b["text"], b["fix"], b["broken"], b["edge"]):
+            for page, text, v, fix, broken, edge in zip(b["page_id"], b["text"], b["version"], b["fix"], b["broken"], b["edge"]):
                 r = Repairer(dict(fix or {}), set(broken) if broken is not None else set(), dict(edge or {}))
-                rows += [(page, *x) for x in r.lines(text) if x[1] or not marked_only]
-            yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins"])
+                rows += [(page, *x, v) for x in r.lines(text) if x[1] or not marked_only]
+            if rows:
+                yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins", "version"])
 
     return run
 
@@ -387,12 +392,16 @@ def _needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             split = text.split("\n")
             rows += [(page, "fix", w) for w in tokens] + [(page, "broken", f"{x}|{y}") for x, y in set(split_words(text))]
             rows += [(page, "edge", k) for k in {labels_only(masked(split[i])) for i in edge_lines(split)}]
-        yield pd.DataFrame(rows, columns=["page_id", "kind", "key"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["page_id", "kind", "key"])
 
 
 def lines(pages: DataFrame, marked_only: bool = False) -> DataFrame:
     """(page_id, line_no, kinds, line, joins): every line with its kinds and its repaired text."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "page_number", F.col("final_text").alias("text")).where("page_id is not null and text <> ''")
+    text = F.col("final_text")
+    if not marked_only and {"native_text", "strategy"} <= set(pages.columns):
+        text = F.when(text.rlike(r"(?U)\S") | (F.coalesce("strategy", F.lit("")) == "empty"), text).otherwise(F.col("native_text"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "page_number", text.alias("text")).where("page_id is not null and text <> ''").withColumn("version", F.xxhash64("text"))
     pairs, edges, splits = statistics(p)
     words = cut(vocabulary(pairs))
     fixes = cut(repairs(pairs, words))
@@ -412,7 +421,7 @@ def lines(pages: DataFrame, marked_only: bool = False) -> DataFrame:
         mine("broken", F.col("key")).alias("broken"),
         F.map_from_entries(mine("edge", F.struct("key", "page_no"))).alias("edge"),
     )
-    return p.join(own, "page_id", "left").select("page_id", "text", "fix", "broken", "edge").mapInPandas(_marker_with(marked_only), LINE_SCHEMA)
+    return p.join(own, "page_id", "left").select("page_id", "text", "version", "fix", "broken", "edge").mapInPandas(_marker_with(marked_only), LINE_SCHEMA)
 
 
 def found(pages: DataFrame) -> DataFrame:
@@ -424,9 +433,9 @@ def found(pages: DataFrame) -> DataFrame:
 def paragraphs(pages: DataFrame) -> DataFrame:
     """(page_id, paragraph_no, text): the repaired pages as continuous paragraphs. A blank line or a heading (a
     line in capitals or with a colon at its end, of at most six words) ends a paragraph."""
-    x = lines(pages).where("kinds not like '%header%' and kinds not like '%page_no%'").select("page_id", "line_no", "line", "joins")
+    x = lines(pages).where("kinds not like '%header%' and kinds not like '%page_no%'").select("page_id", "line_no", "line", "joins", "version")
     # one exchange by page serves the deduplication, the windows and the grouping
-    x = x.repartition("page_id").dropDuplicates(["page_id", "line_no"])
+    x = x.repartition("page_id").withColumn("first", F.min("version").over(Window.partitionBy("page_id"))).where("version = first").dropDuplicates(["page_id", "line_no"])
     w = Window.partitionBy("page_id").orderBy("line_no")
     line = F.trim("line")
     heading = (line != "") & (F.size(F.split(line, r"\s+")) <= 6) & ((F.upper(line) == line) & line.rlike(r"\p{Lu}{3}") & ~line.rlike(r"[.;,]$"))

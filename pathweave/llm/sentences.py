@@ -376,7 +376,8 @@ def _splitter(model: Model) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
             for i, title, text in zip(b["id"], b["title"], b["text"]):
                 at = starts(text, title, model)
                 rows += [(i, k, s, text[s:e].rstrip()) for k, (s, e) in enumerate(zip(at, [*at[1:], len(text)]))]
-            yield pd.DataFrame(rows, columns=["id", "unit_index", "start_char", "unit"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["id", "unit_index", "start_char", "unit"])
 
     return run
 

@@ -279,6 +279,16 @@ def test_pages(spark, monkeypatch, shared):
     assert scans.found(df.limit(0)).count() == 0
 
 
+def test_pages_with_other_texts(spark):
+    rows = [(1, 1, None, "the native layer", "native_text"), (2, 1, " ", "left over", "empty"), (3, 1, "kept text", "other", None), (4, 1, "one version", None, None), (4, 1, "another version\n\nwith more", None, None), (5, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, page_number int, final_text string, native_text string, strategy string")
+    got = {}
+    for r in scans.paragraphs(df).orderBy("page_id", "paragraph_no").collect():
+        got.setdefault(r["page_id"], []).append(r["text"])
+    assert got.pop(4) in (["one version"], ["another version", "with more"])
+    assert got == {1: ["the native layer"], 3: ["kept text"]} and scans.found(df).count() == 0
+
+
 def test_page_number_line_outside_the_known_forms():
     line = "Blatt 3"
     edge = {scans.labels_only(scans.masked(line)): True}

@@ -201,7 +201,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(pairs) + len(lines) > FLUSH:
             yield _counted(pairs, lines, splits)
             pairs, lines, splits = Counter(), {}, Counter()
-    yield _counted(pairs, lines, splits)
+    if pairs or lines:
+        yield _counted(pairs, lines, splits)
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -46,12 +46,14 @@ _BREAK = regex.compile(
     rf"|(?<=[\p{{Ll}}\d%)\p{{Lo}}][.!?][{_CLOSE}]?)(?=[\p{{Lu}}„«“¿¡])|(?<=[。！？｡][」』”]?)(?=[^\s」』”。！？])"
 )
 _LEFT = regex.compile(rf"((?:\p{{L}}\.)+\p{{L}}|[\p{{L}}\p{{M}}]+(?:['’\-][\p{{L}}\p{{M}}]+)*|\d[\d.,:/\-]*|[^\s\w])\s?$", regex.V1)
+_END_SIGNS, _CLOSE_SIGNS = frozenset(_END), frozenset("»”\"“’') ]』」".replace(" ", ""))
 _RIGHT = regex.compile(r"[\p{L}\p{M}]+(?:['’\-][\p{L}\p{M}]+)*|\d|\S")
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:['’\-.](?=\p{L})[\p{L}\p{M}]+)*|\d[\d.,:/\-]*\d|\d")
 _LIST = regex.compile(r"(?:[-•*·–‣◦▪]|\(?\d{1,2}[.)]|\(?[a-zA-Z][)])[^\S\n]+(?=\S)")
 _ENUM = regex.compile(r"\(?(?:\d{1,2}|[a-zA-Z])[.)]|[-•*·–‣◦▪]")
 _NUMBERED = regex.compile(r"\d(?:[\d.,:/\-]*\d)?\s+(\p{Ll}[\p{L}\p{M}]*)")
 _MARKED = regex.compile(r"(?:^|\n)[^\S\n]*\(?(?:\d{1,2}|[a-zA-Z])[.)]$")
+_CONTENT = regex.compile(r"[\p{L}\p{M}\d%]$")
 _ENDS = regex.compile(rf"((?:[^\S\n]?[{_END}])+)$")
 _TAIL = regex.compile(rf"(\s?[{_CLOSE}]+)$")
 
@@ -62,16 +64,25 @@ SHORTENED = set(
 )
 
 
+_NOT_WORD = regex.compile(r"[\W_]+")
+_IS_RUN, _IS_LOOSE = regex.compile(rf"[{_RUN}]").match, regex.compile(rf"[{_LOOSE}]").match
+_FIRST_RUN = "\u0e00"  #: no script written without spaces lies below
+
+
+def _loose(ch: str) -> bool:
+    """Whether a character is of a script that sets spaces between phrases only."""
+    return ch >= _FIRST_RUN and _IS_LOOSE(ch) is not None
+
+
 def _edge(word: str, left: bool) -> str:
     """A word as context: digits as one sign, runs of unspaced scripts by their nearer end."""
     if word[0].isdigit():
         return "#"
-    if regex.match(rf"[{_RUN}]", word[-1] if left else word[0]):
-        n = 3 if regex.match(rf"[{_LOOSE}]", word[-1] if left else word[0]) else 2
+    ch = word[-1] if left else word[0]
+    if ch >= _FIRST_RUN and _IS_RUN(ch):
+        n = 3 if _IS_LOOSE(ch) else 2
         return word[-2 * n :] if left else word[: 2 * n] if n == 3 else word[:n]
-    if any(ch.isdigit() for ch in word):
-        return "@"
-    return word
+    return "@" if not word.isalpha() and any(ch.isdigit() for ch in word) else word
 
 
 def shape(word: str) -> str:
@@ -80,6 +91,14 @@ def shape(word: str) -> str:
     return "Xx" if ch.isupper() else "xx" if ch.islower() else "oo" if ch.isalpha() else ".."
 
 
+def _last_word(left: str) -> Any:
+    """The match of the last word or sign; it holds no white space, so what stands before any is not searched."""
+    at = len(left) - 1
+    while at > 0 and not left[at - 1].isspace():
+        at -= 1
+    return _LEFT.search(left, max(0, at))
+
+
 def candidates(text: str) -> Iterator[tuple[int, str, str, str, bool]]:
     """(offset of what follows, word before, kind of gap, word after, forced) of each possible boundary."""
     quoted = [m.span() for m in _QUOTED.finditer(text)]
@@ -96,25 +115,25 @@ def candidates(text: str) -> Iterator[tuple[int, str, str, str, bool]]:
         if nxt in "!?:;.,…»”)]』」。！？｡؟।%‰°" or _MARKED.search(text, max(0, a - 8), a):
             continue  # goes on the unit before, or a list mark's text
         left = text[max(0, a - 60) : a]
-        if nxt in "([" and not _ENDS.search(left):
+        if nxt in "([" and not (left[-1] in _END_SIGNS and _ENDS.search(left)):
             continue
         quote = ""
-        t = _TAIL.search(left)
+        t = _TAIL.search(left) if left[-1] in _CLOSE_SIGNS else None
         if t:
             left = left[: t.start()]
             quote = "”" if t.group(1).strip(" )]'’") else ")"
-        e = _ENDS.search(left)
+        e = _ENDS.search(left) if left and left[-1] in _END_SIGNS else None
         end = ""
         if e:
             marks = e.group(1).replace(" ", "")
             left = left[: e.start()]
             end = "c" if marks[-1] in "。！？｡" else "d" if marks[-1] in "।॥؟۔" else "..." if marks.startswith(("...", "…")) else "!" if "!" in marks or "?" in marks else "."
-        w = _LEFT.search(left)
+        w = _last_word(left)
         before = _edge(w.group(1), True) if w else ""
         if before == "#":  # a number by itself says little
-            w2 = _LEFT.search(left[: w.start()].rstrip(" ."))
+            w2 = _last_word(left[: w.start()].rstrip(" ."))
             before = f"{_edge(w2.group(1), True).lower()} #" if w2 else "#"
-        if not end and not quote and w and not regex.search(r"[\p{L}\p{M}\d%]$", w.group(1)):
+        if not end and not quote and w and not _CONTENT.search(w.group(1)):
             end = ","
         space = text[a:at]
         listed = "\n" in space and _LIST.match(text, at)
@@ -139,9 +158,14 @@ def inner_pairs(text: str) -> Iterator[tuple[str, str]]:
     """Pairs of words with nothing but one blank between them: these lie within a unit."""
     last, end = "", -9
     for m in _WORD.finditer(text):
-        if m.start() == end + 1 and text[end] == " ":
-            yield last, _edge(m.group(), False)
-        last, end = _edge(m.group(), True), m.end()
+        word, at = m.group(), m.start()
+        if word.isascii() and word.isalpha():  # the same from both sides
+            before = after = word
+        else:
+            before, after = _edge(word, True), _edge(word, False)
+        if at == end + 1 and text[end] == " ":
+            yield last, after
+        last, end = before, m.end()
 
 
 def style(text: str) -> str:
@@ -161,14 +185,16 @@ def style(text: str) -> str:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         seen: Counter[tuple[str, str, str, int]] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
         for text in b["text"]:
             how = style(text)
             for _, before, gap, after, _forced in candidates(text):
                 space = gap.split("|")[1]
                 sure = -1 if not how else int(space in ("b", "n"))
                 seen[before, gap, after, sure] += 1
-            seen.update((x, "", y, 0) for x, y in inner_pairs(text) if not regex.match(rf"[{_LOOSE}]", y[0]) and not regex.match(rf"[{_LOOSE}]", x[-1]))
-        yield pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["before", "gap", "after", "sure", "n"])
+            pairs.update(p for p in inner_pairs(text) if not _loose(p[1][0]) and not _loose(p[0][-1]))
+        rows = [(*k, n) for k, n in seen.items()] + [(x, "", y, 0, n) for (x, y), n in pairs.items()]
+        yield pd.DataFrame(rows, columns=["before", "gap", "after", "sure", "n"])
 
 
 def first_guess(before: str, gap: str) -> float:
@@ -332,7 +358,7 @@ def posteriors(text: str, model: Model, cands: list[tuple[int, str, str, str, bo
 
 
 def plain(s: str) -> str:
-    return regex.sub(r"[\W_]+", "", s.lower())
+    return _NOT_WORD.sub("", s.lower())
 
 
 def starts(text: str, title: str | None, model: Model) -> list[int]:
@@ -390,7 +416,7 @@ def units(df: DataFrame, id_col: str, text_col: str, title_col: str | None = Non
     # equal lie together, so removing repeats needs no further exchange
     spark = df.sparkSession
     n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(n, "id").distinct()
+    rows = cut(rows.repartition(n, "id").distinct())  # read twice: to learn and to split
     model = learn(rows)
     return rows.mapInPandas(_splitter(model), "id long, unit_index int, start_char int, unit string")
 

@@ -161,10 +161,12 @@ def compare_cohorts(mentions: DataFrame, cohort: str, doc: str, concept: str) ->
     """(left, right, concept, left_ratio, right_ratio, ratio_diff): document frequencies of every pair of cohorts."""
     total = mentions.groupBy(cohort).agg(F.count_distinct(doc).alias("total"))
     g = mentions.groupBy(cohort, concept).agg(F.count_distinct(doc).alias("df")).join(total, cohort).select(cohort, concept, (F.col("df") / F.col("total")).alias("ratio"))
+    # pairs of cohort names only; each pair meets the concepts of its two cohorts
     names = total.select(F.col(cohort).alias("l")).join(total.select(F.col(cohort).alias("r")), F.col("l") < F.col("r"))
-    per = F.map_from_entries(F.collect_list(F.struct(cohort, "ratio")))
-    wide = g.groupBy(concept).agg(per.alias("m"))
-    x = wide.crossJoin(F.broadcast(names)).select("l", "r", concept, F.coalesce(F.try_element_at("m", F.col("l")), F.lit(0.0)).alias("a"), F.coalesce(F.try_element_at("m", F.col("r")), F.lit(0.0)).alias("b")).where("a > 0 or b > 0")
+    zero = F.lit(0.0)
+    a = names.join(g.withColumnRenamed(cohort, "l"), "l").select("l", "r", concept, F.col("ratio").alias("a"), zero.alias("b"))
+    b = names.join(g.withColumnRenamed(cohort, "r"), "r").select("l", "r", concept, zero.alias("a"), F.col("ratio").alias("b"))
+    x = a.unionByName(b).groupBy("l", "r", concept).agg(F.max("a").alias("a"), F.max("b").alias("b"))
     return x.select(F.col("l").alias("left"), F.col("r").alias("right"), concept, F.round("a", 6).alias("left_ratio"), F.round("b", 6).alias("right_ratio"), F.round(F.col("a") - F.col("b"), 6).alias("ratio_diff"))
 
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Keyword, category, pattern (matched without regard to case) and weight.
@@ -127,3 +127,42 @@ def per_text(found: DataFrame, key: str) -> DataFrame:
 def select_texts(df: DataFrame, key: str, found: DataFrame, least: int = 1) -> DataFrame:
     """Rows of ``df`` with at least ``least`` different keywords."""
     return df.join(found.groupBy(key).agg(F.count_distinct("keyword").alias("_n")).where(F.col("_n") >= least).select(key), key, "left_semi")
+
+
+def word_graph(sentences: DataFrame, found: DataFrame, doc: str, least: int = 1, keep_all: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, states) of the graph of documents, sections, sentences and keywords. ``sentences`` are rows
+    (doc, section, sentence_index), ``found`` rows (doc, sentence_index, keyword, weight), a keyword once a sentence.
+
+    Sentences without keyword are left out unless ``keep_all``; sections and sentences are numbered anew. Nodes are
+    (doc, node_index, node_type, level, section, sentence, keyword); a word node stands for a keyword in a sentence.
+    Edges (doc, source, target, edge_type, weight) are parent edges down to the words, whose weight is the keyword's,
+    and next edges between neighbours of a level, words within their sentence. States (doc, state) are 'ok',
+    'no_stage_keywords' (fewer than ``least`` different ones) or 'no_keyword_sentences'."""
+    per = found.groupBy(doc).agg(F.count_distinct("keyword").alias("_k"))
+    kept = sentences if keep_all else sentences.join(found.select(doc, "sentence_index").distinct(), [doc, "sentence_index"], "left_semi")
+    n = kept.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
+    states = sentences.select(doc).distinct().join(per, doc, "left").join(n, doc, "left").na.fill(0, ["_k", "_n"])
+    states = states.select(doc, F.when(F.col("_k") < least, "no_stage_keywords").when(F.col("_n") == 0, "no_keyword_sentences").otherwise("ok").alias("state"))
+    ok = states.where("state = 'ok'").select(doc)
+    w = Window.partitionBy(doc).orderBy("sentence_index")
+    s = kept.join(ok, doc, "left_semi").withColumn("sentence", F.row_number().over(w) - 1)
+    first = s.groupBy(doc, "section").agg(F.min("sentence").alias("_first"))
+    first = first.withColumn("new_section", F.row_number().over(Window.partitionBy(doc).orderBy("_first")) - 1)
+    s = s.join(first, [doc, "section"]).select(doc, "sentence_index", "sentence", "new_section")
+    words = found.join(s, [doc, "sentence_index"]).withColumn("_o", F.row_number().over(Window.partitionBy(doc).orderBy("sentence", "keyword")) - 1)
+    none = F.lit(None)
+    row = lambda df, kind, level, order, sec, sen, kw, weight: df.select(doc, F.lit(kind).alias("node_type"), F.lit(level).alias("level"), order.alias("_o"), sec.alias("section"), sen.alias("sentence"), kw.alias("keyword"), weight.alias("_w"))
+    i, text, one = none.cast("int"), none.cast("string"), F.lit(1.0)
+    all_ = row(ok, "document", 0, F.lit(0), i, i, text, one)
+    all_ = all_.unionByName(row(first.select(doc, "new_section"), "section", 1, F.col("new_section"), F.col("new_section"), i, text, one))
+    all_ = all_.unionByName(row(s, "sentence", 2, F.col("sentence"), F.col("new_section"), F.col("sentence"), text, one))
+    all_ = all_.unionByName(row(words, "word", 3, F.col("_o"), F.col("new_section"), F.col("sentence"), F.col("keyword"), F.col("weight").cast("double")))
+    nodes = all_.withColumn("node_index", F.row_number().over(Window.partitionBy(doc).orderBy("level", "_o")) - 1)
+    at = lambda kind, *keys: nodes.where(F.col("node_type") == kind).select(doc, *keys, F.col("node_index").alias("source"))
+    down = lambda kind, *keys: nodes.where(F.col("node_type") == kind).select(doc, *keys, F.col("node_index").alias("target"), F.col("_w").alias("weight"))
+    edges = at("document").join(down("section"), doc).unionByName(at("section", "section").join(down("sentence", "section"), [doc, "section"]).drop("section"))
+    edges = edges.unionByName(at("sentence", "sentence").join(down("word", "sentence"), [doc, "sentence"]).drop("sentence")).select(doc, "source", "target", F.lit("parent").alias("edge_type"), "weight")
+    inside = F.when(F.col("node_type") == "word", F.col("sentence"))
+    nxt = nodes.where("level > 0").withColumn("target", F.lead("node_index").over(Window.partitionBy(doc, "node_type", inside).orderBy("_o"))).where("target is not null")
+    edges = edges.unionByName(nxt.select(doc, F.col("node_index").alias("source"), "target", F.lit("next").alias("edge_type"), F.lit(0.25).alias("weight")))
+    return nodes.drop("_o", "_w"), edges, states

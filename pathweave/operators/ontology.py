@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,3 +84,27 @@ def overlay(older: DataFrame, newer: DataFrame, key: str, value: str) -> DataFra
 def relevant_codes(concepts: DataFrame, system: str) -> DataFrame:
     """(code): all codes of one system."""
     return concepts.select(F.explode(F.try_element_at("xrefs", F.lit(system))).alias("code")).where("trim(code) <> ''").distinct()
+
+
+def synonym_records(concepts: DataFrame) -> DataFrame:
+    """(id, term, source_terminology, origin): a concept's name and synonyms as records with their provenance, without
+    blanks around; of records that agree in all parts (letter case of the term aside) the first by term stays."""
+    name = concepts.select("id", F.trim("name").alias("term"), F.coalesce("source_terminology", F.lit("")).alias("source_terminology"), F.lit("name").alias("origin"))
+    more = concepts.select("id", F.explode("synonyms").alias("term"), F.coalesce("source_terminology", F.lit("")).alias("source_terminology"), F.lit("synonym").alias("origin")).withColumn("term", F.trim("term"))
+    x = name.unionByName(more).where("term <> ''")
+    return x.groupBy("id", F.lower("term").alias("_t"), "source_terminology", "origin").agg(F.min("term").alias("term")).select("id", "term", "source_terminology", "origin")
+
+
+def tagged_subset(descriptions: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    """(concept_id, label, terms) of descriptions (concept_id, term, is_full_name, tag): concepts whose full names
+    have an allowed tag or none; the label is the first full name, else the first term."""
+    tags = descriptions.where("is_full_name").groupBy("concept_id").agg(F.max((~F.col("tag").isin("", *allowed)).cast("int")).alias("_bad"), F.min("term").alias("_full"))
+    x = descriptions.join(tags, "concept_id", "left").where(F.coalesce("_bad", F.lit(0)) == 0)
+    return x.groupBy("concept_id").agg(F.coalesce(F.max("_full"), F.min("term")).alias("label"), F.array_sort(F.collect_set("term")).alias("terms"))
+
+
+def variant(name: str, bundles: Mapping[str, DataFrame]) -> DataFrame:
+    """The bundle of a variant; an unknown name is an error."""
+    if name not in bundles:
+        raise ValueError(f"unknown variant {name!r}; there are {sorted(bundles)}")
+    return bundles[name]

@@ -145,7 +145,7 @@ def common_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     both = a.select(key).intersect(b.select(key))
     guard = both.agg(F.count(F.lit(1)).alias("_n"))
     every = guard.select(F.when(F.col("_n") == 0, F.raise_error(F.lit("no common ids"))).otherwise(F.lit(1)).alias("_ok"))
-    return both.join(F.broadcast(every)).where("_ok = 1").drop("_ok")
+    return every.join(both, F.lit(True), "left").where("_ok = 1").drop("_ok")
 
 
 def work_list(exports: DataFrame, labelled: DataFrame, existing: DataFrame, key: str) -> DataFrame:

@@ -49,11 +49,29 @@ def allocate_tests(groups: DataFrame, group: str, count: str, total: int) -> Dat
     return x.select(group, count, (F.col("_f") + (F.col("_r") <= F.col("_left")).cast("int")).cast("int").alias("test"))
 
 
+def test_count(n: Column, share: float) -> Column:
+    """Size of a test set: the share of n, half to even, at least 1 and at most n - 1."""
+    return F.greatest(F.lit(1), F.least(F.bround(n * share).cast("long"), n - 1)).cast("int")
+
+
 def stratified_split(df: DataFrame, key: str, label: str, share: float, seed: int = 0) -> DataFrame:
-    """(key, label, split): in each label the first share of keys by a seeded hash are the test set. The threshold
-    is on the hash, so no group is sorted in one task."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    return df.select(key, label).distinct().withColumn("split", F.when(u < share, "test").otherwise("train"))
+    """(key, label, split): test_count() keys in all, over the labels by largest remainders; of each label those that
+    come first by a seeded digest. Keys are counted by the digest's first digits, and only the keys of the bin in
+    which a label's part ends are put in order, so no label is sorted in one task."""
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")))
+    x = df.select(key, label).distinct().withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 3))
+    bins = x.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    size = bins.groupBy(label).agg(F.sum("_n").alias("n"))
+    all_ = Window.partitionBy(F.lit(1))  # one row a label
+    quota = size.withColumn("_t", test_count(F.sum("n").over(all_), share)).withColumn("_q", F.col("n") * F.col("_t") / F.sum("n").over(all_)).withColumn("_f", F.floor("_q"))
+    quota = quota.withColumn("_r", F.row_number().over(all_.orderBy(F.desc(F.round(F.col("_q") - F.col("_f"), 9)), label)))
+    quota = quota.select(label, (F.col("_f") + (F.col("_r") <= F.col("_t") - F.sum("_f").over(all_)).cast("int")).alias("test"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bins = bins.withColumn("_before", before).join(quota, label).select(label, "_b", (F.col("test") - F.col("_before")).alias("_left"), "_n")  # at most 4,096 rows a label
+    y = x.join(bins, [label, "_b"])
+    edge = y.where("_left > 0 and _left < _n").withColumn("_o", F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", key)))
+    rest = y.where("not (_left > 0 and _left < _n)").withColumn("_o", F.when(F.col("_left") > 0, 0).otherwise(F.col("_left") + 1))
+    return rest.unionByName(edge).select(key, label, F.when((F.col("_left") > 0) & (F.col("_o") <= F.col("_left")), "test").otherwise("train").alias("split"))
 
 
 def best_or_final(events: DataFrame, run: str, step: str, metric: str, final: str, prefer: str = "last_final") -> DataFrame:
@@ -74,9 +92,17 @@ def running_best(events: DataFrame, run: str, step: str, metric: str) -> DataFra
 
 def early_stops(events: DataFrame, run: str, step: str, metric: str, patience: int, delta: float = 0.0) -> DataFrame:
     """(run, stop): the step at which a run has gone ``patience`` steps without gaining more than ``delta``; null
-    if never. A fold over a run's ordered metrics, of bounded length."""
+    if never. Without a delta these are windows; with one, the best depends on the bests before, so each run's
+    ordered metrics are folded."""
+    if delta == 0.0:
+        w = Window.partitionBy(run).orderBy(step)
+        x = events.withColumn("_i", F.row_number().over(w)).withColumn("_b", F.max(metric).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+        new = F.when(F.col(metric).isNotNull() & (F.col("_b").isNull() | (F.col(metric) > F.col("_b"))), F.col("_i"))
+        x = x.withColumn("_wait", F.col("_i") - F.coalesce(F.max(new).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+        return x.groupBy(run).agg(F.min(F.when(F.col("_wait") >= patience, F.col(step).cast("long"))).alias("stop"))
     xs = F.array_sort(F.collect_list(F.struct(F.col(step).cast("long").alias("s"), F.col(metric).cast("double").alias("m"))))
     start = F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("wait"), F.lit(None).cast("long").alias("stop"))
+
     def fold(a: Column, x: Column) -> Column:
         up = x["m"] > a["best"] + delta
         wait = F.when(up, 0).otherwise(a["wait"] + 1)
@@ -113,13 +139,19 @@ def benefit_classes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return j.select(key, kind.alias("benefit"))
 
 
-def auc(df: DataFrame, label: str, score: str) -> DataFrame:
+def auc(df: DataFrame, label: str, score: str, bins: int = 64) -> DataFrame:
     """One row (auc): area under the curve with ties counted half; null with one class only.
 
-    Counts per distinct score come first, so the ordered window runs over distinct scores."""
-    g = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    x = g.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    Counts per distinct score come first; the scores fall into bins of about equal number by approximate quantiles,
+    each bin is ordered by itself and starts from the counts of the bins before, so no task orders all scores."""
+    g = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
+    cuts = g.agg(F.percentile_approx("s", [i / bins for i in range(1, bins)], 10_000).alias("cuts")) if bins > 1 else g.agg(F.array().cast("array<double>").alias("cuts"))
+    cuts = cuts.select(F.array_sort(F.array_distinct(F.coalesce("cuts", F.array().cast("array<double>")))).alias("cuts"))  # one row
+    x = g.join(F.broadcast(cuts)).withColumn("bin", F.expr("size(cuts)") - F.size(F.filter("cuts", lambda c: c > F.col("s")))).drop("cuts")
+    per = x.groupBy("bin").agg(F.sum("q").alias("q"))  # at most ``bins`` rows
+    start = per.select("bin", F.coalesce(F.sum("q").over(Window.partitionBy(F.lit(1)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    w = Window.partitionBy("bin").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    x = x.join(F.broadcast(start), "bin").withColumn("below", F.col("start") + F.coalesce(F.sum("q").over(w), F.lit(0)))
     pairs = F.sum("p") * F.sum("q")
     return x.agg(F.when(pairs > 0, F.round(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)) / pairs, 6)).alias("auc"))
 

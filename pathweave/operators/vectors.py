@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,14 +54,28 @@ def mean_of_means(df: DataFrame, group: str, inner: str, vector: str) -> DataFra
 
 def nearest_in_group(df: DataFrame, group: str, key: str, vector: str, k: int, least: float | None = None) -> DataFrame:
     """(group, a, b, sim): the k most similar other vectors of the same group, ties by key. The group is a
-    document's bag, of bounded size."""
-    v = df.select(group, F.col(key).alias("a"), unit(F.col(vector)).alias("u"))
-    p = v.join(v.select(group, F.col("a").alias("b"), F.col("u").alias("w")), group).where("a <> b").withColumn("sim", dot(F.col("u"), F.col("w")))
-    if least is not None:
-        p = p.where(F.col("sim") >= least)
-    p = p.withColumn("sim", F.round("sim", 6))
-    w = Window.partitionBy(group, "a").orderBy(F.desc("sim"), "b")
-    return p.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select(group, "a", "b", "sim")
+    document's bag; a task holds its vectors once and compares them a block of rows at a time."""
+
+    def run(t: pa.Table) -> pa.Table:
+        keys = t.column("a").to_numpy()
+        keys, first = np.unique(keys, return_index=True)
+        x = np.array(t.column("v").to_pylist(), np.float64).reshape(len(t), -1)[first]
+        n = np.sqrt(np.square(x).sum(axis=1))
+        x /= np.where(n > 0, n, 1.0)[:, None]
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for at in range(0, len(x), BLOCK):
+            sim = np.round(x[at : at + BLOCK] @ x.T, 6)
+            own = np.arange(len(sim))
+            sim[own, own + at] = -np.inf
+            order = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # keys are sorted, so ties go by key
+            top = np.take_along_axis(sim, order, axis=1)
+            i, j = np.nonzero(top >= (least if least is not None else -2.0))
+            out.append((keys[at + i], keys[order[i, j]], top[i, j]))
+        a, b, s_ = (np.concatenate([o[c] for o in out]) for c in range(3))
+        return pa.table({group: pa.array([t.column(group)[0].as_py()] * len(a), t.schema.field(group).type), "a": pa.array(a), "b": pa.array(b), "sim": pa.array(s_)})
+
+    v = df.select(group, F.col(key).cast("long").alias("a"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    return v.groupBy(group).applyInArrow(run, f"{group} {v.schema[group].dataType.simpleString()}, a long, b long, sim double")
 
 
 def symmetric(pairs: DataFrame, group: str) -> DataFrame:
@@ -168,3 +183,39 @@ def pad(a: Column | str, size: int, fill: float = 0.0) -> tuple[Column, Column]:
     a = F.col(a) if isinstance(a, str) else a
     n = F.least(F.size(a), F.lit(size))
     return F.concat(F.slice(a, 1, size), F.array_repeat(F.lit(fill), F.lit(size) - n)), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(size) - n))
+
+
+def concept_means(links: DataFrame, vectors: DataFrame, doc: str, concept: str, item: str, vector: str) -> DataFrame:
+    """(doc, concept, dim, value): mean of the vectors of the sentences that a concept is linked to; a concept
+    without any such sentence has the mean of all vectors of its document."""
+    v = vectors.select(doc, item, F.posexplode(vector).alias("dim", "x"))
+    linked = links.select(doc, concept, item).distinct().join(v, [doc, item]).groupBy(doc, concept, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
+    bare = links.select(doc, concept).distinct().join(linked.select(doc, concept).distinct(), [doc, concept], "left_anti")
+    whole = v.groupBy(doc, "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))
+    return linked.unionByName(bare.join(whole, doc).select(doc, concept, "dim", "value"))
+
+
+def blend(context: Column, label: Column, weight: float) -> Column:
+    """(1 - w) context + w label scaled to the context's length (1 at least)."""
+    size = F.greatest(norm(context), F.lit(1.0))
+    return F.zip_with(context, label, lambda x, y: (1 - weight) * x.cast("double") + weight * y.cast("double") * size)
+
+
+def embedding_map(rows: DataFrame, key: str, vector: str, dim: int, order: str) -> DataFrame:
+    """(key, vector): an embedding map under raw and normalised keys (lower case, single blanks), vectors of another
+    length left out; of equal keys the row that is later in ``order`` wins, a raw key before a normalised one."""
+    v = rows.where(F.size(vector) == dim).select(F.col(key).alias("raw"), F.col(vector).alias("vector"), order)
+    plain = F.trim(F.regexp_replace(F.lower("raw"), r"[\s_]+", " "))
+    both = v.select(F.col("raw").alias("key"), F.lit(1).alias("_own"), order, "vector").unionByName(v.select(plain.alias("key"), F.lit(0).alias("_own"), order, "vector"))
+    return both.groupBy("key").agg(F.max_by("vector", F.struct("_own", order)).alias("vector"))
+
+
+def look_up(wanted: DataFrame, keys: list[str], known: DataFrame, out: str = "vector") -> DataFrame:
+    """``wanted`` with the vector of the first of its key columns that the map has, raw before normalised."""
+    x, got = wanted, []
+    for i, k in enumerate(keys):
+        for j, c in enumerate((F.col(k), F.trim(F.regexp_replace(F.lower(k), r"[\s_]+", " ")))):
+            name = f"_v{i}{j}"
+            x = x.join(known.select(F.col("key").alias(f"_k{i}{j}"), F.col("vector").alias(name)), c == F.col(f"_k{i}{j}"), "left").drop(f"_k{i}{j}")
+            got.append(name)
+    return x.withColumn(out, F.coalesce(*got)).drop(*got)

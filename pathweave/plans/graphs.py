@@ -130,3 +130,29 @@ def label_centroids(spark: SparkSession, d: str) -> DataFrame:
 def bag_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of the sentence vectors within every report."""
     return v.k_means(_vectors(spark, d).where("node_type = 'sentence'"), "document_id", "node_key", "node_features", 4)
+
+
+@query(
+    f"""WITH {_GN}, {_USABLE}, cn AS (SELECT DISTINCT document_id, concept_id, section_index FROM graph_nodes WHERE node_type = 'concept' AND concept_id IS NOT NULL),
+sx AS (SELECT document_id, section_index, unnest(node_features) AS x, generate_subscripts(node_features, 1) - 1 AS dim FROM us WHERE node_type = 'sentence'),
+lk AS (SELECT cn.document_id, concept_id, dim, avg(CAST(x AS DOUBLE)) AS value FROM cn JOIN sx ON sx.document_id = cn.document_id AND sx.section_index = cn.section_index GROUP BY ALL),
+ba AS (SELECT DISTINCT document_id, concept_id FROM cn EXCEPT SELECT DISTINCT document_id, concept_id FROM lk), wh AS (SELECT document_id, dim, avg(CAST(x AS DOUBLE)) AS value FROM sx GROUP BY ALL)
+SELECT document_id, concept_id, CAST(dim AS INTEGER) AS dim, round(value, 6) AS value FROM (SELECT * FROM lk UNION ALL SELECT ba.document_id, ba.concept_id, dim, value FROM ba JOIN wh USING (document_id))"""
+)
+def concept_mean_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Mean vector of the sentences in a concept's sections, else of its report."""
+    links = table(spark, d, "graph_nodes").where("node_type = 'concept' and concept_id is not null").select("document_id", "concept_id", "section_index").distinct()
+    x = v.concept_means(links, _vectors(spark, d).where("node_type = 'sentence'"), "document_id", "concept_id", "section_index", "node_features")
+    return x.select("document_id", "concept_id", "dim", F.round("value", 6).alias("value"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, embedding, 'Label_' || (vec_id % 50) AS name FROM embeddings WHERE len(embedding) = 64), m AS (SELECT name, max(vec_id) AS vec_id FROM e GROUP BY name), w AS (SELECT DISTINCT vec_id, 'label ' || (vec_id % 60) AS a, 'Label_' || (vec_id % 70) AS b FROM embeddings)
+SELECT w.vec_id, coalesce(x.vec_id, y.vec_id) AS found FROM w LEFT JOIN m x ON lower(replace(x.name, '_', ' ')) = w.a LEFT JOIN m y ON y.name = w.b"""
+)
+def embedding_look_up(spark: SparkSession, d: str) -> DataFrame:
+    """The embedding that stands for either of two keys, raw or normalised."""
+    e = table(spark, d, "embeddings").where("size(embedding) = 64")
+    known = v.embedding_map(e.withColumn("name", F.concat(F.lit("Label_"), F.col("vec_id") % 50)).withColumn("vector", F.array_append(F.slice("embedding", 1, 63), F.col("vec_id").cast("float"))), "name", "vector", 64, "vec_id")
+    w = table(spark, d, "embeddings").select("vec_id", F.concat(F.lit("label "), F.col("vec_id") % 60).alias("a"), F.concat(F.lit("Label_"), F.col("vec_id") % 70).alias("b")).distinct()
+    return v.look_up(w, ["a", "b"], known).select("vec_id", F.try_element_at("vector", F.lit(64)).cast("long").alias("found"))

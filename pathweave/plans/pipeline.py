@@ -12,6 +12,7 @@ from ..operators import cleaning, concepts, graphs, keywords, ontology, runs
 from ..registry import query
 from ..runtime import cut, table
 from .cleaning import SENTENCES, sentences
+from .hierarchies import LINKS
 
 
 @dataclass
@@ -120,7 +121,13 @@ def concept_filters(spark: SparkSession, d: str) -> DataFrame:
     return c.select("id", keywords.is_denied(F.col("name")).alias("denied"), keywords.is_evidence(F.col("name")).alias("evidence"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {LINKS}
+r AS (SELECT DISTINCT id, name, synonyms FROM concepts), sd AS (SELECT DISTINCT lower(trim(id)) AS k FROM r WHERE (coalesce(regexp_matches(lower(name), 'carcinoma|invasion'), false) OR len(list_filter(coalesce(synonyms, []), lambda s: regexp_matches(lower(s), 'carcinoma|invasion'))) > 0) AND NOT coalesce(regexp_matches(lower(name), 'lesion'), false)),
+kp AS (SELECT k FROM sd UNION SELECT up.ancestor FROM up JOIN sd ON sd.k = up.node), nm AS (SELECT k, min(id) AS pid FROM c GROUP BY k),
+ps AS (SELECT e.child AS k, string_agg(DISTINCT pid, '|' ORDER BY pid) AS parents FROM e JOIN kp a ON a.k = e.child JOIN kp b ON b.k = e.parent JOIN nm ON nm.k = e.parent GROUP BY e.child)
+SELECT DISTINCT r.id, r.name, coalesce(ps.parents, '') AS parents FROM r JOIN kp ON kp.k = lower(trim(r.id)) LEFT JOIN ps ON ps.k = lower(trim(r.id))"""
+)
 def ontology_subset(spark: SparkSession, d: str) -> DataFrame:
     """Carcinomas and invasions with all their ancestors."""
     return ontology.subset(table(spark, d, "concepts"), ("carcinoma", "invasion"), ("lesion",)).select("id", "name", F.concat_ws("|", "parents").alias("parents")).distinct()
@@ -133,3 +140,55 @@ def ontology_bundle(spark: SparkSession, d: str) -> DataFrame:
     pairs = concepts.crosswalk(c, "NCIT", "SNOMEDCT").select(F.col("left_id").alias("id"), F.col("right_id").alias("other_id"))
     b = ontology.bundle(c, pairs)
     return b.select("id", "name", F.concat_ws("|", "synonyms").alias("synonyms"), F.concat_ws("|", "parents").alias("parents"), F.concat_ws("|", "sources").alias("sources"))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT id, name, synonyms, coalesce(source_terminology, '') AS source_terminology FROM concepts), x AS (SELECT id, trim(name) AS term, source_terminology, 'name' AS origin FROM r UNION ALL SELECT id, trim(unnest(synonyms)), source_terminology, 'synonym' FROM r)
+SELECT id, min(term) AS term, source_terminology, origin FROM x WHERE term <> '' GROUP BY id, lower(term), source_terminology, origin"""
+)
+def synonym_records(spark: SparkSession, d: str) -> DataFrame:
+    """Names and synonyms of the ontology as records with provenance."""
+    return ontology.synonym_records(table(spark, d, "concepts"))
+
+
+_KW = [r for r in keywords.RULES if r[0] not in keywords.OPEN_RULES]
+_WORDS = (
+    SENTENCES
+    + ", o AS (SELECT document_id, section_id, text, row_number() OVER (PARTITION BY document_id ORDER BY section_index, section_id, section_sentence_index) - 1 AS si FROM sv), ox AS (SELECT document_id, si, regexp_replace(text, '[\\p{Lo}\\p{Mn}\\p{Mc}]', 'x', 'g') AS t FROM o), f AS ("
+    + " UNION ALL ".join(f"SELECT document_id, si, '{k}' AS keyword, CAST({w} AS DOUBLE) AS weight FROM ox WHERE regexp_matches(t, '(?i){p}')" for k, c, p, w in _KW)
+    + """), n AS (SELECT document_id, count(DISTINCT keyword) AS k FROM f GROUP BY document_id), st AS (SELECT DISTINCT o.document_id, CASE WHEN coalesce(n.k, 0) < 2 THEN 'no_stage_keywords' ELSE 'ok' END AS state FROM o LEFT JOIN n USING (document_id)),
+k0 AS (SELECT o.document_id, o.section_id, o.si, row_number() OVER (PARTITION BY o.document_id ORDER BY o.si) - 1 AS sn FROM o JOIN st USING (document_id) WHERE state = 'ok' AND EXISTS (SELECT 1 FROM f WHERE f.document_id = o.document_id AND f.si = o.si)),
+sf AS (SELECT document_id, section_id, row_number() OVER (PARTITION BY document_id ORDER BY min(sn)) - 1 AS sec FROM k0 GROUP BY document_id, section_id),
+nd AS (SELECT document_id, 'document' AS node_type, 0 AS level, 0 AS ord, NULL AS sec, NULL AS sn, NULL AS keyword, 1.0 AS w FROM st WHERE state = 'ok' UNION ALL SELECT document_id, 'section', 1, sec, sec, NULL, NULL, 1.0 FROM sf UNION ALL SELECT document_id, 'sentence', 2, sn, sec, sn, NULL, 1.0 FROM k0 JOIN sf USING (document_id, section_id)
+  UNION ALL SELECT f.document_id, 'word', 3, row_number() OVER (PARTITION BY f.document_id ORDER BY sn, keyword) - 1, sec, sn, keyword, weight FROM f JOIN k0 ON k0.document_id = f.document_id AND k0.si = f.si JOIN sf ON sf.document_id = k0.document_id AND sf.section_id = k0.section_id),
+nn AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY level, ord) - 1 AS i FROM nd)"""
+)
+
+
+def _word_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    w = Window.partitionBy("document_id").orderBy("section_index", "section_id", "section_sentence_index")
+    s = cut(sentences(spark, d).select("document_id", F.col("section_id").alias("section"), (F.row_number().over(w) - 1).alias("sentence_index"), "text"))
+    found = cut(keywords.counts(s, ["document_id", "sentence_index"], "text", _KW).select("document_id", "sentence_index", "keyword", "weight"))
+    return keywords.word_graph(s.select("document_id", "section", "sentence_index"), found, "document_id", 2)
+
+
+@query(f"WITH {_WORDS} SELECT document_id, CAST(i AS INTEGER) AS node_index, node_type, CAST(sec AS INTEGER) AS section, CAST(sn AS INTEGER) AS sentence, keyword FROM nn")
+def keyword_graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of every report's graph of sentences with keywords, down to the words."""
+    return _word_graph(spark, d)[0].select("document_id", "node_index", "node_type", "section", "sentence", "keyword")
+
+
+@query(
+    f"""WITH {_WORDS}, e AS (SELECT a.document_id, a.i AS source, b.i AS target, 'parent' AS edge_type, b.w AS weight FROM nn a JOIN nn b ON b.document_id = a.document_id AND b.level = a.level + 1 WHERE a.level = 0 OR a.level = 1 AND a.sec = b.sec OR a.level = 2 AND a.sn = b.sn
+UNION ALL SELECT document_id, i, lead(i) OVER (PARTITION BY document_id, node_type, CASE WHEN node_type = 'word' THEN sn END ORDER BY ord), 'next', 0.25 FROM nn WHERE level > 0)
+SELECT document_id, CAST(source AS INTEGER) AS source, CAST(target AS INTEGER) AS target, edge_type, CAST(weight AS DOUBLE) AS weight FROM e WHERE target IS NOT NULL"""
+)
+def keyword_graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of every report's keyword graph."""
+    return _word_graph(spark, d)[1]
+
+
+@query(f"WITH {_WORDS} SELECT document_id, state FROM st")
+def keyword_graph_states(spark: SparkSession, d: str) -> DataFrame:
+    """Which reports have a keyword graph, and why others have none."""
+    return _word_graph(spark, d)[2]

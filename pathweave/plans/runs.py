@@ -68,7 +68,11 @@ def split_alloc(spark: SparkSession, d: str) -> DataFrame:
     return r.allocate_tests(n, "source", "n", 100)
 
 
-@query()
+@query(
+    f"""WITH {_LAB}, x AS (SELECT DISTINCT slide_id, label FROM lb WHERE label IS NOT NULL), n AS (SELECT label, count(*) AS n FROM x GROUP BY label), t AS (SELECT *, greatest(1, least(round_even(sum(n) OVER () * 0.2, 0), sum(n) OVER () - 1)) AS t FROM n),
+q AS (SELECT *, n * t / sum(n) OVER () AS q FROM t), f AS (SELECT *, floor(q) AS f, row_number() OVER (ORDER BY round(q - floor(q), 9) DESC, label) AS r FROM q), a AS (SELECT label, f + (r <= t - sum(f) OVER ())::INT AS test FROM f)
+SELECT slide_id, x.label, CASE WHEN row_number() OVER (PARTITION BY x.label ORDER BY md5(slide_id || '#0'), slide_id) <= test THEN 'test' ELSE 'train' END AS split FROM x JOIN a USING (label)"""
+)
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     """Train and test slides per label."""
     return r.stratified_split(_labels(spark, d).where("label is not null"), "slide_id", "label", 0.2)
@@ -103,7 +107,10 @@ def running_best(spark: SparkSession, d: str) -> DataFrame:
     return r.running_best(_events(spark, d), "run", "step", "metric").select("run", "step", F.round("best", 6).alias("best"), "new_best")
 
 
-@query()
+@query(
+    f"""WITH {_EV}, i AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS i, max(metric) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ev),
+w AS (SELECT *, i - coalesce(max(CASE WHEN metric > b OR b IS NULL AND metric IS NOT NULL THEN i END) OVER (PARTITION BY run ORDER BY step), 0) AS wait FROM i) SELECT run, min(CASE WHEN wait >= 10 THEN step END) AS stop FROM w GROUP BY run"""
+)
 def early_stops(spark: SparkSession, d: str) -> DataFrame:
     """Where every run would stop with a patience of ten records."""
     return r.early_stops(_events(spark, d), "run", "step", "metric", 10)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,3 +131,83 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
 def last_record(events: DataFrame, run: str, order: str) -> DataFrame:
     """The last record of each run."""
     return events.groupBy(run).agg(F.max_by(F.struct(*[c for c in events.columns if c != run]), order).alias("r")).select(run, "r.*")
+
+
+def _texts(column: str, available: list[str]) -> Column:
+    """All values of a repeated XML element as an array of texts without blanks; empty if the file has none."""
+    if column not in available:
+        return F.array().cast("array<string>")
+    as_json = F.to_json(F.struct(F.col(f"`{column}`").alias("v")))
+    # an element is a text, a struct with attributes, or an array of either
+    many = F.coalesce(F.from_json(F.get_json_object(as_json, "$.v[*]"), "array<string>"), F.array(F.get_json_object(as_json, "$.v")))
+    plain = F.transform(many, lambda x: F.trim(F.coalesce(F.get_json_object(x, "$._VALUE"), x)))
+    return F.filter(plain, lambda x: x.isNotNull() & (x != ""))
+
+
+def _resources(column: str, available: list[str]) -> Column:
+    """The last parts of the references of a repeated XML element."""
+    if column not in available:
+        return F.array().cast("array<string>")
+    found = F.regexp_extract_all(F.to_json(F.struct(F.col(f"`{column}`"))), F.lit(r'"_rdf:resource":"([^"]*)"'), 1)
+    return F.transform(found, lambda x: F.regexp_extract(x, r"([^#/\\]+)$", 1))
+
+
+def ncit_concepts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, parents, synonyms, definition, cuis) of an NCIt OWL file: code or last part of the class address,
+    label, parents, both synonym kinds, first definition and UMLS codes; only classes with a code C<digits> and a
+    label."""
+    d = owl_classes(spark, path)
+    has = d.columns
+    about = F.regexp_extract(F.coalesce(F.col("`_rdf:about`"), F.lit("")), r"([^#/]+)$", 1) if "_rdf:about" in has else F.lit("")
+    code = F.coalesce(F.try_element_at(_texts("NHC0", has), F.lit(1)), about)
+    x = d.select(
+        code.alias("id"), F.try_element_at(_texts("rdfs:label", has), F.lit(1)).alias("name"), F.filter(_resources("rdfs:subClassOf", has), lambda p: p.rlike(r"^C\d+$")).alias("parents"),
+        F.array_distinct(F.concat(_texts("P90", has), _texts("P108", has))).alias("synonyms"), F.try_element_at(_texts("P97", has), F.lit(1)).alias("definition"), F.array_distinct(_texts("P207", has)).alias("cuis"),
+    )
+    return x.where(F.col("id").rlike(r"^C\d+$") & (F.coalesce("name", F.lit("")) != ""))
+
+
+def disease_concepts(spark: SparkSession, path: str) -> DataFrame:
+    """(id, name, parents, synonyms, definition, xrefs, match_enabled) of a disease ontology's OWL file: identifier,
+    label, parents, four kinds of synonyms, first definition and cross-references; only DOID: with a label, none of
+    them matched in texts."""
+    d = owl_classes(spark, path)
+    has = d.columns
+    kinds = [f"oboInOwl:has{k}Synonym" for k in ("Exact", "Related", "Narrow", "Broad")]
+    names = F.array_distinct(F.concat(*[_texts(k, has) for k in kinds]))
+    parents = F.transform(_resources("rdfs:subClassOf", has), lambda p: F.replace(p, F.lit("DOID_"), F.lit("DOID:")))
+    x = d.select(
+        F.try_element_at(_texts("oboInOwl:id", has), F.lit(1)).alias("id"), F.try_element_at(_texts("rdfs:label", has), F.lit(1)).alias("name"), F.filter(parents, lambda p: p.startswith("DOID:")).alias("parents"),
+        names.alias("synonyms"), F.try_element_at(_texts("obo:IAO_0000115", has), F.lit(1)).alias("definition"), F.array_distinct(_texts("oboInOwl:hasDbXref", has)).alias("xrefs"), F.lit(False).alias("match_enabled"),
+    )
+    return x.where(F.col("id").startswith("DOID:") & (F.coalesce("name", F.lit("")) != ""))
+
+
+def owl_version(spark: SparkSession, path: str) -> str | None:
+    """The first version of an OWL file's header; None without one."""
+    d = owl_classes(spark, path, "owl:Ontology")
+    if "owl:versionInfo" not in d.columns:
+        return None
+    r = d.select(F.try_element_at(_texts("owl:versionInfo", d.columns), F.lit(1)).alias("v")).first()
+    return r["v"] if r else None
+
+
+def yaml_config(path: str) -> dict[str, Any]:
+    """A YAML configuration; values of keys that end in _dir, _path or _root and are relative are taken from the
+    file's folder. Read on the driver."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        config = yaml.safe_load(f) or {}
+    if not isinstance(config, dict):
+        raise ValueError(f"{path} holds no mapping")
+    base = os.path.dirname(os.path.abspath(path))
+
+    def resolve(x: Any, key: str = "") -> Any:
+        if isinstance(x, dict):
+            return {k: resolve(v, str(k)) for k, v in x.items()}
+        if isinstance(x, str) and x and key.endswith(("_dir", "_path", "_root")) and not os.path.isabs(x) and "://" not in x:
+            return os.path.normpath(os.path.join(base, x))
+        return x
+
+    return resolve(config)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -176,10 +178,19 @@ def _mask_sql() -> str:
     return f"{', '.join(steps)}, u AS (SELECT unnest({names}) AS reason, unnest(counts) AS n FROM {last}) SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM u WHERE n > 0 GROUP BY reason"
 
 
-@query(f"WITH {SENTENCES}, m0 AS (SELECT {_LINE.format('text')} AS x, CAST([] AS BIGINT[]) AS counts FROM sv), {_mask_sql()}")
+def _with_stages(spark: SparkSession, d: str) -> DataFrame:
+    """The sections' sentences and the stage strings of the labels, which the masks are for."""
+    stages = table(spark, d, "labels").where("pathologic_stage is not null").select("case_id", "slide_id", F.col("pathologic_stage").alias("text")).distinct()
+    return sentences(spark, d).select("section_title", "text").unionByName(stages.select(F.lit("Stage").alias("section_title"), "text"))
+
+
+_STAGED = "sl AS (SELECT text FROM sv UNION ALL SELECT pathologic_stage FROM (SELECT DISTINCT case_id, slide_id, pathologic_stage FROM labels WHERE pathologic_stage IS NOT NULL))"
+
+
+@query(f"WITH {SENTENCES}, {_STAGED}, m0 AS (SELECT {_LINE.format('text')} AS x, CAST([] AS BIGINT[]) AS counts FROM sl), {_mask_sql()}")
 def mask_counts(spark: SparkSession, d: str) -> DataFrame:
-    """How often each mask that needs no look-behind applies in the sections' sentences."""
-    x = sentences(spark, d).select(t.normalize_line("text").alias("x"))
+    """How often each mask that needs no look-behind applies in the sections' sentences and the stage strings."""
+    x = _with_stages(spark, d).select(t.normalize_line("text").alias("x"))
     counts = []
     for name, pattern, put in c.MASKS:
         if "(?<" not in pattern:
@@ -217,10 +228,30 @@ def filter_modes(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def mask_reasons(spark: SparkSession, d: str) -> DataFrame:
     """How often each mask applies in the whole chain, context masks included."""
-    return c.reason_totals(c.filter_sentences(sentences(spark, d), "masked"))
+    return c.reason_totals(c.masked_step(_with_stages(spark, d), "text"))
 
 
-@query()
+def _rule_sql(rule: str) -> str:
+    """A title rule as SQL conditions; what must occur anywhere is a condition of its own."""
+    anywhere = re.findall(r"\(\?=\.\*((?:[^()]|\([^()]*\))*)\)", rule)
+    rest = re.sub(r"\(\?=\.\*(?:[^()]|\([^()]*\))*\)", "", rule)
+    return " AND ".join(f"regexp_matches(upper(t), '{x}')" for x in [*anywhere, *([rest] if rest not in ("", "^") else [])])
+
+
+_TITLE_SQL = (
+    "CASE WHEN t = '' THEN '" + t.DEFAULT_TITLE + "' " + "".join(f"WHEN lower(t) = '{n.lower()}' THEN '{n}' " for n in t.CANONICAL_TITLES)
+    + "".join(f"WHEN {_rule_sql(r)} THEN '{n}' " for r, n in t.TITLE_RULES)
+    + f"WHEN (letters <= 4 AND (digits > 0 OR odd > 0)) OR (odd >= 2 AND digits >= 1) THEN '{t.DEFAULT_TITLE}' ELSE t END"
+)
+_TITLED = rf"""ti AS (SELECT *, regexp_replace(trim(regexp_replace(coalesce(section_title, ''), '[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+', ' ', 'g')), '^[ :;,\-_/\\]+|[ :;,\-_/\\]+$', '', 'g') AS t FROM raw),
+tj AS (SELECT *, length(regexp_replace(t, '\P{{L}}', '', 'g')) AS letters, length(regexp_replace(t, '\P{{Nd}}', '', 'g')) AS digits, length(regexp_replace(t, '[\p{{L}}\p{{N}}\s]', '', 'g')) AS odd FROM ti), tk AS (SELECT *, {_TITLE_SQL} AS title FROM tj)"""
+
+
+@query(
+    f"""WITH raw AS (SELECT DISTINCT document_id, section_index, section_title, text FROM sections), {_TITLED}, x AS (SELECT document_id, section_index, title, trim(coalesce(text, '')) AS text FROM tk WHERE trim(coalesce(text, '')) <> ''),
+n AS (SELECT *, CASE WHEN lag(title) OVER (PARTITION BY document_id ORDER BY section_index) = title THEN 0 ELSE 1 END AS new FROM x), r AS (SELECT *, sum(new) OVER (PARTITION BY document_id ORDER BY section_index ROWS UNBOUNDED PRECEDING) AS run FROM n)
+SELECT document_id, CAST(run - 1 AS INTEGER) AS section_index, max(title) AS section_title, string_agg(text, chr(10) ORDER BY section_index, text) AS text, count(*) - 1 AS merged FROM r GROUP BY document_id, run"""
+)
 def merged_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections with canonical titles, neighbours of one title merged."""
     s = table(spark, d, "sections").select("document_id", "section_index", "section_title", "text").distinct()
@@ -248,7 +279,7 @@ def title_keys(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy(t.key_of("section_title").alias("title_key")).agg(F.count(F.lit(1)).alias("written"))
 
 
-@query()
+@query(f"WITH raw AS (SELECT DISTINCT section_id, section_title FROM sections), {_TITLED} SELECT title, count(*) AS sections FROM tk GROUP BY title")
 def canonical_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections per canonical title by the rule list."""
     x = table(spark, d, "sections").select("section_id", "section_title").distinct()

@@ -161,3 +161,21 @@ def topk_concepts(spark: SparkSession, d: str) -> DataFrame:
     ic = table(spark, d, "concepts").groupBy(F.col("id").alias("concept_id")).agg(F.max("ic").alias("ic"))
     m = _concept_nodes(spark, d).groupBy("document_id", "concept_id").agg(F.count(F.lit(1)).alias("mentions"))
     return c.top_concepts(m.join(ic, "concept_id", "left").withColumn("depth", F.lit(0)), "document_id", 5).select("document_id", "concept_id", "score", "rank")
+
+
+@query(
+    f"""WITH {_LEX}, tx AS (SELECT DISTINCT id, term AS text FROM tm), sx AS (SELECT id, text, {_TOKENS.format("text")} AS ts FROM tx), st AS (SELECT id, text, ts, n, unnest(range(0, greatest(len(ts) - n + 1, 1))) AS start FROM sx, (SELECT DISTINCT n FROM lex) WHERE len(ts) > 0)
+SELECT concept_id, count(*) AS hits, count(DISTINCT st.id) AS inside FROM st JOIN lex ON lex.n = st.n AND lex.phrase = array_to_string(ts[start + 1:start + st.n], ' ') GROUP BY concept_id"""
+)
+def term_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of lexicon phrases inside the names and synonyms of the concepts."""
+    o = table(spark, d, "concepts").where("match_enabled and name is not null").select("id", F.explode(F.concat(F.array("name"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("text")).where("text is not null").distinct()
+    h = c.phrase_hits(o.withColumn("k", F.struct("id", "text")), "k", "text", _lexicon(spark, d))
+    return h.groupBy("concept_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("k.id").alias("inside"))
+
+
+@query("SELECT DISTINCT 'S' || s_suppkey AS left_id, 'C' || c_custkey AS right_id FROM supplier JOIN customer ON s_nationkey = c_nationkey")
+def shared_code_crosswalk(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers and customers as concepts of two terminologies that share a nation's code."""
+    x = lambda name, key, nation, prefix: table(spark, d, name).select(F.concat(F.lit(prefix), key).alias("id"), F.lit(prefix).alias("source_terminology"), F.create_map(F.lit("nation"), F.array(F.col(nation).cast("string"))).alias("xrefs"))
+    return c.crosswalk(x("supplier", "s_suppkey", "s_nationkey", "S").unionByName(x("customer", "c_custkey", "c_nationkey", "C")), "S", "C")

@@ -80,10 +80,13 @@ _HAN_BACK = re.compile(rf"(?:^|[。！？、，；：\s\d.)）%％])([{_HAN}]{{1
 #: Words that are no part of a name though they stand where one could.
 _STOP = re.compile(r"^(?:The|This|That|It|No|Not|See|Is|What|Case|Patient|Department|Institute|Hospital|Clinic|and|und|et|y|of|de la|samples?|reports?|slides?|notes?)$", re.IGNORECASE)
 
+_APPOSITION = re.compile(rf"(?<=[a-zà-ÿа-я], )({_WORD}\.?(?: {_WORD}\.?){{1,3}})(?=, )")
+_CONTACT = re.compile(r" \((?=[^ ()]{1,40} ?(?:@|[\[(]at[\])])|tel|\+?\d[\d .-]{6})")
+_SMALL = set("with is are was were in to at for or from by no not as on an a it its und mit der die das de la le et des du en el los las con por y".split())
+
 #: Cues before a name -> whether a cue after it is needed if the name isn't capitalised.
 LEFT = [
-    "Patient ", "Patient: ", "patient ", "Reviewed by ", "Dictated by ", "According to the ",
-    "card reading ", "Questions go to ", "M.D., and ", "Die Patientin ", "Der Patient ", "Rückruf an ", "Rappeler ", "La patiente ", "Le patient ", "La paciente ", "El paciente ", "Avisar a ", "Informe firmado por ",
+    "Patient ", "Patient: ", "patient ", "Reviewed by ", "Dictated by ", "Die Patientin ", "Der Patient ", "Rückruf an ", "Rappeler ", "La patiente ", "Le patient ", "La paciente ", "El paciente ", " por ", " par ", " à ", " a ",
     "Пациент ", "Пациентка ", "Врач ", "患者", "联系", "المريضة ", "المريض ", "रोगी ", "ผู้ป่วยชื่อ ", "Signed by ", "signed by ", "Dr. ", "Mr. ", "Ms. ", "Mrs. ", "Prof. ", "Nurse ", "Frau ", "Herr ", "Mme ", "Dra. ", "Sra. ", "Sr. ", "Dr ", "Pr ",
 ]
 RIGHT = [
@@ -93,7 +96,9 @@ RIGHT = [
 #: Cues after a name that find it without a cue before.
 ALONE = {" and transcribed", ", M.D.", " (MRN", "   MRN", " MRN:", " lives at", " was informed", " wurde um", ", Vers.-Nr", " a validé", " (dossier", ", DNI", " en el tel", ", карта", " просит", ",证件号", "医師", "(ID", " เลขที่", " โทร"}
 #: Cues of languages in which D. and M. are titles.
-ROMANCE = {"Rappeler ", "Informe firmado por ", "Avisar a ", "La patiente ", "Le patient "}
+ROMANCE = {"Rappeler ", " por ", " par ", " à ", " a ", "La patiente ", "Le patient "}
+#: Cues that are one only before such a title.
+BEFORE_TITLE = {" por ", " par ", " à ", " a "}
 WEAK_RIGHT = {", the ", " unter ", " au ", " el ", " (", ", ", ". ", "。"}
 
 
@@ -123,6 +128,7 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+PLACE = 1 << 6  #: mark of a candidate that only its place proposes; no vote
 Span = tuple[str, int, int, int, str]  #: kind, start, end, votes, text
 
 
@@ -229,17 +235,14 @@ def names(t: str, hits: list[tuple[int, tuple[str, Any]]]) -> Iterator[Span]:
             if first and cue[0].isalpha() and cue[0] < "⺀" and (t[first - 1].isalnum()):
                 continue
             s = at
-            if cue == "According to the ":
-                m = re.match(r"\w{3,12}, ", t[s : s + 16])
-                if not m:
-                    continue
-                s += m.end()
             m = _TITLE.match(t, s)
             titled = bool(m) or _TITLE.fullmatch(cue.strip() + " ") is not None
             if m:
                 s = m.end()
             if cue in ROMANCE and (m := _ROMANCE.match(t, s)):
                 titled, s = True, m.end()
+            if cue in BEFORE_TITLE and not titled:
+                continue
             right, stop = "", s
             for r in RIGHT:
                 j = t.find(r, s, s + 64)
@@ -253,7 +256,7 @@ def names(t: str, hits: list[tuple[int, tuple[str, Any]]]) -> Iterator[Span]:
             strong_right = bool(right) and right not in WEAK_RIGHT
             if right in WEAK_RIGHT:  # some cues in front make a weak one after the name a real one
                 strong_right = (
-                    right == ", the " and cue.startswith("According") or right == " (" and cue.startswith("Questions") or right == ", " and t[stop + 2 : stop + 3].isdigit()
+                    right == ", " and t[stop + 2 : stop + 3].isdigit() or right == " (" and bool(_CONTACT.match(t, stop))
                     or right == " unter " and cue.startswith(("Rück", "Frau", "Herr", "Dr", "Prof")) or right == " au " and cue in ROMANCE or right == " el " and cue in ROMANCE
                 )
             if right and _NAME_ONLY.fullmatch(t, s, stop) and len(t[s:stop].split()) <= 6:
@@ -295,6 +298,37 @@ def names(t: str, hits: list[tuple[int, tuple[str, Any]]]) -> Iterator[Span]:
         yield "NAME", s, e, _bits(side == "L" and not _TITLE.fullmatch(cue.strip() + " "), titled, strong_right, weak_right or shaped, shaped), x
 
 
+def by_place(t: str, found: list[Span]) -> Iterator[Span]:
+    """Names that only their place proposes: words between commas after a word in lower case, and words before an
+    address or a contact in brackets. They count only if the gazetteer knows all their parts."""
+    if t.count(", ") > 1:
+        for m in _APPOSITION.finditer(t):
+            if not any(p.lower() in _SMALL or _STOP.match(p) for p in m.group(1).split()):
+                yield "NAME", m.start(1), m.end(1), _bits(0, 0, 0, True, m.group(1).istitle(), 0, True), m.group(1)
+    ends = [s for kind, s, *_ in found if kind == "ADDRESS"] + [m.start() + 1 for m in _CONTACT.finditer(t)]
+    for at in ends:
+        e = at
+        while e > 0 and t[e - 1] in " ,(":
+            e -= 1
+        for start in {_words_back(t, e, True), *_last_words(t, e)}:
+            s, e2 = _tidy(t, start, e)
+            parts = [p for p in re.split(r"[ ,]+", t[s:e2]) if p]
+            if len(parts) > 1 and not any(_STOP.match(p) or p.lower() in _SMALL for p in parts):
+                yield "NAME", s, e2, _bits(0, 0, 0, True, all(p[0].isupper() for p in parts), 0, True), t[s:e2]
+
+
+def _last_words(t: str, e: int) -> list[int]:
+    """Starts of the last two and three words before ``e``."""
+    at, out = e, []
+    for n in range(3):
+        at = t.rfind(" ", max(0, at - 40), at)
+        if at < 0 or not _WORD_ONLY.fullmatch(t[at + 1 : e].split(" ")[0].rstrip(",.")):
+            break
+        if n:
+            out.append(at + 1)
+    return out
+
+
 KINDS = ("EMAIL", "PHONE", "ID", "ADDRESS", "NAME")
 
 
@@ -316,6 +350,10 @@ def candidates(text: str, cues: ahocorasick.Automaton) -> list[Span]:
                 found[kind, s] = (kind, s, max(e, old[2]) if kind != "NAME" else (e if bin(votes).count("1") >= bin(old[3]).count("1") else old[2]), votes | old[3], x)
             else:
                 found[kind, s] = (kind, s, e, votes, x)
+    for span in by_place(t, list(found.values())):
+        old = found.get((span[0], span[1]))
+        if old is None or old[3] & PLACE and span[2] > old[2]:
+            found[span[0], span[1]] = span
     return list(found.values())
 
 
@@ -402,8 +440,13 @@ def _decider(models: dict[str, dict[str, Any]], parts: set[str]) -> Callable[[It
             for kind, votes, form, x in zip(b["kind"], b["votes"], b["shape"], b["text"]):
                 m = models[kind]
                 w = m["w"]
+                place = kind == "NAME" and votes & PLACE
                 votes = _in_gazetteer(kind, votes, x, parts)
-                z = w[0] + sum(w[1 + i] for i in range(m["bits"]) if votes >> i & 1) + w[1 + m["bits"] + form]
+                if votes < 0:
+                    score.append(0.0)
+                    continue
+                # of candidates by place that begin at different words the longest that is known counts
+                z = w[0] + sum(w[1 + i] for i in range(m["bits"]) if votes >> i & 1) + (len(x) / 1000 if place else w[1 + m["bits"] + form])
                 score.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
             yield b.assign(score=score)[["src", "row_id", "kind", "start_char", "end_char", "text", "score"]]
 
@@ -416,9 +459,12 @@ def name_parts(x: str) -> list[str]:
 
 
 def _in_gazetteer(kind: str, votes: int, x: str, parts: set[str]) -> int:
+    """The votes with that of the gazetteer; -1 for a candidate by place of which it doesn't know all parts."""
     if kind != "NAME":
         return votes
     own = name_parts(x)
+    if votes & PLACE:
+        return (votes & ~PLACE) | 1 << 5 if own and all(p in parts for p in own) else -1
     return votes | (1 << 5 if own and sum(p in parts for p in own) * 2 > len(own) else 0)
 
 
@@ -426,8 +472,10 @@ def _histogram(parts: set[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             votes = [_in_gazetteer(k, v, x, parts) for k, v, x in zip(b["kind"], b["votes"], b["text"])]
-            g = pd.DataFrame({"kind": b["kind"], "votes": votes, "shape": b["shape"]}).value_counts().reset_index(name="n")
-            yield g
+            g = pd.DataFrame({"kind": b["kind"], "votes": votes, "shape": b["shape"]})
+            g = g[g["votes"] >= 0]
+            if len(g):
+                yield g.value_counts().reset_index(name="n")
 
     return run
 

@@ -203,6 +203,14 @@ def test_the_span_classifier_learns_from_shape():
     assert personal.classifier("NAME", {})["w"][1 + m["bits"] :] == [0.0] * personal.SHAPES
 
 
+def test_names_without_any_cue(spark):
+    cued = [f"Patient {a} {b} (MRN M{i}23456{i}) was seen." for i, (a, b) in enumerate([("Hope", "Jarlund"), ("Ivo", "Bragard")] * 3)]
+    texts = [*cued, "As told by his cousin, ivo jarlund, the lump grew.", "A parcel for Hope Bragard, 3567 Larkspur Hollow Road, came.", "Sections of fat, tan fibrous tissue, and skin were cut.", "Write to ivo bragard (ivo@north.example) today."]
+    t = spark.createDataFrame([("s", i, x) for i, x in enumerate(texts)], "src string, row_id long, text string")
+    got = {(r["row_id"], r["text"]) for r in personal.spans(t).where("kind = 'NAME'").collect()}
+    assert {x for x in got if x[0] >= 6} == {(6, "ivo jarlund"), (7, "Hope Bragard"), (9, "ivo bragard")}
+
+
 # --- canonical titles --------------------------------------------------------------------------------------
 
 

@@ -404,6 +404,11 @@ def lines(pages: DataFrame, marked_only: bool = False) -> DataFrame:
         text = F.when(text.rlike(r"(?U)\S") | (F.coalesce("strategy", F.lit("")) == "empty"), text).otherwise(F.col("native_text"))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), "page_number", text.alias("text")).where("page_id is not null and text <> ''").withColumn("version", F.xxhash64("text"))
     pairs, edges, splits = statistics(p)
+    if not marked_only:  # of different texts of a page one is repaired; only hashes are grouped
+        many = cut(p.groupBy("page_id").agg(F.min("version").alias("least"), F.max("version").alias("most")).where("least < most").select("page_id", "least"))
+        n = many.count()
+        if n:
+            p = p.join(small_side(many, n), "page_id", "left").where("least is null or version = least").drop("least")
     words = cut(vocabulary(pairs))
     fixes = cut(repairs(pairs, words))
     broken = cut(broken_words(splits, words, fixes))
@@ -434,9 +439,9 @@ def found(pages: DataFrame) -> DataFrame:
 def paragraphs(pages: DataFrame) -> DataFrame:
     """(page_id, paragraph_no, text): the repaired pages as continuous paragraphs. A blank line or a heading (a
     line in capitals or with a colon at its end, of at most six words) ends a paragraph."""
-    x = lines(pages).where("kinds not like '%header%' and kinds not like '%page_no%'").select("page_id", "line_no", "line", "joins", "version")
+    x = lines(pages).where("kinds not like '%header%' and kinds not like '%page_no%'").select("page_id", "line_no", "line", "joins")
     # one exchange by page serves the deduplication, the windows and the grouping
-    x = x.repartition("page_id").withColumn("first", F.min("version").over(Window.partitionBy("page_id"))).where("version = first").dropDuplicates(["page_id", "line_no"])
+    x = x.repartition("page_id").dropDuplicates(["page_id", "line_no"])
     w = Window.partitionBy("page_id").orderBy("line_no")
     line = F.trim("line")
     heading = (line != "") & (F.size(F.split(line, r"\s+")) <= 6) & ((F.upper(line) == line) & line.rlike(r"\p{Lu}{3}") & ~line.rlike(r"[.;,]$"))

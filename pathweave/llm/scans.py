@@ -354,16 +354,16 @@ class Repairer:
         return out
 
 
-LINE_SCHEMA = "page_id long, line_no int, kinds string, line string, joins boolean, version long"
+LINE_SCHEMA = "page_id long, line_no int, kinds string, line string, joins boolean"
 
 
 def _marker(fix: dict[str, str], broken: set[str], edge: dict[str, bool], marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Repairer(fix, broken, edge)
         for b in batches:
-            rows = [(page, *x, v) for page, text, v in zip(b["page_id"], b["text"], b["version"]) for x in r.lines(text) if x[1] or not marked_only]
+            rows = [(page, *x) for page, text in zip(b["page_id"], b["text"]) for x in r.lines(text) if x[1] or not marked_only]
             if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins", "version"])
+                yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins"])
 
     return run
 
@@ -374,11 +374,11 @@ def _marker_with(marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for page, text, v, fix, broken, edge in zip(b["page_id"], b["text"], b["version"], b["fix"], b["broken"], b["edge"]):
+            for page, text, fix, broken, edge in zip(b["page_id"], b["text"], b["fix"], b["broken"], b["edge"]):
                 r = Repairer(dict(fix or {}), set(broken) if broken is not None else set(), dict(edge or {}))
-                rows += [(page, *x, v) for x in r.lines(text) if x[1] or not marked_only]
+                rows += [(page, *x) for x in r.lines(text) if x[1] or not marked_only]
             if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins", "version"])
+                yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins"])
 
     return run
 
@@ -402,13 +402,14 @@ def lines(pages: DataFrame, marked_only: bool = False) -> DataFrame:
     text = F.col("final_text")
     if not marked_only and {"native_text", "strategy"} <= set(pages.columns):
         text = F.when(text.rlike(r"(?U)\S") | (F.coalesce("strategy", F.lit("")) == "empty"), text).otherwise(F.col("native_text"))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "page_number", text.alias("text")).where("page_id is not null and text <> ''").withColumn("version", F.xxhash64("text"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "page_number", text.alias("text")).where("page_id is not null and text <> ''")
     pairs, edges, splits = statistics(p)
     if not marked_only:  # of different texts of a page one is repaired; only hashes are grouped
-        many = cut(p.groupBy("page_id").agg(F.min("version").alias("least"), F.max("version").alias("most")).where("least < most").select("page_id", "least"))
+        version = F.xxhash64("text")
+        many = cut(p.groupBy("page_id").agg(F.min(version).alias("least"), F.max(version).alias("most")).where("least < most").select("page_id", "least"))
         n = many.count()
         if n:
-            p = p.join(small_side(many, n), "page_id", "left").where("least is null or version = least").drop("least")
+            p = p.join(small_side(many, n), "page_id", "left").where(F.col("least").isNull() | (version == F.col("least"))).drop("least")
     words = cut(vocabulary(pairs))
     fixes = cut(repairs(pairs, words))
     broken = cut(broken_words(splits, words, fixes))
@@ -427,7 +428,7 @@ def lines(pages: DataFrame, marked_only: bool = False) -> DataFrame:
         mine("broken", F.col("key")).alias("broken"),
         F.map_from_entries(mine("edge", F.struct("key", "page_no"))).alias("edge"),
     )
-    return p.join(own, "page_id", "left").select("page_id", "text", "version", "fix", "broken", "edge").mapInPandas(_marker_with(marked_only), LINE_SCHEMA)
+    return p.join(own, "page_id", "left").select("page_id", "text", "fix", "broken", "edge").mapInPandas(_marker_with(marked_only), LINE_SCHEMA)
 
 
 def found(pages: DataFrame) -> DataFrame:

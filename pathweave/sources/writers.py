@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import Any
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import sanitize
 
@@ -43,8 +47,36 @@ def stage_summary(rows: DataFrame, dataset: str = "dataset", status: str = "stat
     return rows.groupBy(k.alias("dataset")).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(status) == s).alias(s) for s in ("success", "failed", "skipped")])
 
 
-def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A small table as Markdown; for reports of bounded size."""
-    got = rows.limit(limit).collect()
+def markdown(rows: DataFrame, most: int = 1000) -> str:
+    """A small table as Markdown; more than ``most`` rows are an error, as such a report has a bounded size."""
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"more than {most} rows for a Markdown table")
     head = "| " + " | ".join(rows.columns) + " |\n|" + "---|" * len(rows.columns) + "\n"
     return head + "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in got)
+
+
+def append_records(records: DataFrame, path: str, checkpoint: str | None = None) -> Any:
+    """Records as JSON lines after those that are there; of a stream the running query is returned."""
+    if records.isStreaming:
+        return records.writeStream.format("json").outputMode("append").option("checkpointLocation", checkpoint or f"{path}/_checkpoint").start(path)
+    records.write.mode("append").json(path)
+    return None
+
+
+def compact_log(records: DataFrame, fields: Sequence[str] = ("target.analysis.sample_details",)) -> DataFrame:
+    """Log records without the given nested fields; a field that a log has not is no error."""
+
+    def has(t: Any, parts: list[str]) -> bool:
+        for p in parts:
+            if not isinstance(t, StructType) or p not in t.names:
+                return False
+            t = t[p].dataType
+        return True
+
+    out = records
+    for f in fields:
+        top, *rest = f.split(".")
+        if has(records.schema, [top, *rest]):
+            out = out.withColumn(top, F.col(top).dropFields(".".join(rest))) if rest else out.drop(top)
+    return out

@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from pathweave.operators import concept_graphs, graphs, keywords, ontology, records, runs, vectors
-from pathweave.sources import readers
+from pathweave.sources import readers, writers
 
 
 @pytest.fixture
@@ -128,3 +128,16 @@ def test_configuration(tmp_path):
     (tmp_path / "c.yaml").write_text("input_dir: data\nstage:\n  out_path: ../out/x\n  name: data\n  root_root: /abs\n")
     c = readers.yaml_config(str(tmp_path / "c.yaml"))
     assert c == {"input_dir": str(tmp_path / "data"), "stage": {"out_path": str(tmp_path.parent / "out/x"), "name": "data", "root_root": "/abs"}}
+
+
+def test_sinks_of_logs(spark, tmp_path):
+    df = spark.createDataFrame([(1, (0.5, ("x", [1, 2])))], "epoch int, target struct<auc:double,analysis:struct<name:string,sample_details:array<int>>>")
+    out = str(tmp_path / "log")
+    writers.append_records(writers.compact_log(df), out)
+    writers.append_records(writers.compact_log(df), out)
+    got = spark.read.json(out)
+    assert got.count() == 2 and got.schema["target"].dataType["analysis"].dataType.names == ["name"]
+    assert writers.compact_log(df, ("none.here", "epoch")).columns == ["target"]
+    assert writers.markdown(df.select("epoch")).splitlines()[2] == "| 1 |"
+    with pytest.raises(ValueError):
+        writers.markdown(spark.range(5), 3)

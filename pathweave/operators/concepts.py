@@ -13,6 +13,9 @@ from . import hierarchy
 # Words too general to link by themselves.
 STOP_TERMS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "m", "n", "no", "not", "of", "on", "or", "r", "s", "t", "the", "to")
 
+#: Codes of a concept up to which they travel with each of them in a crosswalk, and its pairs that one task makes.
+CODES, PAIRS = 32, 20_000_000
+
 #: A small example ontology: id, name, synonyms, parents.
 BUILT_IN: tuple[tuple[str, str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("ONT:neoplasm", "neoplasm", ("tumor", "tumour"), ()),
@@ -142,12 +145,40 @@ def _within(edges: DataFrame, hops: int) -> DataFrame:
     return out.where("node <> ancestor").groupBy("node", "ancestor").agg(F.min("distance").alias("distance")) if hops > 0 else out.limit(0)
 
 
+def _coded(concepts: DataFrame, terminology: str, side: str, tasks: int = 1) -> DataFrame:
+    """(side_id, side_n, side_codes, system, code): a row for each code of a concept of a terminology, with their
+    number and, if they are 2 to CODES, all of them."""
+    x = concepts.where(F.col("source_terminology") == terminology).select("id", F.explode("xrefs").alias("system", "codes")).select("id", "system", F.explode("codes").alias("code")).where("code is not null")
+    x = x.repartition(tasks, "id") if tasks > 1 else x
+    g = x.groupBy("id").agg(F.collect_set(F.struct("system", "code")).alias("codes")).withColumn("n", F.size("codes"))
+    carried = F.when((F.col("n") > 1) & (F.col("n") <= CODES), F.col("codes"))
+    return g.select(F.col("id").alias(f"{side}_id"), F.col("n").alias(f"{side}_n"), carried.alias(f"{side}_codes"), F.inline("codes"))
+
+
 def crosswalk(concepts: DataFrame, left: str, right: str) -> DataFrame:
-    """(left_id, right_id): concepts of two terminologies that share a code of any system."""
-    x = concepts.select("id", "source_terminology", F.explode("xrefs").alias("system", "codes")).select("id", "source_terminology", "system", F.explode("codes").alias("code")).distinct()
-    a = x.where(F.col("source_terminology") == left).select(F.col("id").alias("left_id"), "system", "code")
-    b = x.where(F.col("source_terminology") == right).select(F.col("id").alias("right_id"), "system", "code")
-    return a.join(b, ["system", "code"]).select("left_id", "right_id").distinct()
+    """(left_id, right_id): concepts of two terminologies that share a code of any system.
+
+    A pair comes from the least code it shares, so pairs need no exchange to be distinct; only those of two concepts
+    with several codes, one of them with more than CODES, are made distinct afterwards. The smaller side goes to all
+    tasks, the larger one to as many tasks as its pairs need; both are counted first."""
+    sums = lambda k: (F.count(f"{k}_n").alias(f"{k}_rows"), F.coalesce(F.sum(F.size(f"{k}_codes")), F.lit(0)).alias(f"{k}_carried"), F.coalesce(F.max(f"{k}_n"), F.lit(0)).alias(f"{k}_most"))
+    each = _coded(concepts, left, "left").unionByName(_coded(concepts, right, "right"), allowMissingColumns=True)
+    per = each.groupBy("system", "code").agg(*sums("left"), *sums("right"))
+    total = lambda k: (F.coalesce(F.sum(F.col(f"{k}_rows") + F.col(f"{k}_carried")), F.lit(0)).alias(f"{k}_size"), F.coalesce(F.max(f"{k}_most"), F.lit(0)).alias(f"{k}_most"))
+    n = per.agg(*total("left"), *total("right"), F.coalesce(F.sum(F.col("left_rows").cast("double") * F.col("right_rows")), F.lit(0.0)).alias("pairs")).first()
+    small, large = ("left", "right") if n.left_size <= n.right_size else ("right", "left")
+    terminology = {"left": left, "right": right}
+    a = small_side(_coded(concepts, terminology[small], small), n[f"{small}_size"])
+    tasks = 1 + int(min(n.pairs / PAIRS, 10_000))
+    b = _coded(concepts, terminology[large], large, tasks)
+    # the same partners in a row are written in a fraction of the space; a sort that isn't cut off is dropped below a join
+    b = cut(b.sortWithinPartitions("system", "code")) if tasks > 1 else b
+    x = b.join(a, ["system", "code"])
+    one = (F.col("left_n") == 1) | (F.col("right_n") == 1)
+    out = x.where(one | (F.struct("system", "code") == F.array_min(F.array_intersect("left_codes", "right_codes")))).select("left_id", "right_id")
+    if max(n.left_most, n.right_most) > CODES and min(n.left_most, n.right_most) > 1:
+        out = out.unionByName(x.where(~one & (F.col("left_codes").isNull() | F.col("right_codes").isNull())).select("left_id", "right_id").distinct())
+    return out
 
 
 def document_frequency(mentions: DataFrame, doc: str, concept: str) -> DataFrame:

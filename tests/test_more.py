@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pathweave import runtime
 from pathweave.operators import concepts, keywords, ontology
 from pathweave.plans.pipeline import Pipeline
 
@@ -57,6 +60,24 @@ def test_subset_and_bundle(spark, rows):
     assert rows(ontology.overlay(old, new, "k", "v")) == [("a", 1), ("b", 3)]
 
 
+def test_crosswalk(spark, rows, monkeypatch):
+    """Every pair once, as brute force has it; pairs of concepts with few codes are not made distinct afterwards."""
+    rnd = random.Random(5)
+    for most, small in ((1, 200_000), (4, 200_000), (9, 200_000), (9, 0)):
+        monkeypatch.setattr(concepts, "small_side", lambda df, n, small=small: runtime.small_side(df, n, small))
+        monkeypatch.setattr(concepts, "PAIRS", 50)
+        monkeypatch.setattr(concepts, "CODES", 4)
+        data = [(rnd.choice([None, *map(str, range(20))]), rnd.choice("NSX"), {s: [rnd.choice([None, "", *"123456789"]) for _ in range(rnd.randint(0, most))] for s in ("u", "m")[: 1 + (most > 1)]}) for _ in range(90)]
+        if most == 1:  # a code a concept
+            data = [(f"{i}{x}", x, {"u": [str(i % 3)]}) for i in range(60) for x in "NS"]
+        own = lambda x: {(i, s, v) for i, t, m in data if t == x for s, vs in m.items() for v in vs if v is not None}  # noqa: B023, E731
+        want = {(i, j) for i, *a in own("N") for j, *b in own("S") if a == b}
+        got = concepts.crosswalk(spark.createDataFrame(data, "id string, source_terminology string, xrefs map<string,array<string>>"), "N", "S")
+        assert len(want) > 100 and rows(got) == rows(spark.createDataFrame(list(want), got.schema))
+        above = got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+        assert most > 1 or "Aggregate" not in above
+
+
 def test_pipeline(spark):
     page = lambda d, n, t: (d, "c" + d, n, t)
     pages = spark.createDataFrame(

@@ -25,10 +25,12 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import filterfalse
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,17 +52,20 @@ GLYPHS: dict[str, tuple[str, ...]] = {
     "t": ("f",), "s": ("5",), "b": ("6", "h"), "c": ("e",), "li": ("h",), "w": ("vv",), "cl": ("d",), "rn": ("m",), "ri": ("n",), "q": ("g", "9"), "z": ("2",), "v": ("u",), "f": ("t",), "th": ("tb",),
 }
 _SINGLE = str.maketrans("1i|!jo0s59gqbh6ecuvaäft2z", "lllllooss" + "ggghhhccuuaattzz")
-_GLYPH_PAIRS = [(chr(a), chr(b)) for a, b in _SINGLE.items() if a != b] + [("rl", "n"), ("rn", "m"), ("cl", "d"), ("ll", "h"), ("nn", "m")]
+_BYTES = bytes(_SINGLE.get(i, i) if i < 128 else i for i in range(256))
+_GLYPH_PAIRS = [("rl", "n"), ("rn", "m"), ("cl", "d"), ("ll", "h"), ("nn", "m")]
 _TOKEN = re.compile(r"[^\W_]+")
 _CODE = re.compile(r"\d+|[A-Z]{1,4}\d+[A-Z]?|\d+[A-Za-z]|\d+x\d+|[A-Z\d]{2,6}(?<=\d)|(?=\w*\d\w*\d)\w+")
 _BROKEN = re.compile(r"([^\W\d_]+)([-‐‑¬­])$")
 _FRAGMENT = re.compile(r"[-‐‑¬\xad]\n[^\W_]+")
+_OPEN_END = re.compile(r"[-‐‑¬\xad][^\S\n]*\n")
 _PLAIN_NUMBER = re.compile(r"[\[(]?\d{1,4}(?:/\d{1,4})?[\])]?")
 _SOFT = re.compile(r"([^\W\d_]+)[¬­]\n\s*([^\W_]+)")
 _BREAK = re.compile(r"[-‐‑][^\S\n]*\n")
-_NUMBER = re.compile(r"(?<!\S)[^\s\d]*\d\S*")
+_NUMBER = re.compile(r"\d\S*")  # what stands before it in its token is sought by hand: a pattern for it is tried at every letter
 _NO_DIGITS = str.maketrans("", "", "0123456789")
 _DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d+")
 _HYPHENS = "-‐‑¬\xad"
 _PAGE = re.compile(
     r"^\s*(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\d{1,4}\]|\(\d{1,4}\)|\d{1,4}(?:\s*/\s*\d{1,4})?"
@@ -94,20 +99,33 @@ def explains(right: str, wrong: str, most: int = 3) -> int:
     return ways.get((len(right), len(wrong)), 0)
 
 
-def _mask(m: re.Match[str]) -> str:
+@lru_cache(1 << 16)
+def _mask(t: str) -> str:
     """A number, or a code with digits, as one sign; a word with one or two misread letters stays."""
-    t = m.group()
+    if len(t) < 5:
+        return "#"
     letters = t.translate(_NO_DIGITS)
     return t if len(letters) >= 4 and len(t) - len(letters) <= 2 and letters.replace("-", "", 1).isalpha() else "#"
 
 
+def _without_numbers(t: str) -> str:
+    """The text with each token that holds a digit masked."""
+    kept, last = [], 0
+    for m in _NUMBER.finditer(t):
+        s, e = m.span()
+        while s > last and not t[s - 1].isspace():
+            s -= 1
+        kept += t[last:s], _mask(t[s:e])
+        last = e
+    return "".join(kept) + t[last:] if kept else t
+
+
 def masked_lines(text: str) -> list[str]:
     """The lines of a text with their numbers and codes as one sign, compared by skeleton. A word with one or two
     misread letters is no code."""
-    t = text.lower()
-    if _DIGIT.search(t):
-        t = _NUMBER.sub(_mask, t)
-    for glyph, same in _GLYPH_PAIRS:  # faster on a whole page than a translation table
+    t = _without_numbers(text.lower()).replace("ä", "a")
+    t = t.encode("utf-8", "surrogatepass").translate(_BYTES).decode("utf-8", "surrogatepass")  # faster than a table for str
+    for glyph, same in _GLYPH_PAIRS:
         t = t.replace(glyph, same)
     return t.split("\n")
 
@@ -153,56 +171,55 @@ def split_words(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def _counted(pairs: Counter[tuple[str, str]], lines: dict[str, list[int]], splits: Counter[tuple[str, str]]) -> pd.DataFrame:
-    """Counts as rows: pairs of words under 0, split words under -1. Lines meet by a hash of their masked form;
-    only forms seen at an edge are spelled out."""
-    words, forms = [*pairs, *splits], list(lines)
-    none, blank = [0] * len(words), [""] * len(forms)
-    counts = list(lines.values())
-    return pd.DataFrame(
-        {
-            "a": [x for x, _ in words] + blank,
-            "b": [y for _, y in words] + blank,
-            "h": [0] * len(pairs) + [-1] * len(splits) + [x if (x := xxhash.xxh64_intdigest(k) - (1 << 63)) not in (0, -1) else 1 for k in forms],
-            "key": [None] * len(words) + [k if c[1] else None for k, c in zip(forms, counts)],
-            "n": [*pairs.values(), *splits.values(), *(c[0] for c in counts)],
-            "edge": none + [c[1] for c in counts],
-            "own": none + [c[2] for c in counts],
-        }
-    )
+COUNT_SCHEMA = pa.schema([("a", pa.string()), ("b", pa.string()), ("h", pa.int64()), ("key", pa.string()), ("n", pa.int64()), ("edge", pa.int64()), ("own", pa.int64())])
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(pairs: Counter[tuple[str, str]], lines: Counter[str], edges: dict[str, list[int]], splits: Counter[tuple[str, str]]) -> pa.RecordBatch:
+    """Counts as rows: pairs of words under 0, split words under -1. Lines meet by a hash of their masked form;
+    only forms seen at an edge are spelled out."""
+    words, n = [*pairs, *splits], len(lines)
+    blank, none = [""] * n, [0] * len(words)
+    at = list(map(edges.get, lines))
+    columns = [
+        [x for x, _ in words] + blank,
+        [y for _, y in words] + blank,
+        [0] * len(pairs) + [-1] * len(splits) + [x if (x := xxhash.xxh64_intdigest(k) - (1 << 63)) not in (0, -1) else 1 for k in lines],
+        [None] * len(words) + [k if c else None for k, c in zip(lines, at)],
+        [*pairs.values(), *splits.values(), *lines.values()],
+        none + [c[0] if c else 0 for c in at],
+        none + [c[1] if c else 0 for c in at],
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, COUNT_SCHEMA)], schema=COUNT_SCHEMA)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs: Counter[tuple[str, str]] = Counter()
-    lines: dict[str, list[int]] = {}
+    lines: Counter[str] = Counter()
+    edges: dict[str, list[int]] = {}
     splits: Counter[tuple[str, str]] = Counter()
     for b in batches:
-        for text, page in zip(b["text"], b["page_number"]):
+        for text, page in zip(b.column("text").to_pylist(), b.column("page_number").to_pylist()):
             ws = ["^", *filterfalse(str.isdigit, _TOKEN.findall(without_fragments(text).lower()))]
             pairs.update(zip(ws, ws[1:]))
             splits.update(split_words(text))
             split = text.split("\n")
-            edges = edge_lines(split)
-            forms = masked_lines(text)
-            for i, x in enumerate(split):
-                if not x:
-                    continue
-                k = forms[i].strip()
-                if ":" in k:
-                    k = labels_only(k)
-                at = lines.get(k)
+            forms = [labels_only(k) if ":" in k else k for k in map(str.strip, masked_lines(text))]
+            lines.update(forms)
+            for i in edge_lines(split):
+                k = forms[i]
+                at = edges.get(k)
                 if at is None:
-                    at = lines[k] = [0, 0, 0]
+                    at = edges[k] = [0, 0]
                 at[0] += 1
-                if i in edges:
+                if "#" in k and page is not None and page == page and str(int(page)) in _DIGITS.findall(split[i]):
                     at[1] += 1
-                    if "#" in k and page == page and str(int(page)) in re.findall(r"\d+", x):
-                        at[2] += 1
         if len(pairs) + len(lines) > FLUSH:
-            yield _counted(pairs, lines, splits)
-            pairs, lines, splits = Counter(), {}, Counter()
+            del lines[""]  # blank lines
+            yield _counted(pairs, lines, edges, splits)
+            pairs, lines, edges, splits = Counter(), Counter(), {}, Counter()
+    del lines[""]
     if pairs or lines:
-        yield _counted(pairs, lines, splits)
+        yield _counted(pairs, lines, edges, splits)
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,7 +236,7 @@ def statistics(pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(word pairs (a, b, n), recurring lines (key, page_no), split words (a, b)) of all pages (text, page_number)."""
     seen = cut(
         pages.select("text", "page_number")
-        .mapInPandas(_count, "a string, b string, h long, key string, n long, edge long, own long")
+        .mapInArrow(_count, "a string, b string, h long, key string, n long, edge long, own long")
         .groupBy("h", "a", "b")
         .agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.sum("own").alias("own"), F.max("key").alias("key"))
         .where(f"h in (0, -1) or edge >= {RECURS}")
@@ -299,23 +316,33 @@ class Repairer:
         """Whether ``a`` + hyphen at a line's end and ``b`` after it are one word."""
         return bool(b) and b[0].isalpha() and (mark in "¬­" or f"{a}|{b}" in self.broken)
 
-    def lines(self, text: str) -> list[tuple[int, str, str, bool]]:
-        """(line number, kinds joined by '+', repaired line, joins the next without a blank) of every line."""
+    def lines(self, text: str, marked_only: bool = False) -> list[tuple[int, str, str, bool]]:
+        """(line number, kinds joined by '+', repaired line, joins the next without a blank) of every line, or of
+        those that have a kind."""
         fix = self.fix
         split = text.split("\n")
         n = len(split)
         kinds: list[str] = [""] * n
-        for i in edge_lines(split):
+        at = sorted(edge_lines(split))
+        for i, k in zip(at, masked_lines("\n".join([split[i] for i in at]))):
             x = split[i]
-            own = self.edge.get(labels_only(masked(x)))
-            numbers = [t for t in x.split() if _DIGIT.search(t)]
-            if _PAGE.match(x) and len(x.strip()) < 40 or own and numbers and all(_PLAIN_NUMBER.fullmatch(t) for t in numbers):
+            own = self.edge.get(labels_only(k.strip()))
+            if _PAGE.match(x) and len(x.strip()) < 40 or own and (numbers := [t for t in x.split() if _DIGIT.search(t)]) and all(_PLAIN_NUMBER.fullmatch(t) for t in numbers):
                 kinds[i] = "page_no"
-            elif own is not None and sum(ch.isalnum() for ch in x) >= SHORTEST:
+            elif own is not None and sum(map(len, _TOKEN.findall(x))) >= SHORTEST:
                 kinds[i] = "header"
         outside = ("header", "page_no")
         low = text.lower()
         hits = self.hits(low)
+        if marked_only and not hits and not _OPEN_END.search(text):
+            return [(i, kinds[i], split[i], False) for i in at if kinds[i]]
+        held: set[int] = set()  # lines that hold such a word
+        for h in hits:
+            e = low.find(h)
+            while e >= 0:
+                held.add(low.count("\n", 0, e))
+                end = low.find("\n", e)
+                e = low.find(h, end) if end >= 0 else -1
         out: list[tuple[int, str, str, bool]] = []
         inherited = ""
         joined_before = False
@@ -338,47 +365,52 @@ class Repairer:
                         kind += "+misread"
                     if whole and not whole.lower().endswith(nxt.group().lower()):
                         inherited = "misread"
-            if hits:
-                here = x.lower()
-                if any(h in here for h in hits):
-                    marks = list(_TOKEN.finditer(x))[1 if joined_before else 0 :]
-                    if tail:
-                        marks = marks[:-1]
-                    fixed = [(t.start(), t.end(), r) for t in marks if (r := self.right(t.group(), fix))]
-                    if fixed and "misread" not in kind:
-                        kind = f"{kind}+misread".strip("+")
-                    for s, e, r in reversed(fixed):
-                        x = x[:s] + r + x[e:]
+            if i in held:
+                marks = list(_TOKEN.finditer(x))[1 if joined_before else 0 :]
+                if tail:
+                    marks = marks[:-1]
+                fixed = [(t.start(), t.end(), r) for t in marks if t.group().lower() in fix and (r := self.right(t.group(), fix))]
+                if fixed and "misread" not in kind:
+                    kind = f"{kind}+misread".strip("+")
+                for s, e, r in reversed(fixed):
+                    x = x[:s] + r + x[e:]
             joined_before = bool(tail)
             out.append((i, kind, x[:-1] if tail else x, bool(tail)))
-        return out
+        return [x for x in out if x[1]] if marked_only else out
+
+
+LINES = [("page_id", pa.int64()), ("line_no", pa.int32()), ("kinds", pa.string()), ("line", pa.string()), ("joins", pa.bool_())]
+LINE_SCHEMA, MARK_SCHEMA = "page_id long, line_no int, kinds string, line string, joins boolean", "page_id long, line_no int, kinds string"
 
 
-LINE_SCHEMA = "page_id long, line_no int, kinds string, line string, joins boolean"
+def _rows(rows: list[tuple], marked_only: bool) -> pa.RecordBatch:
+    """Rows of lines as a batch; marked lines go without their text."""
+    names = LINES[:3] if marked_only else LINES
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), names)], names=[n for n, _ in names])
 
 
-def _marker(fix: dict[str, str], broken: set[str], edge: dict[str, bool], marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _marker(fix: dict[str, str], broken: set[str], edge: dict[str, bool], marked_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Repairer(fix, broken, edge)
         for b in batches:
-            rows = [(page, *x) for page, text in zip(b["page_id"], b["text"]) for x in r.lines(text) if x[1] or not marked_only]
+            rows = [(page, *x) for page, text in zip(b.column("page_id").to_pylist(), b.column("text").to_pylist()) for x in r.lines(text, marked_only)]
             if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins"])
+                yield _rows(rows, marked_only)
 
     return run
 
 
-def _marker_with(marked_only: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _marker_with(marked_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same with what each page needs in its own row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for page, text, fix, broken, edge in zip(b["page_id"], b["text"], b["fix"], b["broken"], b["edge"]):
-                r = Repairer(dict(fix or {}), set(broken) if broken is not None else set(), dict(edge or {}))
-                rows += [(page, *x) for x in r.lines(text) if x[1] or not marked_only]
+            for page, text, fix, broken, edge in zip(*(b.column(c).to_pylist() for c in ("page_id", "text", "fix", "broken", "edge"))):
+                r = Repairer(dict(fix or {}), set(broken or ()), dict(edge or {}))
+                rows += [(page, *x) for x in r.lines(text, marked_only)]
             if rows:
-                yield pd.DataFrame(rows, columns=["page_id", "line_no", "kinds", "line", "joins"])
+                yield _rows(rows, marked_only)
 
     return run
 
@@ -398,7 +430,8 @@ def _needs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def lines(pages: DataFrame, marked_only: bool = False) -> DataFrame:
-    """(page_id, line_no, kinds, line, joins): every line with its kinds and its repaired text."""
+    """(page_id, line_no, kinds, line, joins): every line with its kinds and its repaired text; or only the first
+    three of the lines that have a kind."""
     text = F.col("final_text")
     if not marked_only and {"native_text", "strategy"} <= set(pages.columns):
         text = F.when(text.rlike(r"(?U)\S") | (F.coalesce("strategy", F.lit("")) == "empty"), text).otherwise(F.col("native_text"))
@@ -417,7 +450,7 @@ def lines(pages: DataFrame, marked_only: bool = False) -> DataFrame:
         fix = {r.wrong: r.right for r in fixes.toLocalIterator()}
         pairs_broken = {r.pair for r in broken.toLocalIterator()}
         edge = {r.key: r.page_no for r in edges.toLocalIterator()}
-        return p.mapInPandas(_marker(fix, pairs_broken, edge, marked_only), LINE_SCHEMA)
+        return p.mapInArrow(_marker(fix, pairs_broken, edge, marked_only), MARK_SCHEMA if marked_only else LINE_SCHEMA)
     known = fixes.select(F.lit("fix").alias("kind"), F.col("wrong").alias("key"), "right", F.lit(None).cast("boolean").alias("page_no"))
     known = known.unionByName(broken.select(F.lit("broken").alias("kind"), F.col("pair").alias("key"), F.lit(None).cast("string").alias("right"), F.lit(None).cast("boolean").alias("page_no")))
     known = known.unionByName(edges.select(F.lit("edge").alias("kind"), "key", F.lit(None).cast("string").alias("right"), "page_no"))
@@ -428,7 +461,7 @@ def lines(pages: DataFrame, marked_only: bool = False) -> DataFrame:
         mine("broken", F.col("key")).alias("broken"),
         F.map_from_entries(mine("edge", F.struct("key", "page_no"))).alias("edge"),
     )
-    return p.join(own, "page_id", "left").select("page_id", "text", "fix", "broken", "edge").mapInPandas(_marker_with(marked_only), LINE_SCHEMA)
+    return p.join(own, "page_id", "left").select("page_id", "text", "fix", "broken", "edge").mapInArrow(_marker_with(marked_only), MARK_SCHEMA if marked_only else LINE_SCHEMA)
 
 
 def found(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,51 @@ def test_page_number_line_outside_the_known_forms():
     assert [x[1] for x in got] == ["", "", "page_no"]
 
 
+def test_masks_and_counts_follow_their_definition():
+    """Against the plain rules, on texts with any blanks, digits and letters."""
+    r = random.Random(8)
+    number = re.compile(r"(?<!\S)[^\s\d]*\d\S*")
+    glyphs = [(chr(a), chr(b)) for a, b in scans._SINGLE.items() if a != b] + scans._GLYPH_PAIRS
+
+    def sign(m):
+        t = m.group()
+        letters = t.translate(scans._NO_DIGITS)
+        return t if len(letters) >= 4 and len(t) - len(letters) <= 2 and letters.replace("-", "", 1).isalpha() else "#"
+
+    def plain(text):
+        t = number.sub(sign, text.lower())
+        for a, b in glyphs:
+            t = t.replace(a, b)
+        return t.split("\n")
+
+    texts = ["".join(r.choice("aeilrnmcdb1095ä-:.ИΣİé٣ \u00a0\t\x1c\n") for _ in range(r.randrange(60))) for _ in range(3000)]
+    assert all(scans.masked_lines(t) == plain(t) for t in texts)
+    batch = pa.RecordBatch.from_pydict({"text": texts, "page_number": [r.choice([None, 1, 5, 9]) for _ in texts]})
+    got = {x["key"]: (x["n"], x["edge"]) for b in scans._count(iter([batch])) for x in b.to_pylist() if x["key"] is not None}
+    want = {}
+    for t in texts:
+        filled = [i for i, x in enumerate(t.split("\n")) if x.strip()]
+        for i, k in enumerate(plain(t)):
+            k = scans.labels_only(k.strip())
+            n, edge = want.get(k, (0, 0))
+            want[k] = n + 1, edge + (i in filled[:3] or i in filled[-2:])
+    assert got == {k: v for k, v in want.items() if v[1]}
+
+
+def test_marked_lines(spark):
+    """Marked lines are those of all lines that have a kind, and go without their text."""
+    r = random.Random(9)
+    marker = scans.Repairer({"rnass": "mass", "speclmen": "specimen"}, {"for|malin"}, {"north clinic": True, "page # of #": False})
+    words = ["mass", "rnass", "Speclmen", "for-", "malin", "rnasses", "x", "\n", "\n", "\n\n", "Page 1 of 2", "12", "-\n"]
+    for _ in range(500):
+        text = " ".join(r.choice(words) for _ in range(r.randrange(30)))
+        assert marker.lines(text, marked_only=True) == [x for x in marker.lines(text) if x[1]]
+    pages = spark.createDataFrame([(i, 1, f"Clinic of the North\nThe mass is clear.\nNone is seen {i}.\nAll of it is in.\nIt was sent.\nPage 1 of 1") for i in range(20)], "page_id long, page_number int, final_text string")
+    marked = scans.lines(pages, marked_only=True)
+    assert marked.columns == ["page_id", "line_no", "kinds"]
+    assert sorted(map(tuple, marked.collect())) == sorted(map(tuple, scans.lines(pages).where("kinds <> ''").select("page_id", "line_no", "kinds").collect()))
+
+
 # --- leaks -------------------------------------------------------------------------------------------------
 
 
